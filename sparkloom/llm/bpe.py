@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a walk over a prefix-sharing trie.
 
 A text falls at single spaces into pieces that no pre-token crosses; distinct
-pieces fall into words, and the distinct words of a batch go into one trie.
+pieces fall into words, and the distinct words of a run form one trie.
 A depth-first walk gives every node the *last token* of the encoding of its
 prefix: the one vocabulary entry that ends there and that BPE would leave
 beside the last token before it.  Words that share a prefix share all that
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about this many characters.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 2_000_000
 #: Pieces whose ids are kept between runs; past it the store starts anew.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 250_000
 
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -64,19 +65,26 @@ class Vocabulary:
             self.merged[left, right] = whole
             self.split[whole] = (left, right)
         self.rank = {whole: i for i, whole in enumerate(self.split)}
-        self.longest = [1] * 256  # of the tokens that end in a byte
-        for t in self.id_of:
-            self.longest[t[-1]] = max(self.longest[t[-1]], len(t))
-        self._stays: dict[tuple[int, int], bool] = {}
+        # The tokens read backwards: from (state, byte) to a state, and the token that a state completes.
+        self.back: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for t, i in self.id_of.items():
+            state = 0
+            for b in reversed(t):
+                key = state << 8 | b
+                state = self.back.get(key, 0)
+                if not state:
+                    state = self.back[key] = len(self.ends)
+                    self.ends.append(-1)
+            self.ends[state] = i
+        #: left << 20 | right: whether BPE on the bytes of both tokens gives just these two.
+        self.known_pairs: dict[int, bool] = {}
 
     def stays(self, left: int, right: int) -> bool:
-        """Whether BPE on the bytes of both tokens gives just these two."""
-        known = self._stays.get((left, right))
-        if known is None:
-            if len(self._stays) > 2_000_000:
-                self._stays.clear()
-            known = self._stays[left, right] = self._undo(left, right)
-        return known
+        if len(self.known_pairs) > 2_000_000:
+            self.known_pairs.clear()
+        verdict = self.known_pairs[left << 20 | right] = self._undo(left, right)
+        return verdict
 
     def _undo(self, left: int, right: int) -> bool:
         # Undo the later of both sides' merges again and again.  A merge across
@@ -101,59 +109,48 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class WordTrie:
-    """Distinct words as byte paths; nodes are numbers, 0 is the root."""
-
-    def __init__(self) -> None:
-        self.child: dict[int, int] = {}
-        self.first, self.next, self.byte, self.word = [0], [0], [0], [-1]
-
-    def insert(self, word: bytes, number: int) -> None:
-        node, child = 0, self.child
-        for b in word:
-            key = node << 8 | b
-            below = child.get(key)
-            if below is None:
-                below = child[key] = len(self.byte)
-                self.byte.append(b)
-                self.word.append(-1)
-                self.next.append(self.first[node])
-                self.first.append(0)
-                self.first[node] = below
-            node = below
-        self.word[node] = number
-
-
 def encode_words(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
-    """The BPE ids of each of the distinct ``words``."""
-    trie = WordTrie()
-    for i, w in enumerate(words):
-        trie.insert(w, i)
+    """The BPE ids of each of the distinct ``words``.
+
+    Sorted words are the trie in depth-first order: a word enters it below the
+    prefix it shares with the word before, whose states are still on the path.
+    """
     out: list[list[int]] = [[] for _ in words]
     deepest = max(map(len, words), default=0)
-    path, last, size = bytearray(deepest), [0] * (deepest + 1), [0] * (deepest + 1)
-    id_of, longest, stays = vocab.id_of, vocab.longest, vocab.stays
-    first, following, byte, word = trie.first, trie.next, trie.byte, trie.word
-    stack = [(first[0], 1)] if first[0] else []
-    while stack:
-        node, depth = stack.pop()
-        if following[node]:
-            stack.append((following[node], depth))
-        path[depth - 1] = b = byte[node]
-        for n in range(min(depth, longest[b]), 0, -1):
-            token = id_of.get(bytes(path[depth - n : depth]))
-            if token is not None and (n == depth or stays(last[depth - n], token)):
-                last[depth], size[depth] = token, n
-                break
-        if word[node] >= 0:
-            ids, at = [], depth
+    last, start = [0] * (deepest + 1), [0] * (deepest + 1)  # the last token at a depth, and where it begins
+    back, ends, pairs, stays = vocab.back.get, vocab.ends, vocab.known_pairs.get, vocab.stays
+    before = b""
+    for number in sorted(range(len(words)), key=words.__getitem__):
+        word = words[number]
+        shared, most = 0, min(len(word), len(before))
+        while shared < most and word[shared] == before[shared]:
+            shared += 1
+        for depth in range(shared + 1, len(word) + 1):
+            state, at, found = 0, depth, []
             while at:
-                ids.append(last[at])
-                at -= size[at]
-            ids.reverse()
-            out[word[node]] = ids
-        if first[node]:
-            stack.append((first[node], depth + 1))
+                at -= 1
+                state = back(state << 8 | word[at])
+                if state is None:
+                    break
+                token = ends[state]
+                if token >= 0:
+                    found.append((token, at))
+            for token, at in reversed(found):
+                if at:
+                    pair = last[at] << 20 | token
+                    fits = pairs(pair)
+                    if fits is None:
+                        fits = stays(last[at], token)
+                    if not fits:
+                        continue
+                last[depth], start[depth] = token, at
+                break
+        ids, at = out[number], len(word)
+        while at:
+            ids.append(last[at])
+            at = start[at]
+        ids.reverse()
+        before = word
     return out
 
 
@@ -205,7 +202,7 @@ class TrieEncoder(PieceEncoder):
         self.known: dict[str, bytes] = {}
 
     def pretokens(self, text: str) -> list[str]:
-        if self._plain.fullmatch(text):
+        if text.isascii() or self._plain.fullmatch(text):
             return self._words.findall(text)
         if self._library is None:  # its Unicode tables may differ from regex's
             from tokenizers import Tokenizer
@@ -215,7 +212,11 @@ class TrieEncoder(PieceEncoder):
 
     def encode_strings(self, strings: list[str]) -> list[bytes]:
         cut: list[list[str | int]] = []
+        marks = tuple(self.vocab.special)
         for s in strings:
+            if not any(mark in s for mark in marks):
+                cut.append(self.pretokens(s))
+                continue
             parts: list[str | int] = []
             at = 0
             for m in self._marks.finditer(s):
@@ -227,7 +228,7 @@ class TrieEncoder(PieceEncoder):
             self.known = {}
         new = list({w for parts in cut for w in parts if isinstance(w, str)} - self.known.keys())
         ids = encode_words([w.encode() for w in new], self.vocab)
-        self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(new, ids, strict=True))
+        self.known.update((w, array("I", x).tobytes()) for w, x in zip(new, ids, strict=True))
         known = self.known
         return [b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in parts]) for parts in cut]
 
@@ -248,12 +249,14 @@ class LibraryEncoder(PieceEncoder):
 
     def encode_strings(self, strings: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(strings, add_special_tokens=False) if strings else []
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
 
-def runs(texts: list[str], most: int = RUN_CHARS) -> Iterator[list[str]]:
+def runs(texts: pa.Array | list[str], most: int = RUN_CHARS) -> Iterator[list[str]]:
+    """Consecutive texts of about ``most`` characters; null becomes empty."""
     run, n = [], 0
     for t in texts:
+        t = (t.as_py() if isinstance(t, pa.Scalar) else t) or ""
         run.append(t)
         n += len(t) + 1
         if n >= most:
@@ -276,8 +279,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = TrieEncoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            yield id_lists([e for run in runs(texts) for e in encoder.encode(run)])
+            yield pa.concat_arrays([id_lists(encoder.encode(run)) for run in runs(batch)] or [id_lists([])])
 
     return ids(text)
 
@@ -291,6 +293,6 @@ def decode(ids: Column, path: str) -> Column:
         table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
         for batch in batches:
             flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
-            yield pa.array([b"".join([table[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            yield pa.array((b"".join([table[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)), pa.string())
 
     return texts(ids)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, mixing
+from sparkloom.llm import bpe, mixing, quality
 from sparkloom.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.apply_rules(docs).drop("text")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -35,7 +40,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+    return {"op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
