@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, mixing, quality
+from sparkloom.llm import bpe, mixing, quality, token_files, warc
 from sparkloom.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_ids(token_files.write_ids(docs, path or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_archives(warc.write_archives(pages), with_payload=False).drop("payload")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.apply_rules(docs).drop("text")
@@ -40,7 +50,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+    return {"op4_token_files": op4_token_files, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
