@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, mixing, quality, token_files, warc
+from sparkloom.llm import bitslice, bpe, html, licenses, mixing, quality, token_files, urls, warc
 from sparkloom.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,25 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+def op3_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bitslice.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.read_ids(token_files.write_ids(docs, path or public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.read_archives(warc.write_archives(pages), with_payload=False).drop("payload")
@@ -49,9 +63,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     )
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+_ALL = (op2_url_filter, op3_bitslice, op4_token_files, op5_licenses, op6_warc, op7_quality, op8_bpe, op9_mixing, op10_html)
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_token_files": op4_token_files, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_mixing": op9_mixing}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_licenses": licenses.oracle_sql()}
