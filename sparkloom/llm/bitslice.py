@@ -192,7 +192,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", quantise(F.col("embedding"), scale).alias("q")).where("q is not null")
     index, _ = _blocks(rows, BLOCK_ROWS)
     asked, n_asked = _blocks(rows.where(is_query), QUERY_ROWS)
-    work = index.select(F.col("dims").alias("i_dims"), F.col("ids").alias("i_ids"), F.col("flat").alias("i_flat"), F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).cast("long").alias("no"))
+    work = index.select(F.col("dims").alias("i_dims"), F.col("ids").alias("i_ids"), F.col("flat").alias("i_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long"))).alias("no"))
     work = work.repartition("no", F.xxhash64("i_ids")).join(asked, "no")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

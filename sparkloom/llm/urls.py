@@ -7,8 +7,8 @@ and one of rejected URLs.  A context that a model has seen little of leans on
 the next shorter one (orders 2, 1, 0, uniform), so each model is one number
 for each of 32**3 grams: a table whose size does not depend on the data.  The
 score is the difference of the log-likelihoods over the length.  Its limit is
-calibrated on hosts kept out of the training: the value with the fewest errors
-of both classes, each weighed by its size.
+calibrated on a tenth of the URLs, kept out of the training: the middle of the
+gap with the fewest errors of both classes, each weighed by its size.
 
 Training labels come from ``reject_terms``, words in host names that mark a
 rejected URL; the models see the letters of all URLs, so they also judge names
@@ -21,6 +21,8 @@ everything is allowed; repeated rows are judged alike.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/"
 START, SYMBOLS = 31, 32
 STRENGTH = 2.0
 BIN = 200
+#: Log-ratios from -SHIFT to SHIFT, in steps of 1 / STEPS.
+SHIFT, STEPS = 16, 2000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,7 +71,7 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def ratio_table(labelled: DataFrame) -> DataFrame:
-    """One row: ``model``, the log-ratio of each gram, and whether both classes were seen."""
+    """(g, r, n0, n1): the log-ratio of each of the 32**3 grams and its counts."""
     spark = labelled.sparkSession
     counted = labelled.select("rejected", F.explode("grams").alias("g")).groupBy("g").agg(F.count_if(~F.col("rejected")).alias("n0"), F.count_if("rejected").alias("n1"))
     grid = spark.range(0, SYMBOLS**3, 1, 1).withColumnRenamed("id", "g").join(counted, "g", "left").fillna(0, ["n0", "n1"])
@@ -82,38 +86,59 @@ def ratio_table(labelled: DataFrame) -> DataFrame:
         p1 = (over(n, "b", "c") + STRENGTH * p0) / (over(n, "b") + STRENGTH)
         p2 = (F.col(n) + STRENGTH * p1) / (over(n, "ab") + STRENGTH)
         logs.append(F.log(p2))
-    rated = grid.select("g", (logs[0] - logs[1]).alias("r"), "n0", "n1")
-    packed = rated.agg(F.array_sort(F.collect_list(F.struct("g", "r"))).alias("m"), (F.sum("n0") > 0).alias("has0"), (F.sum("n1") > 0).alias("has1"))
-    return packed.select(F.transform("m", lambda x: x["r"]).alias("model"), (F.col("has0") & F.col("has1")).alias("usable"))
+    return grid.select("g", (logs[0] - logs[1]).alias("r"), "n0", "n1")
+
+
+@dataclass(frozen=True)
+class UrlModel:
+    """Log-ratios as 16-bit numbers, gram by gram, and the limit of the score."""
 
+    packed: bytes | None
+    limit: float = float("-inf")
 
-def score(grams_: Column, model: Column) -> Column:
-    """Length-normalised difference; null for no grams."""
-    total = F.aggregate(grams_, F.lit(0.0), lambda s, g: s + F.element_at(model, (g + 1).cast("int")))
-    return F.when(F.size(grams_) > 0, total / F.size(grams_))
+    def score(self, grams_: Column) -> Column:
+        """Length-normalised difference; null for no grams or no model."""
+        if self.packed is None:
+            return F.lit(None).cast("double")
+        table = F.lit(bytearray(self.packed))
+        step = lambda g: F.conv(F.hex(F.substring(table, (g * 2 + 1).cast("int"), F.lit(2))), 16, 10).cast("long")
+        total = F.aggregate(grams_, F.lit(0).cast("long"), lambda s, g: s + step(g))
+        return F.when(F.size(grams_) > 0, total / (F.size(grams_) * F.lit(float(STEPS))) - SHIFT)
 
 
-def limit_of(scored: DataFrame) -> Column:
-    """The calibrated limit as a scalar of held-out (rejected, score)."""
+def _limit(scored: DataFrame) -> float:
+    """The limit with the fewest errors on held-out (rejected, score)."""
     bins = scored.where("score is not null").groupBy(F.floor(F.greatest(F.least(F.col("score"), F.lit(20.0)), F.lit(-20.0)) * BIN).alias("bin"))
     bins = bins.agg(F.count_if(~F.col("rejected")).alias("a"), F.count_if("rejected").alias("r"))
     upto, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(1))
     wrong = F.try_divide(F.sum("a").over(upto), F.sum("a").over(every)) + 1 - F.try_divide(F.sum("r").over(upto), F.sum("r").over(every))
-    best = bins.select("bin", wrong.alias("wrong")).where("wrong is not null and wrong < 1").agg(F.min(F.struct("wrong", "bin"))["bin"].alias("b"))
-    return best.select((F.col("b") + 1) / F.lit(float(BIN))).scalar()
-
-
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, reject_terms: tuple[str, ...] = REJECT_TERMS) -> DataFrame:
+    following = F.coalesce(F.lead("bin").over(Window.orderBy("bin")), F.col("bin") + 1)
+    sums = bins.select(wrong.alias("wrong"), "bin", following.alias("next")).where("wrong is not null and wrong < 1")
+    best = sums.agg(F.min(F.struct("wrong", "bin", "next")).alias("b")).first().b
+    return float("-inf") if best is None else (best.bin + 1 + best.next) / 2 / BIN
+
+
+def fit(pages: DataFrame, reject_terms: tuple[str, ...] = REJECT_TERMS) -> UrlModel:
+    """Counts the grams of all URLs.  The driver gets 32**3 numbers, however many URLs there are."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    seen = pages.select(host.alias("host"), grams(host, path).alias("grams"))
+    seen = seen.withColumn("rejected", F.col("host").rlike("|".join(reject_terms))).withColumn("kept_out", F.pmod(F.xxhash64("grams"), F.lit(10)) == 0)
+    rows = ratio_table(seen.where(~F.col("kept_out"))).collect()
+    if not sum(r.n0 for r in rows) or not sum(r.n1 for r in rows):
+        return UrlModel(None)
+    ratios = {r.g: r.r for r in rows}
+    steps = [round((max(-SHIFT, min(SHIFT, ratios[g])) + SHIFT) * STEPS) for g in range(SYMBOLS**3)]
+    model = UrlModel(b"".join(x.to_bytes(2, "big") for x in steps))
+    return UrlModel(model.packed, _limit(seen.where("kept_out").select("rejected", model.score(F.col("grams")).alias("score"))))
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, reject_terms: tuple[str, ...] = REJECT_TERMS, model: UrlModel | None = None) -> DataFrame:
     """``pages(url, ...)`` with host, path, rule, verdict and score."""
-    own = {"host", "path", "rule", "verdict", "score", "_grams", "_rule"}
+    model = model or fit(pages, reject_terms)
+    own = {"host", "path", "rule", "verdict", "score", "_rule"}
     base = pages.drop(*[c for c in pages.columns if c.lower() in own])
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    seen = base.select("host", grams(F.col("host"), F.col("path")).alias("grams"))
-    seen = seen.withColumn("rejected", F.col("host").rlike("|".join(reject_terms))).withColumn("kept_out", F.pmod(F.xxhash64("host"), F.lit(10)) == 0)
-    learned = ratio_table(seen.where(~F.col("kept_out")))
-    model, usable = learned.select("model").scalar(), learned.select("usable").scalar()
-    limit = limit_of(seen.where("kept_out").select("rejected", score(F.col("grams"), model).alias("score")))
-    judged = base.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", score(grams(F.col("host"), F.col("path")), model))
-    low = F.coalesce(usable & (F.col("score") < limit), F.lit(False))
+    judged = base.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", model.score(grams(F.col("host"), F.col("path"))))
+    low = F.coalesce(F.col("score") < F.lit(model.limit), F.lit(False))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(low, "block").otherwise("allow"))
     return judged.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule")
