@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bitslice, bpe, html, licenses, mixing, quality, token_files, urls, warc
+from sparkloom.llm import bitslice, bpe, html, jaccard, licenses, mixing, quality, token_files, urls, warc
 from sparkloom.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "class_id", "n_links", "n_text_links")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
@@ -67,7 +72,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
-_ALL = (op2_url_filter, op3_bitslice, op4_token_files, op5_licenses, op6_warc, op7_quality, op8_bpe, op9_mixing, op10_html)
+_ALL = (op1_jaccard, op2_url_filter, op3_bitslice, op4_token_files, op5_licenses, op6_warc, op7_quality, op8_bpe, op9_mixing, op10_html)
 
 
 def queries() -> dict[str, Query]:
