@@ -3,7 +3,8 @@
 Lines and templates are normalised (lower case, runs of other than letters and
 digits to one space) and compared as sets of word bigrams.  Dice >= t needs
 sizes within a factor of (2 - t) / t, so a template is only tried on lines
-whose size lies in its bounds; most lines meet none and stop there.  A text of
+whose size lies in its bounds.  A match must also hold one of the template's
+long words, so most texts and lines stop at a search for those.  A text of
 several lines is also compared as a whole, as line 0, for templates that run
 over lines.  Everything is array expressions: no shuffle, no join.
 
@@ -15,6 +16,8 @@ the name that sorts first; lines of any length are compared whole.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.8
+#: Words that mark no licence, as any text may hold them.
+COMMON = frozenset("a and any are at be by for in is it not of or the this to under with work you".split())
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -50,8 +55,24 @@ def size_bounds(m: int, t: float) -> tuple[int, int]:
     return min(fits), max(fits)
 
 
+def keywords(grams: list[str], t: float) -> list[str]:
+    """Long words, one of which every line that reaches ``t`` must hold.
+
+    A match shares so many bigrams with the template that those without any of
+    these words are too few.
+    """
+    low, high = size_bounds(len(grams), t)
+    shared = min(-(-t * (n + len(grams)) // 2) for n in range(low, high + 1))
+    chosen: list[str] = []
+    for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w in COMMON, -len(w), w)):
+        if sum(not set(g.split(" ")) & set(chosen) for g in grams) < shared:
+            break
+        chosen.append(word)
+    return chosen
+
+
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
 def bigrams(words: Column) -> Column:
@@ -66,17 +87,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         grams = template_bigrams(text)
         low, high = size_bounds(len(grams), threshold)
         rows.append((name, grams, low, high))
+    marks = sorted({w for r in rows for w in keywords(r[1], threshold)})
     least, most = min(r[2] for r in rows), max(r[3] for r in rows)
     listed = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for n, g, lo, hi in rows])
 
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("line_no", "license", "dice", "_line", "_w", "_g", "_best")])
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.array(F.col("text")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
+    marked = lambda c: reduce(or_, [F.contains(c, F.lit(w)) for w in marks])
     others = [c for c in kept.columns if c != "text"]
-    spread = kept.select(*others, F.posexplode(units).alias("line_no", "_line"))
-    # A line of n + 1 words has n bigrams at most: shorter ones go before any array is built.
-    worded = spread.select(*others, "line_no", normalised(F.col("_line")).alias("_line")).where(F.regexp_count("_line", F.lit(" ")) >= least)
-    sized = worded.select(*others, "line_no", bigrams(F.split("_line", " ")).alias("_g")).where(F.size("_g").between(least, most))
+    # Texts, then lines, without any of the marks go before they are cut up.
+    texts = kept.select(*others, F.lower("text").alias("text")).where(marked(F.col("text")))
+    lines = F.split("text", "\n")
+    units = F.when(F.contains(F.col("text"), F.lit("\n")), F.concat(F.array("text"), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
+    spread = texts.select(*others, F.posexplode(units).alias("line_no", "_line")).where(marked(F.col("_line")))
+    worded = spread.select(*others, "line_no", F.split(normalised(F.col("_line")), " ").alias("_w")).where(F.size("_w") > least)
+    sized = worded.select(*others, "line_no", bigrams(F.col("_w")).alias("_g")).where(F.size("_g").between(least, most))
 
     def dice(t: Column) -> Column:
         return 2.0 * F.size(F.array_intersect(F.col("_g"), t["grams"])) / (F.size("_g") + F.size(t["grams"]))
