@@ -6,7 +6,7 @@ All limits count UTF-8 bytes (``octet_length``), and every rule is an ordered
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Boundaries between camel parts: plain and code tokenizer.
@@ -74,3 +74,57 @@ def tokenize_code(text: Column, stop_words: list[str]) -> Column:
 def keywords(text: Column) -> Column:
     """Lower-case letter and digit runs of two bytes or more."""
     return F.filter(F.transform(words(text), F.lower), lambda w: F.octet_length(w) >= 2)
+
+
+def tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, term): :func:`tokenize` as rows, with the rules in generated code."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.split(text, NON_ALNUM)).alias("_w")).where("_w <> ''")
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("_w").alias("t")))
+    parts = F.transform(F.split("_w", CAMEL_PLAIN), lambda p: F.struct(F.lit(False).alias("whole"), p.alias("t")))
+    pieces = rows.select("doc_id", F.explode(F.concat(whole, parts)).alias("_p")).select("doc_id", "_p.whole", F.lower("_p.t").alias("_t"))
+    kept = pieces.where(F.when(F.col("whole"), F.octet_length("_t") >= 3).otherwise(F.col("_t") != ""))
+    return kept.select("doc_id", F.when(F.col("whole"), F.col("_t")).otherwise(stem(F.col("_t"))).alias("term"))
+
+
+def normalize_lesson(text: Column) -> Column:
+    """Lower-case letters and digits; punctuation vanishes, spaces collapse."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", ""), r"\s+", " "))
+
+
+def slugify(text: Column) -> Column:
+    """Lower-case letters, digits and dashes; one pass joins double dashes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]", "-"), "--", "-"), F.lit("-"))
+
+
+def normalize_error(text: Column) -> Column:
+    """Without ``:digits`` runs, up to the first colon that no digit follows."""
+    numbered = F.regexp_extract(text, r"^((?:[^:]|:(?=\d))*)(?s:.*)$", 1)
+    rest = F.substring(text, F.length(numbered) + 1, F.length(text))
+    return F.concat(F.regexp_replace(numbered, r":\d+", ""), rest)
+
+
+def valid_slug(slug: Column) -> Column:
+    return slug.rlike("^[a-z0-9][a-z0-9_-]*$")
+
+
+def estimate_tokens(text: Column) -> Column:
+    """The greater of a quarter of the bytes and 1.3 times the words."""
+    words = F.regexp_count(text, F.lit(r"\S+"))
+    return F.greatest(F.floor(F.octet_length(text) / 4), F.floor(words * 1.3)).cast("long")
+
+
+#: Query classes in order; the first class with a word in the query wins.
+QUERY_CLASSES = (
+    ("api", ("endpoint", "route", "http", "rest", "api")),
+    ("architecture", ("architecture", "design", "structure", "overview")),
+    ("debug", ("error", "fail", "bug", "crash", "panic")),
+    ("how_to", ("how to", "example", "usage")),
+    ("symbol", ("function", "struct", "class", "method")),
+)
+
+
+def query_class(query: Column) -> Column:
+    low, out = F.lower(query), F.lit("general")
+    for name, needles in reversed(QUERY_CLASSES):
+        out = F.when(low.rlike("|".join(needles)), name).otherwise(out)
+    return out

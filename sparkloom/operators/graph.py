@@ -1,6 +1,6 @@
 """Graph operators over ``edges(src, dst, weight)`` and typed node tables.
 
-Iterative operators write each few rounds to the shared folder, so a plan
+Iterative operators write each round to the shared folder, so a plan
 never grows with the number of rounds.  Ties break on the smaller id.
 """
 
@@ -45,7 +45,7 @@ def quotient(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return edges.join(s, "src").join(t, "dst").where("s <> t").groupBy("s", "t").agg(F.sum("weight").alias("weight"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank, scaled) after ``rounds``; dangling mass is spread evenly, ``scaled`` is min-max."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     flow = materialize(edges.join(out, "src").select("src", "dst", (C("weight") / C("out")).alias("share")), "pagerank-flow")
@@ -53,14 +53,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     all_nodes = materialize(nodes.select("node", (F.lit(1.0) / n).alias("rank")).join(out.select(C("src").alias("node"), F.lit(True).alias("_o")), "node", "left").select("node", "rank", C("_o").isNull().alias("dangling")), "pagerank-nodes")
     size = all_nodes.count()
     ranks = all_nodes
-    for i in range(rounds):
+    for _ in range(rounds):
         got = ranks.join(flow, C("node") == C("src")).groupBy("dst").agg(F.sum(C("rank") * C("share")).alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(C("dangling"), C("rank"))), F.lit(0.0)).alias("lost"))
         base = (1 - damping) / size
         joined = all_nodes.select("node", "dangling").join(got.withColumnRenamed("dst", "node"), "node", "left").join(F.broadcast(lost))  # one row
         ranks = joined.select("node", (base + damping * (F.coalesce("got", F.lit(0.0)) + C("lost") / size)).alias("rank"), "dangling")
-        if (i + 1) % cut == 0 or i + 1 == rounds:
-            ranks = materialize(ranks, "pagerank")
+        ranks = materialize(ranks, "pagerank")  # it is read twice in the next round
     every = Window.partitionBy(F.lit(1))
     low, high = F.min("rank").over(every), F.max("rank").over(every)
     return ranks.select("node", "rank", F.when(high > low, (C("rank") - low) / (high - low)).otherwise(0.0).alias("scaled"))
@@ -84,7 +83,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(C("u").alias("node"), C("v").alias("label")).union(now.select("v", "v").distinct())
 
 
-def label_propagation(pairs: DataFrame, rounds: int = 10, seeds: DataFrame | None = None, cut: int = 3) -> DataFrame:
+def label_propagation(pairs: DataFrame, rounds: int = 10, seeds: DataFrame | None = None) -> DataFrame:
     """Synchronous label propagation: the heaviest neighbouring label, ties to the smaller.
 
     All nodes move at once, from the labels of the round before; a label that
@@ -94,12 +93,11 @@ def label_propagation(pairs: DataFrame, rounds: int = 10, seeds: DataFrame | Non
     labels = both.select("node", C("node").alias("label")).distinct()
     if seeds is not None:
         labels = labels.join(seeds.select("node", C("label").alias("_s")), "node", "left").select("node", F.coalesce("_s", "label").alias("label"))
-    for i in range(rounds):
+    for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node", "label").agg(F.sum("weight").alias("w"))
         best = votes.join(labels.withColumnRenamed("label", "own"), "node").groupBy("node", "own").agg(F.max(F.struct("w", (C("label") == C("own")).alias("stays"), (-C("label")).alias("n"))).alias("m"))
         labels = best.select("node", (-C("m.n")).alias("label"))
-        if (i + 1) % cut == 0:
-            labels = materialize(labels, "lpa")
+        labels = materialize(labels, "lpa")
     return labels
 
 

@@ -13,11 +13,11 @@ NOW = "2024-02-01 00:00:00"
 
 COCHANGE_SQL = """
 WITH l AS (SELECT l_orderkey AS commit, l_linenumber AS pos, l_partkey AS file, o_orderdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-co AS (SELECT a.file AS src, b.file AS dst, max(exp(-0.0005 * greatest((epoch(TIMESTAMP '2024-02-01') - floor(epoch(a.ts))) / 86400.0, 0.0))) AS weight
+co AS (SELECT a.file AS src, b.file AS dst, max(exp(-0.0001 * greatest((epoch(TIMESTAMP '2024-02-01') - floor(epoch(a.ts))) / 86400.0, 0.0))) AS weight
   FROM l a JOIN l b ON a.commit = b.commit AND a.pos < b.pos AND a.file <> b.file GROUP BY 1, 2)
 """
 EDGES_SQL = """
-WITH e AS (SELECT l_suppkey AS src, 1000000 + l_partkey % 200 AS dst, 1.0::DOUBLE AS weight FROM lineitem WHERE l_orderkey % 7 = 0),
+WITH e AS (SELECT l_suppkey AS src, 1000000 + l_partkey % 200 AS dst, 1.0::DOUBLE AS weight FROM lineitem),
 p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS weight FROM e WHERE src <> dst GROUP BY 1, 2),
 c AS (SELECT DISTINCT node, node % 9 AS community FROM (SELECT a AS node FROM p UNION ALL SELECT b FROM p))
 """
@@ -30,11 +30,11 @@ def commits(spark, sf_dir):
 
 
 def cochange_edges(spark, sf_dir):
-    return g.cochanges(commits(spark, sf_dir), F.lit(NOW).cast("timestamp"), 0.0005)
+    return g.cochanges(commits(spark, sf_dir), F.lit(NOW).cast("timestamp"), 0.0001)
 
 
 def edges(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.select(C("l_suppkey").alias("src"), (C("l_partkey") % 200 + 1000000).alias("dst"), F.lit(1.0).alias("weight"))
 
 
@@ -51,12 +51,12 @@ def cochange_pairs(spark, sf_dir):
     return _r(cochange_edges(spark, sf_dir), "weight")
 
 
-@register("cochange_impact", COCHANGE_SQL + """, ch AS (SELECT p_partkey AS file FROM part WHERE p_partkey % 97 = 1),
+@register("cochange_impact", COCHANGE_SQL + """, ch AS (SELECT p_partkey AS file FROM part WHERE p_size = 7),
 i AS (SELECT dst AS file, weight FROM co WHERE src IN (SELECT file FROM ch) AND dst NOT IN (SELECT file FROM ch) UNION ALL SELECT src, weight FROM co WHERE dst IN (SELECT file FROM ch) AND src NOT IN (SELECT file FROM ch))
-SELECT file, round(max(weight), 6) AS weight FROM i WHERE weight >= 0.05 GROUP BY 1 ORDER BY max(weight) DESC, file LIMIT 20""")
+SELECT file, round(max(weight), 6) AS weight FROM i WHERE weight >= 0.3 GROUP BY 1 ORDER BY max(weight) DESC, file LIMIT 20""")
 def cochange_impact(spark, sf_dir):
-    changed = table(spark, sf_dir, "part").where("p_partkey % 97 = 1").select(C("p_partkey").alias("file"))
-    return _r(g.cochange_impact(cochange_edges(spark, sf_dir), changed, 0.05, 20), "weight")
+    changed = table(spark, sf_dir, "part").where("p_size = 7").select(C("p_partkey").alias("file"))
+    return _r(g.cochange_impact(cochange_edges(spark, sf_dir), changed, 0.3, 20), "weight")
 
 
 @register("graph_pair_weights", EDGES_SQL + "SELECT a, b, weight FROM p")
@@ -131,31 +131,31 @@ def merge_small(spark, sf_dir):
 
 
 @register("graph_attention", COCHANGE_SQL + """,
-b AS (SELECT src AS node, dst AS near, weight FROM co UNION ALL SELECT dst, src, weight FROM co), s AS (SELECT p_partkey AS node, 1.0 AS score FROM part WHERE p_partkey % 211 = 0),
+b AS (SELECT src AS node, dst AS near, weight FROM co UNION ALL SELECT dst, src, weight FROM co), s AS (SELECT p_partkey AS node, 1.0 AS score FROM part WHERE p_size = 9),
 h1 AS (SELECT near AS node, max(score * weight * 0.5) AS score FROM s JOIN b USING (node) GROUP BY 1), h2 AS (SELECT near AS node, max(score * weight * 0.5) AS score FROM h1 JOIN b USING (node) GROUP BY 1)
 SELECT node, round(max(score), 9) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1""")
 def attention(spark, sf_dir):
-    seeds = table(spark, sf_dir, "part").where("p_partkey % 211 = 0").select(C("p_partkey").alias("node"), F.lit(1.0).alias("score"))
+    seeds = table(spark, sf_dir, "part").where("p_size = 9").select(C("p_partkey").alias("node"), F.lit(1.0).alias("score"))
     co = materialize(cochange_edges(spark, sf_dir), "cochange")
     return g.attention(co, seeds).withColumn("score", F.round("score", 9))
 
 
 @register("graph_reach", EDGES_SQL + """,
-b AS (SELECT a AS src, b AS dst FROM p WHERE weight >= 2 UNION SELECT b, a FROM p WHERE weight >= 2), d0 AS (SELECT 7 AS node), d1 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d0)),
+b AS (SELECT a AS src, b AS dst FROM p WHERE weight >= 6 UNION SELECT b, a FROM p WHERE weight >= 6), d0 AS (SELECT 7 AS node), d1 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d0)),
 d2 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d1) AND dst NOT IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d1)),
 d3 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d2) AND dst NOT IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d1) AND dst NOT IN (SELECT node FROM d2))
 SELECT node::BIGINT AS node, 0 AS depth FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3""")
 def reach(spark, sf_dir):
-    p = g.pair_weights(edges(spark, sf_dir)).where("weight >= 2")
+    p = g.pair_weights(edges(spark, sf_dir)).where("weight >= 6")
     both = materialize(p.select(C("a").alias("src"), C("b").alias("dst")).union(p.select("b", "a")), "reach-edges")
     return g.reach(both, spark.range(7, 8).select(C("id").alias("node")), 3)
 
 
 @register("graph_neighbours", EDGES_SQL + """,
 b AS (SELECT DISTINCT src AS file, dst AS near FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst)
-SELECT file, near FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY near) AS n FROM b WHERE file % 5 = 0) WHERE n <= 8""")
+SELECT file, near FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY near) AS n FROM b) WHERE n <= 8""")
 def neighbours(spark, sf_dir):
-    files = communities(spark, sf_dir).where("node % 5 = 0").select(C("node").alias("file"))
+    files = communities(spark, sf_dir).select(C("node").alias("file"))
     return g.neighbours(edges(spark, sf_dir), files, 8)
 
 

@@ -3,49 +3,200 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sparkloom.operators import bm25
+from sparkloom.functions import text as tx
+from sparkloom.operators import bm25, ranking
 from sparkloom.plans.catalog import register
 from sparkloom.runtime import table
 
-#: DuckDB rendering of the plain tokenizer: words(doc_id, w) to tokens(doc_id, term).
-TOKENS_SQL = r"""
-words AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+')) AS w FROM {src}),
-parts AS (SELECT doc_id, lower(unnest(string_split(regexp_replace(regexp_replace(w, '(\p{{Ll}})(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'),
-  '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS p FROM words WHERE w <> ''),
-tokens AS (
-  SELECT doc_id, lower(w) AS term FROM words WHERE strlen(lower(w)) >= 3
+C = F.col
+QUERY = "the station hand"
+
+
+def _tokens_sql(src: str, key: str, text: str, p: str = "") -> str:
+    """CTEs {p}words, {p}parts and {p}tokens(key, term): the plain tokenizer without lookaround."""
+    return rf"""
+{p}words AS (SELECT {key}, unnest(regexp_split_to_array(coalesce({text}, ''), '[^\p{{L}}\p{{N}}]+')) AS w FROM {src}),
+{p}parts AS (SELECT {key}, lower(unnest(string_split(regexp_replace(regexp_replace(w, '(\p{{Ll}})(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS p FROM {p}words WHERE w <> ''),
+{p}tokens AS (
+  SELECT {key}, lower(w) AS term FROM {p}words WHERE strlen(lower(w)) >= 3
   UNION ALL
-  SELECT doc_id, CASE WHEN strlen(p) < 4 THEN p
-    WHEN p LIKE '%ies' THEN left(p, length(p) - 3) || 'y'
-    WHEN p LIKE '%ing' AND strlen(p) > 5 THEN left(p, length(p) - 3)
-    WHEN p LIKE '%tion' THEN left(p, length(p) - 3)
-    WHEN p LIKE '%ment' AND strlen(p) > 6 THEN left(p, length(p) - 4)
-    WHEN p LIKE '%es' AND strlen(p) > 4 THEN left(p, length(p) - 2)
-    WHEN p LIKE '%s' AND p NOT LIKE '%ss' THEN left(p, length(p) - 1)
-    ELSE p END FROM parts WHERE p <> '')
-"""
+  SELECT {key}, CASE WHEN strlen(p) < 4 THEN p WHEN p LIKE '%ies' THEN left(p, length(p) - 3) || 'y' WHEN p LIKE '%ing' AND strlen(p) > 5 THEN left(p, length(p) - 3)
+    WHEN p LIKE '%tion' THEN left(p, length(p) - 3) WHEN p LIKE '%ment' AND strlen(p) > 6 THEN left(p, length(p) - 4) WHEN p LIKE '%es' AND strlen(p) > 4 THEN left(p, length(p) - 2)
+    WHEN p LIKE '%s' AND p NOT LIKE '%ss' THEN left(p, length(p) - 1) ELSE p END FROM {p}parts WHERE p <> '')"""
 
-QUERY = "the station hand"
 
-BM25_SQL = (
-    "WITH "
-    + TOKENS_SQL.format(src="documents")
-    + """,
-tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM tokens GROUP BY 1, 2),
-dl AS (SELECT d.doc_id, count(t.term) AS dl FROM documents d LEFT JOIN tokens t USING (doc_id) GROUP BY 1),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT * FROM (VALUES ('the', 2), ('station', 1), ('stat', 1), ('hand', 2)) v(term, q_n)),
-sc AS (SELECT tf.doc_id, sum(q_n * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-  FROM tf JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1)
-SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY round(sc.score, 6) DESC, doc_id LIMIT 50
-"""
-)
+_DOCS = "WITH " + _tokens_sql("documents", "doc_id", "text") + """,
+tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM tokens GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM documents) AS avgdl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
+_SCORE = "sum(q_n * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))"
+_BENCH = _DOCS + "," + _tokens_sql("benchmark", "item_id", "text", "b_") + f""",
+q AS (SELECT item_id AS query_id, term, count(*) AS q_n FROM b_tokens GROUP BY 1, 2),
+sc AS (SELECT query_id, doc_id, round({_SCORE}, 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
-@register("bm25_topk_documents", BM25_SQL)
+@register("bm25_topk_documents", _DOCS + f""",
+q AS (SELECT * FROM (VALUES ('the', 2), ('station', 1), ('stat', 1), ('hand', 2)) v(term, q_n)),
+sc AS (SELECT doc_id, round({_SCORE}, 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1)
+SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 50""")
 def bm25_topk_documents(spark, sf_dir):
     queries = spark.createDataFrame([("q", QUERY)], "query_id string, query string")
-    scored = bm25.score(table(spark, sf_dir, "documents"), "doc_id", "text", queries)
+    scored = bm25.score(table(spark, sf_dir, "documents"), queries)
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+def _bench_scores(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"))
+    return bm25.score(table(spark, sf_dir, "documents"), queries).withColumn("score", F.round("score", 6))
+
+
+@register("bm25_benchmark_top10", _BENCH + " SELECT query_id, doc_id, score, (rank - 1)::INTEGER AS rank FROM rk WHERE rank <= 10")
+def bm25_benchmark(spark, sf_dir):
+    return ranking.top_k(_bench_scores(spark, sf_dir), 10)
+
+
+@register("retrieval_metrics", _BENCH + """,
+rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), sz AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1),
+h AS (SELECT rk.query_id, rank, row_number() OVER (PARTITION BY rk.query_id ORDER BY rank) AS n FROM rk JOIN rel USING (query_id, doc_id) WHERE rank <= 10),
+g AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg, sum(n / rank) AS ap FROM h GROUP BY 1)
+SELECT query_id, round(coalesce(hits, 0) / relevant, 6) AS recall, round(coalesce(hits, 0) / 10, 6) AS precision, (coalesce(hits, 0) > 0)::INT::DOUBLE AS hit, round(coalesce(1 / first, 0), 6) AS mrr,
+  round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(relevant, 10) + 1) r(i)), 6) AS ndcg, round(coalesce(ap, 0) / relevant, 6) AS ap FROM sz LEFT JOIN g USING (query_id)""")
+def retrieval_metrics(spark, sf_dir):
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    # The benchmark is the fixed query set; every document is looked at once.
+    qrels = docs.alias("d").join((items.select("item_id", C("text").alias("head"))), F.contains(C("d.text"), C("head"))).select(C("item_id").alias("query_id"), "doc_id")
+    results = ranking.top_k(_bench_scores(spark, sf_dir), 10).withColumn("rank", C("rank") + 1)
+    m = ranking.ir_metrics(results, qrels, 10)
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
+@register("token_statistics", _DOCS + " SELECT doc_id, dl, count(*) AS terms, max(tf) AS most FROM tf JOIN dl USING (doc_id) GROUP BY 1, 2")
+def token_statistics(spark, sf_dir):
+    return bm25.postings(table(spark, sf_dir, "documents")).groupBy("doc_id", "dl").agg(F.count("*").alias("terms"), F.max("tf").alias("most"))
+
+
+@register("document_frequency", _DOCS + " SELECT term, df FROM df WHERE df > 20")
+def document_frequency(spark, sf_dir):
+    return bm25.postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df")).where("df > 20")
+
+
+@register("tfidf_top_terms", _DOCS + """
+SELECT doc_id, term, weight FROM (SELECT doc_id, term, round((1 + ln(tf)) * ln(n / df), 6) AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round((1 + ln(tf)) * ln(n / df), 6) DESC, term) AS r FROM tf JOIN df USING (term), st) WHERE r <= 5""")
+def tfidf_top_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    w = bm25.tfidf(bm25.postings(docs), docs.agg(F.count("*").alias("n"))).withColumn("weight", F.round("weight", 6))
+    return w.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).where("r <= 5").drop("r")
+
+
+@register("keyword_counts", r"""
+SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: lower(x)), lambda x: strlen(x) >= 2))::INTEGER AS keywords FROM documents""")
+def keyword_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.keywords(C("text"))).alias("keywords"))
+
+
+@register("code_tokens", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS w FROM documents),
+t AS (SELECT doc_id, lower(w) AS term FROM w WHERE strlen(lower(w)) >= 3 AND lower(w) NOT IN ('the', 'and', 'for'))
+SELECT term, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 5""")
+def code_tokens(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.explode(tx.words(C("text"))).alias("w"))
+    t = docs.select(F.lower("w").alias("term")).where((F.octet_length("term") >= 3) & ~C("term").isin("the", "and", "for"))
+    return t.groupBy("term").agg(F.count("*").alias("n")).where("n >= 5")
+
+
+_RANKERS = """
+WITH d AS (SELECT source AS query_id, doc_id, n_chars, length(text) AS l FROM documents WHERE source <> 'src3'),
+a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM d), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 97 DESC, doc_id) - 1 AS rank FROM d),
+c AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY l % 1000 DESC, doc_id) - 1 AS rank FROM d)"""
+
+
+def _rankers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("source <> 'src3'").select(C("source").alias("query_id"), "doc_id", "n_chars", F.length("text").alias("l"))
+    return [ranking.ranked(d.withColumn("score", s.cast("double"))) for s in (C("n_chars"), C("doc_id") % 97, C("l") % 1000)]
+
+
+@register("fusion_rrf", _RANKERS + " SELECT query_id, doc_id, round(sum(1.0 / (20 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1, 2")
+def fusion_rrf(spark, sf_dir):
+    return ranking.rrf(_rankers(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@register("fusion_hybrid", """
+WITH p0 AS (SELECT source AS query_id, doc_id, n_chars::DOUBLE AS s FROM documents WHERE n_chars > 1000), o0 AS (SELECT source AS query_id, doc_id, (doc_id % 97)::DOUBLE AS s FROM documents WHERE lang <> 'de'),
+p AS (SELECT query_id, doc_id, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1 END AS p FROM p0 WINDOW w AS (PARTITION BY query_id)),
+o AS (SELECT query_id, doc_id, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1 END AS o FROM o0 WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, doc_id, p, o, min(p) OVER (PARTITION BY query_id) AS w FROM p FULL JOIN o USING (query_id, doc_id))
+SELECT query_id, doc_id, round(CASE WHEN p IS NOT NULL THEN greatest(p, coalesce(o, 0)) ELSE coalesce(w, 0) * 0.5 END, 9) AS score FROM f""")
+def fusion_hybrid(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(C("source").alias("query_id"), "doc_id", "n_chars", "lang")
+    p = d.where("n_chars > 1000").select("query_id", "doc_id", C("n_chars").cast("double").alias("score"))
+    o = d.where("lang <> 'de'").select("query_id", "doc_id", (C("doc_id") % 97).cast("double").alias("score"))
+    return ranking.hybrid(p, o).withColumn("score", F.round("score", 9))
+
+
+@register("normalise_min_max", """
+SELECT source AS query_id, doc_id, round(CASE WHEN max(n_chars) OVER w > min(n_chars) OVER w THEN (n_chars - min(n_chars) OVER w) / (max(n_chars) OVER w - min(n_chars) OVER w) ELSE 0 END, 9) AS norm FROM documents WINDOW w AS (PARTITION BY source)""")
+def normalise_min_max(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(C("source").alias("query_id"), "doc_id", C("n_chars").cast("double").alias("score"))
+    return ranking.min_max(d, flat=0.0).select("query_id", "doc_id", F.round("norm", 9).alias("norm"))
+
+
+_DENSE = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT label, min(vec_id) AS query_id, arg_min(e, vec_id) AS qe FROM v GROUP BY 1),
+s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(qe, e), 6) AS score FROM v JOIN q USING (label) WHERE vec_id <> query_id)"""
+
+
+def _dense(spark, sf_dir):
+    """The first vector of each label against the others of its label."""
+    v = table(spark, sf_dir, "embeddings").select("label", C("vec_id").alias("doc_id"), C("embedding").alias("e"))
+    q = v.groupBy("label").agg(F.min("doc_id").alias("query_id"), F.min_by("e", "doc_id").alias("qe"))
+    return v.join(q, "label").where("doc_id <> query_id").select("query_id", "doc_id", F.round(ranking.cosine(C("qe"), C("e")), 6).alias("score"))
+
+
+@register("dense_cosine_top10", _DENSE + " SELECT query_id, doc_id, score, (r - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 10")
+def dense_cosine(spark, sf_dir):
+    return ranking.top_k(_dense(spark, sf_dir), 10)
+
+
+@register("vector_levels", """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM u),
+x AS (SELECT vec_id, unnest(e) / n AS x, unnest(range(0, len(e))) AS i FROM n), f AS (SELECT vec_id, CASE WHEN i % 2 = 1 THEN -x ELSE x END AS x FROM x)
+SELECT vec_id, count(*) FILTER (x < -0.9816) AS l0, count(*) FILTER (x >= -0.9816 AND x < 0) AS l1, count(*) FILTER (x >= 0 AND x < 0.9816) AS l2, count(*) FILTER (x >= 0.9816) AS l3 FROM f GROUP BY 1""")
+def vector_levels(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", ranking.quantise(C("embedding")).alias("c"))
+    count = lambda k: F.size(F.filter("c", lambda x: x == k)).cast("long").alias(f"l{k}")
+    return v.select("vec_id", *[count(k) for k in range(4)])
+
+
+_ITEMS = "WITH i AS (SELECT source AS query_id, doc_id, n_chars AS tokens, (row_number() OVER (PARTITION BY source ORDER BY n_chars % 1000 DESC, doc_id) - 1)::INTEGER AS rank FROM documents)"
+
+
+def _items(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(C("source").alias("query_id"), "doc_id", C("n_chars").alias("tokens"), (C("n_chars") % 1000).alias("score"))
+    return ranking.ranked(d).drop("score")
+
+
+@register("pack_stop", _ITEMS + " SELECT query_id, doc_id, tokens, rank FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM i) WHERE s <= 20000")
+def pack_stop(spark, sf_dir):
+    return ranking.pack_stop(_items(spark, sf_dir), 20000)
+
+
+@register("pack_skip", _ITEMS.replace("WITH i", "WITH RECURSIVE i") + """,
+f AS (SELECT query_id, rank, doc_id, tokens, tokens <= 20000 AS kept, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END AS used FROM i WHERE rank = 0
+  UNION ALL SELECT i.query_id, i.rank, i.doc_id, i.tokens, used + i.tokens <= 20000, CASE WHEN used + i.tokens <= 20000 THEN used + i.tokens ELSE used END FROM f JOIN i ON i.query_id = f.query_id AND i.rank = f.rank + 1)
+SELECT query_id, rank, tokens, doc_id FROM f WHERE kept""")
+def pack_skip(spark, sf_dir):
+    return ranking.pack_skip(_items(spark, sf_dir), 20000)
+
+
+@register("harm_filter", r"""
+WITH c AS (SELECT source AS query_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS rank, 'src/' || ['tests/', 'core/', 'mocks/', ''][doc_id % 4 + 1] || doc_id || ['.rs', '.toml', '_test.go'][doc_id % 3 + 1] AS path FROM documents),
+f AS (SELECT *, CASE WHEN regexp_matches(path, '/tests?/|_test\.|\.test\.|\.spec\.|^tests?/|test_') THEN 'test' WHEN regexp_matches(path, 'fixture|mock|snapshot|testdata|__snapshots__|stub') THEN 'fixture' WHEN regexp_matches(path, '\.toml$') THEN 'config' END AS reason, ceil(count(*) OVER (PARTITION BY query_id) * 0.4) AS most FROM c)
+SELECT query_id, rank, path, reason, reason IS NOT NULL AND sum((reason IS NOT NULL)::INT) OVER (PARTITION BY query_id ORDER BY rank) <= most AS removed FROM f""")
+def harm_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(C("source").alias("query_id"), "doc_id")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (C("doc_id") % len(names) + 1).cast("int"))
+    path = F.concat(F.lit("src/"), pick(["tests/", "core/", "mocks/", ""]), C("doc_id"), pick([".rs", ".toml", "_test.go"]))
+    c = d.select("query_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1).alias("rank"), path.alias("path"))
+    return ranking.harm_filter(c)
