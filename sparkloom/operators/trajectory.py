@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 C = F.col
-RUN = Window.partitionBy("run_id").orderBy("timestamp", "sequence")
 EDIT_TOOLS = ("edit_file", "write_file", "apply_patch")
 #: Tool pairs that belong together and reset the loop detector.
 EXPECTED_PAIRS = (("write_file", "read_file"), ("edit_file", "bash"), ("edit_file", "read_file"), ("bash", "read_file"), ("grep", "read_file"))
 
 
+def in_run():
+    """The window of a run in time order."""
+    return Window.partitionBy("run_id").orderBy("timestamp", "sequence")
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -86,7 +90,7 @@ def tool_breakdown(steps: DataFrame, *by: str) -> DataFrame:
 
 def doom_loop_frequency(steps: DataFrame, window: int = 10) -> DataFrame:
     """Share of calls that repeat one of the ``window - 1`` calls before them."""
-    calls = steps.where(completed() & C("tool_name").isNotNull()).withColumn("_n", F.row_number().over(RUN))
+    calls = steps.where(completed() & C("tool_name").isNotNull()).withColumn("_n", F.row_number().over(in_run()))
     same = Window.partitionBy("run_id", "tool_name", "payload_summary").orderBy("_n")
     again = F.coalesce(C("_n") - F.lag("_n").over(same) <= window - 1, F.lit(False))
     g = calls.withColumn("_again", again).groupBy("run_id").agg(F.count_if("_again").alias("numerator"), F.count("*").alias("denominator"))
@@ -95,12 +99,12 @@ def doom_loop_frequency(steps: DataFrame, window: int = 10) -> DataFrame:
 
 def loop_verdicts(calls: DataFrame) -> DataFrame:
     """Consecutive identical calls: Ok, Warning (2), Correct (3, 4), HardStop (5 and up)."""
-    before = F.lag("tool_name").over(RUN)
+    before = F.lag("tool_name").over(in_run())
     pair = F.concat_ws(">", before, "tool_name").isin(*[f"{a}>{b}" for a, b in EXPECTED_PAIRS])
     print_ = F.struct("tool_name", "payload_summary")
     c = calls.withColumn("_white", F.coalesce(pair, F.lit(False)))
-    fresh = C("_white") | F.coalesce(F.lag("_white").over(RUN), F.lit(True)) | ~print_.eqNullSafe(F.lag(print_).over(RUN))
-    c = c.withColumn("_island", F.sum(fresh.cast("int")).over(RUN.rowsBetween(Window.unboundedPreceding, 0)))
+    fresh = C("_white") | F.coalesce(F.lag("_white").over(in_run()), F.lit(True)) | ~print_.eqNullSafe(F.lag(print_).over(in_run()))
+    c = c.withColumn("_island", F.sum(fresh.cast("int")).over(in_run().rowsBetween(Window.unboundedPreceding, 0)))
     n = F.row_number().over(Window.partitionBy("run_id", "_island").orderBy("timestamp", "sequence"))
     c = c.withColumn("consecutive", F.when(C("_white"), 0).otherwise(n))
     verdict = F.when(C("consecutive") <= 1, "Ok").when(C("consecutive") == 2, "Warning").when(C("consecutive") <= 4, "Correct").otherwise("HardStop")
@@ -109,17 +113,17 @@ def loop_verdicts(calls: DataFrame) -> DataFrame:
 
 def doom_tracker(calls: DataFrame, n: int = 3) -> DataFrame:
     """``hit``: the last n calls are equal; ``abort``: the call before was a hit too."""
-    recent = RUN.rowsBetween(-(n - 1), 0)
+    recent = in_run().rowsBetween(-(n - 1), 0)
     key = F.concat_ws("|", "tool_name", "payload_summary")
     hit = (F.count("*").over(recent) == n) & (F.min(key).over(recent) == F.max(key).over(recent))
     c = calls.withColumn("hit", hit)
-    return c.withColumn("abort", C("hit") & F.coalesce(F.lag("hit").over(RUN), F.lit(False)))
+    return c.withColumn("abort", C("hit") & F.coalesce(F.lag("hit").over(in_run()), F.lit(False)))
 
 
 def weak_verification(steps: DataFrame, within: int = 3) -> DataFrame:
     """Runs with a successful edit that nothing verifies in the next steps."""
     verifies = F.coalesce(C("tool_name") == "bash", F.lit(False)) | (C("event_type") == "SensorExecuted")
-    seen = F.coalesce(F.max(verifies.cast("int")).over(RUN.rowsBetween(1, within)), F.lit(0))
+    seen = F.coalesce(F.max(verifies.cast("int")).over(in_run().rowsBetween(1, within)), F.lit(0))
     weak = completed() & is_edit() & (C("outcome") == "Success") & (C("_seen") == 0)
     return steps.withColumn("_seen", seen).groupBy("run_id").agg(F.coalesce(F.bool_or(weak), F.lit(False)).alias("weak_verification"))
 
@@ -127,7 +131,7 @@ def weak_verification(steps: DataFrame, within: int = 3) -> DataFrame:
 def task_derailment(steps: DataFrame, mentions: Column, limit: int = 5) -> DataFrame:
     """``limit`` calls in a row without a context file, before any overflow recovery."""
     overflow = C("event_type") == "ContextOverflowRecovery"
-    upto = RUN.rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_run().rowsBetween(Window.unboundedPreceding, 0)
     s = steps.where(overflow | completed()).withColumn("_m", F.coalesce(mentions, F.lit(False)))
     s = s.withColumn("_over", F.max(overflow.cast("int")).over(upto)).withColumn("_island", F.sum((overflow | C("_m")).cast("int")).over(upto))
     miss = (~overflow & ~C("_m")).cast("int")
@@ -137,7 +141,7 @@ def task_derailment(steps: DataFrame, mentions: Column, limit: int = 5) -> DataF
 
 def history_loss(steps: DataFrame, hot: Column, within: int = 3) -> DataFrame:
     """A hot file is read again within a few steps of an overflow recovery."""
-    after = F.max((C("event_type") == "ContextOverflowRecovery").cast("int")).over(RUN.rowsBetween(-within, -1))
+    after = F.max((C("event_type") == "ContextOverflowRecovery").cast("int")).over(in_run().rowsBetween(-within, -1))
     lost = completed() & (C("tool_name") == "read_file") & hot & (C("_after") == 1)
     return steps.withColumn("_after", after).groupBy("run_id").agg(F.coalesce(F.bool_or(lost), F.lit(False)).alias("history_loss"))
 
