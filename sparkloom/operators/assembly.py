@@ -113,7 +113,7 @@ def impact(reached: DataFrame, communities: DataFrame, tests: DataFrame, cochang
     return r.agg(F.count_distinct("community").alias("communities"), F.count("test").alias("tests"), F.count_if(C("weight") >= 0.1).alias("cochanged"))
 
 
-def local_moves(rows: pd.DataFrame, resolution: float = 1.0, passes: int = 20) -> dict:
+def local_moves(rows: pd.DataFrame, resolution: float = 1.0, passes: int = 10) -> dict:
     """Greedy modularity moves over the pairs of one component, nodes in id order."""
     near: dict = {}
     for a, b, w in rows[["a", "b", "weight"]].itertuples(index=False):
