@@ -34,8 +34,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    coded = texts.withColumn("ids", bpe.encode(F.col("text"), path))
-    checked = coded.withColumn("round_trip", bpe.decode(F.col("ids"), path) == F.col("text"))
+    coded = texts.withColumn("_b", bpe.encode_and_decode(F.col("text"), path))
+    checked = coded.select("doc_id", "lang", "source", "_b.ids", (F.col("_b.decoded") == F.col("text")).alias("round_trip"))
     return checked.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 

@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about this many characters.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 4_000_000
 #: Pieces whose ids are kept between runs; past it the store starts anew.
 KEPT_PIECES = 250_000
 
@@ -178,9 +179,9 @@ class PieceEncoder:
             pieces.update(p)
         if len(self.inner) + len(self.outer) > KEPT_PIECES:
             self.inner, self.outer = {}, {}
-        new = [p for p in pieces if p not in self.inner and not self._odd(p)]
+        new = [p for p in pieces - self.inner.keys() if not self._odd(p)]
         self.inner.update(zip(new, self.encode_strings([" " + p for p in new]), strict=True))
-        new = [p for p in heads if p not in self.outer]
+        new = list(heads - self.outer.keys())
         self.outer.update(zip(new, self.encode_strings(new), strict=True))
         out = []
         for text, p in zip(texts, split, strict=True):
@@ -211,11 +212,12 @@ class TrieEncoder(PieceEncoder):
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
     def encode_strings(self, strings: list[str]) -> list[bytes]:
-        cut: list[list[str | int]] = []
-        marks = tuple(self.vocab.special)
-        for s in strings:
-            if not any(mark in s for mark in marks):
-                cut.append(self.pretokens(s))
+        cut: list[list[str]] = []
+        mixed: dict[int, list[str | int]] = {}  # strings that hold a special token
+        words, plain, marked = self._words.findall, self._plain.fullmatch, self._marks.search
+        for i, s in enumerate(strings):
+            if marked(s) is None:
+                cut.append(words(s) if s.isascii() or plain(s) else self.pretokens(s))
                 continue
             parts: list[str | int] = []
             at = 0
@@ -223,14 +225,18 @@ class TrieEncoder(PieceEncoder):
                 parts += self.pretokens(s[at : m.start()])
                 parts.append(self.vocab.special[m[0]])
                 at = m.end()
-            cut.append(parts + self.pretokens(s[at:]))
+            mixed[i] = parts + self.pretokens(s[at:])
+            cut.append([w for w in mixed[i] if isinstance(w, str)])
         if len(self.known) > KEPT_PIECES:
             self.known = {}
-        new = list({w for parts in cut for w in parts if isinstance(w, str)} - self.known.keys())
+        new = list(set(chain.from_iterable(cut)) - self.known.keys())
         ids = encode_words([w.encode() for w in new], self.vocab)
         self.known.update((w, array("I", x).tobytes()) for w, x in zip(new, ids, strict=True))
         known = self.known
-        return [b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in parts]) for parts in cut]
+        out = [known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts]) for parts in cut]
+        for i, parts in mixed.items():
+            out[i] = b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in parts])
+        return out
 
 
 class LibraryEncoder(PieceEncoder):
@@ -284,15 +290,39 @@ def encode(text: Column, path: str) -> Column:
     return ids(text)
 
 
+def _texts(ids: pa.ListArray, table: list[bytes]) -> pa.Array:
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+    return pa.array((b"".join([table[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)), pa.string())
+
+
+def token_table(path: str) -> list[bytes]:
+    bytes_of = vocabulary(path).bytes_of
+    return [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of token ids; special tokens are kept."""
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bytes_of = vocabulary(path).bytes_of
-        table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+        table = token_table(path)
         for batch in batches:
-            flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
-            yield pa.array((b"".join([table[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)), pa.string())
+            yield _texts(batch, table)
 
     return texts(ids)
+
+
+def encode_and_decode(text: Column, path: str) -> Column:
+    """Struct (ids, decoded) in one pass through Python: the text of the ids is made from the ids alone."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, table = TrieEncoder(path), token_table(path)
+        for batch in batches:
+            parts = []
+            for run in runs(batch):
+                ids = id_lists(encoder.encode(run))
+                parts.append(pa.StructArray.from_arrays([ids, _texts(ids, table)], names=["ids", "decoded"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
+
+    return both(text)

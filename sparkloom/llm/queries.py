@@ -58,8 +58,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    back = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("decoded"))
+    back = docs.select("doc_id", bpe.encode_and_decode(F.col("text"), path).alias("_b")).select("doc_id", "_b.ids", "_b.decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
