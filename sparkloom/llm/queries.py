@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bitslice, bpe, html, jaccard, licenses, mixing, quality, token_files, urls, warc
+from sparkloom.llm import bitslice, bpe, html, jaccard, licenses, mixing, oracles, quality, token_files, urls, warc
 from sparkloom.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,4 +79,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.oracle_sql()}
+    return oracles.oracle_sql()
