@@ -64,10 +64,9 @@ def grams(host: Column, path: Column) -> Column:
     code = lambda c: F.instr(F.lit(ALPHABET), c)
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), code)
     padded = F.concat(F.array(F.lit(START), F.lit(START)), codes)
-    return F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(padded)), lambda i: i > 2),
-        lambda i: F.element_at(padded, i - 2) * (SYMBOLS * SYMBOLS) + F.element_at(padded, i - 1) * SYMBOLS + F.element_at(padded, i),
-    )
+    n = F.size(padded) - 2
+    head = F.zip_with(F.slice(padded, F.lit(1), n), F.slice(padded, F.lit(2), n), lambda a, b: a * (SYMBOLS * SYMBOLS) + b * SYMBOLS)
+    return F.zip_with(head, codes, lambda ab, c: ab + c)
 
 
 def ratio_table(labelled: DataFrame) -> DataFrame:
