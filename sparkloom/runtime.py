@@ -10,14 +10,31 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+        package = Path(__file__).resolve().parent
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, Path("sparkloom") / f.relative_to(package))
+        spark.sparkContext.addPyFile(str(archive))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -46,6 +63,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     only repeats the tasks that were running on it.
     """
     spark = df.sparkSession
+    ship(spark)
     path = shared_path(spark, label)
     writer = df.write
     if partition_by:
