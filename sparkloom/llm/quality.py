@@ -3,11 +3,14 @@
 Repetitive text compresses far better than prose and noise far worse.  The
 zstandard ratio (compressed bytes over UTF-8 bytes) of the whole text has to
 lie in a band that depends on its length, since short texts compress badly.
-The same test on fixed chunks finds texts of which only a part is bad: a text
-goes when more than a stated share of its chunks leaves the chunk band.
+The same test on overlapping chunks, the last of which ends with the text,
+finds texts of which only a part is bad: a text goes when the chunks that
+leave their band cover more than a stated share of its bytes.  Shorter texts
+have shorter chunks with bands of their own.
 
 Defined cases: a null text counts as empty; texts under the shortest band are
-judged by the base rules alone; any length is measured whole.
+judged by the base rules alone, those under the shortest chunks' length also
+by the whole-text band; any length is measured whole.
 """
 
 from __future__ import annotations
@@ -41,9 +44,21 @@ class Bands:
     chunk_bytes: int = 2048
     chunk_low: float = 0.30
     chunk_high: float = 0.75
+    #: For texts too short for two chunks of ``chunk_bytes``: (least bytes of text, chunk bytes, lowest ratio, highest ratio).
+    short: tuple[tuple[int, int, float, float], ...] = (
+        (256, 128, 0.30, 1.00),
+        (512, 256, 0.35, 0.88),
+        (1024, 512, 0.38, 0.77),
+        (2048, 1024, 0.38, 0.70),
+    )
     bad_chunks: float = 0.25
     level: int = 3
 
+    def chunk_band(self, n: int) -> tuple[int, float, float] | None:
+        if n >= 2 * self.chunk_bytes:
+            return self.chunk_bytes, self.chunk_low, self.chunk_high
+        return next((b[1:] for b in reversed(self.short) if n >= b[0]), None)
+
     def verdict(self, compress, data: bytes) -> bool:
         limits = [b for b in self.whole if len(data) >= b[0]]
         if not limits:
@@ -51,14 +66,16 @@ class Bands:
         _, low, high = limits[-1]
         if not low <= len(compress(data)) / len(data) <= high:
             return False
-        n = len(data) // self.chunk_bytes
-        if n < 2:
+        band = self.chunk_band(len(data))
+        if band is None:
             return True
-        bad = 0
-        for i in range(n):
-            ratio = len(compress(data[i * self.chunk_bytes : (i + 1) * self.chunk_bytes])) / self.chunk_bytes
-            bad += not self.chunk_low <= ratio <= self.chunk_high
-        return bad <= self.bad_chunks * n
+        size, low, high = band
+        last, covered, upto = len(data) - size, 0, 0
+        for at in (*range(0, last, size // 4), last):
+            if not low <= len(compress(data[at : at + size])) / size <= high:
+                covered += at + size - max(at, upto)
+                upto = at + size
+        return covered <= self.bad_chunks * len(data)
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)

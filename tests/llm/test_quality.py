@@ -72,3 +72,17 @@ def test_query_against_brute_force(spark):
         want = brute(texts[r.doc_id])
         assert tuple(r[c] for c in quality.COUNTS) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+
+
+def test_bad_tails_and_halves():
+    bands, compress = quality.Bands(), zstandard.ZstdCompressor(level=3).compress
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n))
+    ok = lambda t: bands.verdict(compress, t.encode())
+    text = prose(3000)
+    assert not ok(text[:4096] + noise(2004)) and not ok(noise(2048) + text[:4052])
+    for n in (300, 600, 900, 1300, 1800, 2500, 3900, 4100):
+        assert ok(text[:n]), n
+        assert not ok(text[: n // 2] + noise(n - n // 2)) and not ok(noise(n // 2) + text[: n - n // 2]), n
+    for n in range(4096, 9000, 97):
+        assert ok(text[:n]), n
