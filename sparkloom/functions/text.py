@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 CAMEL_PLAIN = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 CAMEL_CODE = r"(?<=.)(?=\p{Lu})(?:(?<!\p{Lu})|(?=\p{Lu}\p{Ll}))"
 NON_ALNUM = r"[^\p{L}\p{N}]+"
+#: Stop words of the code tokenizer: keywords, common types and file extensions.
+CODE_STOP_WORDS = tuple("abstract and arc as async await bool box break chan class clone const continue cpp crate css def default defer dyn else enum err export extends extern f32 f64 false final fn for from func function go hpp html i32 i64 if impl implements import in instanceof interface into isize java js json jsx kt lambda let loop map match md mod move mut new none not null ok option package pass php private protected pub public py range rb ref require result return rs self some static str string struct super that the this throws toml trait true ts tsx type typeof u16 u32 u64 u8 undefined unsafe use usize var vec void where while with yaml yield".split())
 
 
 def words(text: Column) -> Column:

@@ -106,6 +106,24 @@ def code_tokens(spark, sf_dir):
     return t.groupBy("term").agg(F.count("*").alias("n")).where("n >= 5")
 
 
+_STOPS = ", ".join(f"'{w}'" for w in tx.CODE_STOP_WORDS)
+
+
+@register("code_tokens_all", rf"""
+WITH w AS (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+')) AS w FROM documents),
+p AS (SELECT lower(unnest(string_split(regexp_replace(regexp_replace(w, '(\P{{Lu}})(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS p FROM w WHERE w <> ''),
+s AS (SELECT CASE WHEN strlen(p) <= 4 THEN p WHEN p LIKE '%ing' AND strlen(p) > 5 THEN left(p, length(p) - 3) WHEN p LIKE '%tion' AND strlen(p) > 6 THEN left(p, length(p) - 3)
+    WHEN p LIKE '%ment' AND strlen(p) > 6 THEN left(p, length(p) - 4) WHEN (p LIKE '%able' OR p LIKE '%ible') AND strlen(p) > 6 THEN left(p, length(p) - 4)
+    WHEN p LIKE '%er' THEN left(p, length(p) - 2) WHEN p LIKE '%ed' THEN left(p, length(p) - 2) ELSE p END AS term FROM p WHERE strlen(p) >= 2 AND p NOT IN ({_STOPS})),
+t AS (SELECT lower(w) AS term FROM w WHERE strlen(lower(w)) >= 3 AND lower(w) NOT IN ({_STOPS}) UNION ALL SELECT term FROM s WHERE term NOT IN ({_STOPS}))
+SELECT term, count(*) AS n FROM t GROUP BY 1""")
+def code_tokens_all(spark, sf_dir):
+    """Every term of the code tokenizer; ``code_tokens`` keeps to the whole words of its SQL."""
+    docs = table(spark, sf_dir, "documents")
+    terms = docs.select(F.explode(tx.tokenize_code(C("text"), list(tx.CODE_STOP_WORDS))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n"))
+
+
 _RANKERS = """
 WITH d AS (SELECT source AS query_id, doc_id, n_chars, length(text) AS l FROM documents WHERE source <> 'src3'),
 a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM d), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 97 DESC, doc_id) - 1 AS rank FROM d),
