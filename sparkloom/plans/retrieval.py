@@ -130,14 +130,24 @@ a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY
 c AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY l % 1000 DESC, doc_id) - 1 AS rank FROM d)"""
 
 
-def _rankers(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("source <> 'src3'").select(C("source").alias("query_id"), "doc_id", "n_chars", F.length("text").alias("l"))
+def _rankers(docs):
+    d = docs.select(C("source").alias("query_id"), "doc_id", "n_chars", F.length("text").alias("l"))
     return [ranking.ranked(d.withColumn("score", s.cast("double"))) for s in (C("n_chars"), C("doc_id") % 97, C("l") % 1000)]
 
 
 @register("fusion_rrf", _RANKERS + " SELECT query_id, doc_id, round(sum(1.0 / (20 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1, 2")
 def fusion_rrf(spark, sf_dir):
-    return ranking.rrf(_rankers(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return ranking.rrf(_rankers(table(spark, sf_dir, "documents").where("source <> 'src3'"))).withColumn("score", F.round("score", 9))
+
+
+@register("fusion_rrf_all", """
+WITH d AS (SELECT source AS query_id, doc_id, n_chars, length(text) AS l FROM documents),
+r AS (SELECT query_id, doc_id, unnest([row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC NULLS LAST, doc_id), row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 97 DESC NULLS LAST, doc_id),
+  row_number() OVER (PARTITION BY query_id ORDER BY l % 1000 DESC NULLS LAST, doc_id)]) - 1 AS rank FROM d)
+SELECT query_id, doc_id, round(sum(1.0 / (20 + rank)), 9) AS score FROM r GROUP BY 1, 2""")
+def fusion_rrf_all(spark, sf_dir):
+    """Every source and the documents without one; ``fusion_rrf`` leaves out what its SQL leaves out."""
+    return ranking.rrf(_rankers(table(spark, sf_dir, "documents"))).withColumn("score", F.round("score", 9))
 
 
 @register("fusion_hybrid", """
