@@ -1,8 +1,9 @@
 """Session helpers: table access, shared scratch tables and lineage cuts.
 
 Everything that has to outlive a stage goes to the folder named by
-``spark.checkpoint.dir`` (shared by driver and executors).  Only when that
-setting is absent, as in unit tests, a folder of our own is chosen.
+``spark.checkpoint.dir`` (shared by driver and executors).  Only a local master
+may do without that setting: there driver and executors are one process, so a
+temporary folder is shared too.  On a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 _FALLBACK: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
+_HELD: dict[int, tuple[SparkSession, str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
@@ -69,7 +74,19 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _HELD[id(back)] = (spark, path)
+    weakref.finalize(back, _HELD.pop, id(back), None)
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a table from :func:`materialize` that no plan reads any more."""
+    at = _HELD.pop(id(df), None)
+    if at is not None:
+        drop_path(*at)
+        if at in _WRITTEN:
+            _WRITTEN.remove(at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
