@@ -23,8 +23,12 @@ _SHIPPED: set[str] = set()
 _HELD: dict[int, tuple[SparkSession, str]] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package, wherever the driver was started."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Gives Python workers this package, wherever the driver was started.
+
+    To be called before a Python function is wrapped, as that fixes what it takes along.
+    """
+    spark = spark or SparkSession.active()
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         _SHIPPED.add(app)
