@@ -5,23 +5,32 @@ out (rows, cells, closing paragraphs and items).  The tree is then rendered:
 hidden elements are dropped, white space collapses except in preformatted
 text, blocks stand on lines of their own with blank lines where a browser has
 margins, list items get bullets or numbers and indents, and the cells of a
-table are padded to columns.  Both passes use explicit stacks, so any nesting
-works.
-
-Defined cases: null html gives the empty text; broken markup never fails; an
-unclosed element ends with the page; each row of a repeated page is rendered.
+table are padded to columns; a cell that spans rows keeps its columns blank in
+the rows below.  Both passes use explicit stacks, so any nesting works.
+
+Defined cases: null and empty html give the empty text; broken markup never
+fails; an unclosed element ends with the page; a page of any length is rendered
+whole; each row of a repeated page is rendered, so ties need no order; an empty
+table gives an empty one; further columns pass through, but ``html`` goes and a
+``text`` of the input gives way to the operator's.  White space is ASCII white
+space: a no-break space stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from string import whitespace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.rows import packed, passengers
+from sparkloom.runtime import ship
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template datalist object iframe audio video canvas noframes".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset".split())
@@ -47,7 +56,9 @@ _TOKEN = re.compile(
 )
 _HIDES = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WANTED = re.compile(r"hidden|style|type|start|colspan|open", re.I)
+_WANTED = re.compile(r"hidden|style|type|start|colspan|rowspan|open", re.I)
+#: Limits of the HTML standard for the spans of cells.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noframes", "iframe", "xmp")}
 
 
@@ -109,6 +120,8 @@ class TreeBuilder:
             if tag == "body":
                 self._close(frozenset({"head"}), frozenset())
             return
+        if tag == "head" and len(self.open) + len(self.root.children) > 1:
+            return
         if self.count.get("head") and tag not in HIDDEN and tag not in ("title", "meta", "link", "base", "noscript"):
             self._close(frozenset({"head"}), frozenset())
         if tag in CLOSES_P:
@@ -139,7 +152,7 @@ class TreeBuilder:
 
     def text(self, data: str) -> None:
         if self.count.get("head") and self.open[-1].tag == "head":
-            if not data.strip():
+            if not data.strip(whitespace):
                 return
             self._close(frozenset({"head"}), frozenset())
         self.open[-1].children.append(data)
@@ -177,6 +190,9 @@ def hidden(node: Node) -> bool:
     return bool(a) and ("hidden" in a or ("style" in a and _HIDES.search(a["style"]) is not None))
 
 
+_SPACES = re.compile(f"[{whitespace}]+")
+
+
 class _Flow:
     """Lines of one box."""
 
@@ -186,31 +202,31 @@ class _Flow:
         self.space = False
 
     def inline(self, data: str) -> None:
-        words = data.split()
-        if data[0].isspace() and self.now:
+        words = _SPACES.split(data.strip(whitespace)) if data.strip(whitespace) else []
+        if data[0] in whitespace and self.now:
             self.space = True
         if not words:
             return
         if self.space:
             self.now.append(" ")
         self.now.append(" ".join(words))
-        self.space = data[-1].isspace()
+        self.space = data[-1] in whitespace
 
     def verbatim(self, data: str) -> None:
         first, *rest = data.split("\n")
         self.now.append(first)
         for line in rest:
-            self.lines.append("".join(self.now).rstrip())
+            self.lines.append("".join(self.now).rstrip(whitespace))
             self.now = [line]
 
     def end_line(self) -> None:
         if self.now:
-            self.lines.append("".join(self.now).rstrip())
+            self.lines.append("".join(self.now).rstrip(whitespace))
             self.now = []
         self.space = False
 
     def force_line(self) -> None:
-        self.lines.append("".join(self.now).rstrip())
+        self.lines.append("".join(self.now).rstrip(whitespace))
         self.now, self.space = [], False
 
     def margin(self) -> None:
@@ -233,24 +249,48 @@ def _whole(text: str, default: int) -> int:
     return int(m[1]) if m else default
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (cell lines, columns spanned), padded so that columns align."""
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
-            at += span
+def place(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int, int]]]:
+    """Rows of (cell lines, columns, rows spanned) as rows of (cell lines, first column, end).
+
+    A cell goes to the first column that no cell above reaches down to.  The
+    columns are those in which some cell begins, so an empty span adds none.
+    """
+    active: list[tuple[int, int, int]] = []  # (first column, end, the first row below), in order
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            cells, at = [], 0
-            for lines, span in row:
-                room = sum(width.get(at + i, 0) for i in range(min(span, 1000))) + 3 * (min(span, 1000) - 1)
-                cells.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
-            out.append(" | ".join(cells).rstrip())
+    for k, row in enumerate(rows):
+        active = [x for x in active if x[2] > k]
+        at, i, placed, new = 0, 0, [], []
+        for lines, columns, down in row:
+            while i < len(active) and active[i][0] <= at:
+                at, i = max(at, active[i][1]), i + 1
+            placed.append((lines, at, at + columns))
+            if down > 1:
+                new.append((at, at + columns, k + down))
+            at += columns
+        active = sorted(active + new)
+        out.append(placed)
+    starts = sorted({a for row in out for _, a, _ in row})
+    return [[(lines, bisect_left(starts, a), bisect_left(starts, b)) for lines, a, b in row] for row in out]
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (cell lines, columns, rows spanned), padded so that columns align."""
+    placed = place(rows)
+    width = [0] * max((b for row in placed for _, _, b in row), default=0)
+    cells = sorted(((b - a, a, max(map(len, lines), default=0)) for row in placed for lines, a, b in row))
+    for span, a, needed in cells:  # what a wide cell lacks goes to its last column
+        room = width[a] if span == 1 else sum(width[a : a + span]) + 3 * (span - 1)
+        width[a + span - 1] += max(0, needed - room)
+    out = []
+    for row in placed:
+        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+            parts, at = [], 0
+            for lines, a, b in row:
+                parts += [" " * w for w in width[at:a]]
+                room = sum(width[a:b]) + 3 * (b - a - 1)
+                parts.append((lines[k] if k < len(lines) else "").ljust(room))
+                at = b
+            out.append(" | ".join(parts).rstrip(whitespace))
     return out
 
 
@@ -289,7 +329,10 @@ def render(root: Node) -> str:
                 flows.append(_Flow())
                 lists.append([False, 1]) if tag in ("td", "th") else None
             stack.append((node, True))
-            stack.extend((child, False) for child in reversed(node.children))
+            shown = node.children
+            if tag == "details" and "open" not in node.attrs:
+                shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"][:1]
+            stack.extend((child, False) for child in reversed(shown))
             continue
         if tag in ("li", "td", "th", "dd", "blockquote") or (tag == "tr" and not tables):
             lines = flows.pop().done()
@@ -304,10 +347,11 @@ def render(root: Node) -> str:
                 flow.end_line()
                 flow.lines += [(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(lines or [""])] if lines else [mark.rstrip()]
             elif tag in ("td", "th") and tables and tables[-1]:
-                tables[-1][-1].append((lines, max(1, _whole(node.attrs.get("colspan", ""), 1))))
+                columns, down = (_whole(node.attrs.get(c, ""), 1) for c in ("colspan", "rowspan"))
+                tables[-1][-1].append((lines, min(max(1, columns), MOST_COLUMNS), MOST_ROWS if down == 0 else min(max(1, down), MOST_ROWS)))
             else:
                 flow.end_line()
-                flow.lines += ["  " + line if line and tag != "tr" else line for line in lines]
+                flow.lines += ["  " + line if line and tag in ("dd", "blockquote") else line for line in lines]
         elif tag == "table":
             flow.end_line()
             flow.lines += table_lines(tables.pop())
@@ -327,6 +371,8 @@ def to_text(source: str | None) -> str:
 
 
 def extract(html: Column) -> Column:
+    ship()
+
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -337,5 +383,5 @@ def extract(html: Column) -> Column:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages(html, ...)`` with ``text`` in place of the html."""
-    kept = pages.drop(*[c for c in pages.columns if c.lower() == "text"])
-    return kept.withColumn("text", extract(F.col("html"))).drop("html")
+    rows = packed(pages, "html").withColumn("text", extract(F.col("html")))
+    return rows.select(*passengers(rows, ("html", "text")), "text")

@@ -34,6 +34,22 @@ def test_tables():
     assert T("<table><thead><tr><th>a<tbody><tr><td>b<tfoot><tr><td>c</table>") == "a\nb\nc"
 
 
+def test_spans():
+    assert T("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A | B\n  | C"
+    assert T("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g<tr><td>h<td>i<td>j</table>") == "a | b | c\nd |   | e\nf |   | g\nh | i | j"
+    assert T("<table><tr><td colspan=2>much wider<td>c<tr><td>1<td>2<td>3</table>") == "much wider | c\n1 | 2      | 3"
+    assert T("<table><tr><td colspan=1000>a<td>b<tr><td>1<td>2</table>") == "a     | b\n1 | 2"
+    assert T("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a | b\n  | c\n  | d"
+    assert len(T("<table>" + "<tr>" + "<td colspan=1000 rowspan=2>x" * 3000 + "<tr><td>y</table>")) < 50_000
+
+
+def test_head_details_and_spaces():
+    assert T("<head><head>w1") == "w1" and T(" <html><head><title>t</title><head><p>a") == "a" and T("x<head>y") == "xy"
+    assert T("<details>a<summary>s</summary>b</details>c") == "s\nc"
+    assert T("<details open>a<summary>s</summary>b</details>c") == "a\ns\nb\nc"
+    assert T("a&nbsp;&nbsp;b \u2003 c") == "a\xa0\xa0b \u2003 c" and T("<td>&nbsp;</td>x") == "\xa0\nx"
+
+
 def test_broken_markup_and_depth():
     assert T(None) == "" and T("") == "" and T("<") == "<" and T("a < b") == "a < b"
     assert T("<p>a</div></b>b</p></p>c") == "ab\n\nc"
@@ -50,8 +66,128 @@ def test_no_word_is_lost(parts):
     assert out.count("w1") + out.count("w2") == sum(p.strip() in ("w1", "w2") for p in parts)
 
 
+#: A page as a tree: a word, or (tag, attributes, children).  `model` lays it out by recursion, apart from the operator.
+WORDS = st.sampled_from(["w", "ab", "long-word", "x y"])
+CELLS = st.tuples(st.lists(WORDS, max_size=2), st.integers(1, 3), st.integers(1, 3))
+
+
+def table_model(rows):
+    grid, owner = {}, []
+    for r, row in enumerate(rows):
+        c = 0
+        for words, wide, high in row:
+            while (r, c) in grid:
+                c += 1
+            owner.append((" ".join(words), r, c, wide))
+            for i in range(wide):
+                for k in range(high):
+                    grid.setdefault((r + k, c + i), len(owner) - 1)
+            c += wide
+    starts = sorted({c for _, _, c, _ in owner})
+    spans = [(t, r, [i for i, s in enumerate(starts) if c <= s < c + wide]) for t, r, c, wide in owner]
+    size = [0] * len(starts)
+    for t, _, cols in sorted(spans, key=lambda x: (len(x[2]), x[2][0], len(x[0]))):
+        size[cols[-1]] += max(0, len(t) - sum(size[i] for i in cols) - 3 * (len(cols) - 1))
+    out = []
+    for r in range(len(rows)):
+        line, at = [], 0
+        for t, _, cols in [x for x in spans if x[1] == r]:
+            line += [" " * size[i] for i in range(at, cols[0])] + [t.ljust(sum(size[i] for i in cols) + 3 * (len(cols) - 1))]
+            at = cols[-1] + 1
+        if any(t for t, rr, _ in spans if rr == r):
+            out.append(" | ".join(line).rstrip())
+    return out
+
+
+TREES = st.recursive(
+    WORDS | st.tuples(st.just("table"), st.lists(st.lists(CELLS, min_size=1, max_size=3), min_size=1, max_size=4)),
+    lambda x: st.tuples(st.sampled_from(["div", "p!", "ul", "ol", "b", "hidden"]), st.lists(x, max_size=4)),
+    max_leaves=12,
+)
+
+
+def source(node):
+    if isinstance(node, str):
+        return node + " "
+    tag, children = node
+    if tag == "table":
+        cell = lambda c: f"<td colspan={c[1]} rowspan={c[2]}>{' '.join(c[0])}</td>"
+        return "<table>" + "".join("<tr>" + "".join(map(cell, row)) + "</tr>" for row in children) + "</table>"
+    inner = "".join(source(c) if tag not in ("ul", "ol") else f"<li>{source(c)}</li>" for c in children)
+    return {"p!": f"<blockquote>{inner}</blockquote>", "hidden": f"<div hidden>{inner}</div>"}.get(tag, f"<{tag}>{inner}</{tag}>")
+
+
+def model(nodes, depth=0):
+    """Lines of a box; None stands for a margin."""
+    out, line = [], []
+
+    def flush():
+        if line:
+            out.append(" ".join(line))
+            line.clear()
+
+    def block(lines, margin):
+        flush()
+        out.extend(([None] if margin else []) + lines + ([None] if margin else []))
+
+    def walk(node):
+        if isinstance(node, str):
+            line.append(node)
+            return
+        tag, children = node
+        if tag == "b":
+            for c in children:
+                walk(c)
+        elif tag == "div":
+            flush()
+            for c in children:
+                walk(c)
+            flush()
+        elif tag == "p!":
+            block(["  " + x if x else x for x in tidy(model(children, depth))], True)
+        elif tag == "table":
+            block(table_model(children), True)
+        elif tag in ("ul", "ol"):
+            lines = []
+            for i, c in enumerate(children, 1):
+                mark = f"{i}. " if tag == "ol" else "- "
+                item = tidy(model([c], depth + 1))
+                lines += [(mark if k == 0 else " " * len(mark)) + x if x else "" for k, x in enumerate(item)] or [mark.rstrip()]
+            block(lines, depth == 0)
+
+    for n in nodes:
+        walk(n)
+    flush()
+    return out
+
+
+def tidy(lines):
+    out = []
+    for x in lines:
+        if x is None:
+            x = ""
+            if not out or out[-1] == "":
+                continue
+        out.append(x)
+    while out and out[-1] == "":
+        out.pop()
+    while out and out[0] == "":
+        out.pop(0)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(TREES, max_size=5))
+def test_against_a_recursive_model(nodes):
+    assert T("".join(map(source, nodes))) == "\n".join(tidy(model(nodes)))
+
+
 def test_rows(spark):
-    df = spark.createDataFrame([(1, None, "z"), (None, "<p>a", "z"), (3, "<i>" + "y " * 500000, "z")], "page_id long, html string, text string")
-    got = {r.page_id: r.text for r in html.extract_pages(df).collect()}
-    assert got[1] == "" and got[None] == "a" and len(got[3]) == 999999
+    rows = [(1, None, "z", 5), (None, "<p>a", "z", 6), (3, "<i>" + "y " * 500000, "z", 7), (4, "<b>r", "z", 8), (4, "<b>r", "z", 8), (5, "", "z", 9)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, _row int")
+    out = html.extract_pages(df)
+    assert out.columns == ["page_id", "_row", "text"]
+    got = {r.page_id: r.text for r in out.collect()}
+    assert got[1] == got[5] == "" and got[None] == "a" and len(got[3]) == 999999
+    assert [tuple(r) for r in out.where("page_id = 4").collect()] == [(4, 8, "r")] * 2
     assert html.extract_pages(df.limit(0)).count() == 0
