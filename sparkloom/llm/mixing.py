@@ -10,10 +10,15 @@ Nothing is ever sorted by source alone.  Keys fall into ordered buckets, about
 which the budget ends, and only its rows are sorted.  The outcome is one cut
 for each source, so deciding on a document needs no further shuffle.
 
-Defined cases: a null text counts 0 words, null is a source of its own, rows
-of 0 words are never taken, an empty table gives an empty mix.  Rows that are
-equal in doc_id and text have equal keys and are taken or left together.
-Further columns pass through; the operator's own columns win over clashes.
+Sources may be many (domains, say), and one may hold most rows: their table is
+ordered by range, never in one task, and rows meet it on source and a salt.
+
+Defined cases: a null or empty text counts 0 words, null is a source of its
+own, rows of 0 words are never taken, an empty table gives an empty mix, a text
+of any length is counted whole.  Rows that are equal in doc_id and text have
+equal keys, so repeated rows and ties are taken or left together; a null doc_id
+is a value like others.  Further columns pass through whatever their names;
+those named like an added one give way.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.llm.rows import ROW, packed, passengers
 from sparkloom.runtime import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20240101
+SALTS = 16
 ADDED = ("size", "source_size", "target", "taken")
 
 
@@ -46,13 +53,27 @@ def sampling_key(doc_id: Column, text: Column, weight: Column, seed: int = SEED)
 
 
 def measure(docs: DataFrame, seed: int = SEED, weight: Column | None = None) -> DataFrame:
-    """``docs`` with size (words), _key and _tie."""
+    """``docs(doc_id, text, source)``, perhaps with a packed row, with size (words), _key and _tie."""
     text = F.col("text")
     weight = quality_weight(text) if weight is None else weight
-    kept = docs.drop(*[c for c in docs.columns if c.lower() in (*ADDED, "_key", "_tie")])
-    return kept.withColumns(
-        {"size": word_count(text), "_key": sampling_key(F.col("doc_id"), text, weight, seed), "_tie": F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text)}
-    )
+    return docs.withColumns({"size": word_count(text), "_key": sampling_key(F.col("doc_id"), text, weight, seed), "_tie": F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text)})
+
+
+def _running(table: DataFrame, order: list[Column], label: str, **sums: Column) -> DataFrame:
+    """``table`` with the sums over all rows before each in the given order.
+
+    Ranges of the order are summed first, so what one task orders is a range,
+    or the sums of the ranges: one row for each shuffle partition.
+    """
+    ranges = table.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranges = materialize(ranges, label)
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranges.groupBy("_range").agg(*[F.sum(c).alias(f"_r_{k}") for k, c in sums.items()])
+    parts = parts.select("_range", *[F.coalesce(F.sum(f"_r_{k}").over(upto.orderBy("_range")), F.lit(0)).alias(f"_r_{k}") for k in sums])
+    inside = upto.partitionBy("_range").orderBy(*order)
+    within = ranges.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()})
+    joined = within.join(F.broadcast(parts), "_range")  # a row for each shuffle partition
+    return joined.withColumns({k: F.col(k) + F.col(f"_r_{k}") for k in sums}).drop("_range", *[f"_r_{k}" for k in sums])
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ratio: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -61,20 +82,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     Shares go by weight; a share above ``most`` times the size stops there and
     the excess goes to the others.  In the order of cap / weight the level of
     the first source that stays below its cap is the level of all the rest.
-    The table has a row for each source of the recipe, not for each document.
     """
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = sizes.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    numbered = _running(sizes, [F.col("source").asc_nulls_last()], "mix-sources", _i=F.lit(1))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    numbered = numbered.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    by_cap = Window.orderBy(F.col("_cap") / F.col("_w"), "_i")
-    before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything) * F.lit(float(ratio))
-    level = (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    levels = numbered.withColumn("_level", level).withColumn("_place", F.row_number().over(by_cap))
-    free = F.when(F.col("_level") * F.col("_w") < F.col("_cap"), F.struct("_place", "_level"))
-    target = F.coalesce(F.least(F.col("_cap"), F.col("_w") * F.col("_first")["_level"]), F.col("_cap"))
-    return levels.withColumn("_first", F.min(free).over(everything)).select("source", "n", "source_size", target.alias("target"))
+    numbered = numbered.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_at", F.col("_cap") / F.col("_w"))
+    ordered = materialize(_running(numbered, [F.col("_at"), F.col("_i")], "mix-caps", _caps=F.col("_cap"), _ws=F.col("_w")), "mix-levels")
+    totals = ordered.agg(F.sum("source_size").alias("_all"), F.sum("_w").alias("_allw"))
+    levels = ordered.join(F.broadcast(totals)).withColumn("_level", (F.col("_all") * F.lit(float(ratio)) - F.col("_caps")) / (F.col("_allw") - F.col("_ws")))  # one row
+    free = F.when(F.col("_level") * F.col("_w") < F.col("_cap"), F.struct("_at", "_i", "_level"))
+    first = levels.agg(F.min(free)["_level"].alias("_free"))
+    target = F.coalesce(F.least(F.col("_cap"), F.col("_w") * F.col("_free")), F.col("_cap"))
+    return ordered.join(F.broadcast(first)).select("source", "n", "source_size", target.alias("target"))  # one row
 
 
 def _bucket(key: Column, n_buckets: Column) -> Column:
@@ -85,6 +103,17 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["source"])
 
 
+def _by_source(rows: DataFrame, sources: DataFrame, *wanted: str) -> DataFrame:
+    """``rows`` with the struct ``_s`` of their source's ``wanted`` columns.
+
+    If the sources are too many to be sent to all tasks, the rows of a large
+    one are dealt to ``SALTS`` tasks.
+    """
+    spread = sources.select(F.col("source").alias("_of"), F.struct(*wanted).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    on = rows["source"].eqNullSafe(spread["_of"]) & (F.pmod(F.col("_tie"), F.lit(SALTS)) == F.col("_salt"))
+    return rows.join(spread, on).drop("_of", "_salt")
+
+
 def source_cuts(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ratio: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row for each source: its target, whole epochs, and where the sample ends.
 
@@ -97,7 +126,7 @@ def source_cuts(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.sqrt("n")))
     goals = materialize(goals, "mix-goals")
 
-    keyed = narrow.join(goals.select("source", "buckets"), _same(narrow, goals)).select(narrow["source"], "size", "_key", "_tie", _bucket(F.col("_key"), F.col("buckets")).alias("bucket"))
+    keyed = _by_source(narrow, goals, "buckets").select("source", "size", "_key", "_tie", _bucket(F.col("_key"), F.col("_s.buckets")).alias("bucket"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
@@ -108,8 +137,8 @@ def source_cuts(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     )
     plan = materialize(plan, "mix-plan")
 
-    at_end = keyed.join(plan.select("source", "end_bucket", "end_before", "rest"), keyed["source"].eqNullSafe(plan["source"]) & (F.col("bucket") == F.col("end_bucket")))
-    at_end = at_end.select(keyed["source"], "size", "_key", "_tie", "end_before", "rest")
+    at_end = _by_source(keyed, plan, "end_bucket", "end_before", "rest").where(F.col("bucket") == F.col("_s.end_bucket"))
+    at_end = at_end.select("source", "size", "_key", "_tie", "_s.end_before", "_s.rest")
     upto = Window.partitionBy("source").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("end_before") + F.sum("size").over(upto) - F.col("size") / 2
     cut = at_end.withColumn("_in", middle <= F.col("rest")).where("_in").groupBy("source").agg(F.max(F.struct("_key", "_tie")).alias("cut"))
@@ -117,24 +146,29 @@ def source_cuts(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
 
 
 def apply_cuts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``measured`` with source_size, target and taken; a map-side decision."""
-    cuts = cuts.select("source", "source_size", "target", "epochs", "buckets", "end_bucket", "cut")
-    joined = measured.join(cuts, _same(measured, cuts))
-    bucket = _bucket(F.col("_key"), F.col("buckets"))
-    sampled = (bucket < F.col("end_bucket")) | ((bucket == F.col("end_bucket")) & F.coalesce(F.struct("_key", "_tie") <= F.col("cut"), F.lit(False)))
-    taken = F.col("size") * (F.col("epochs") + sampled.cast("long"))
-    return joined.select(*[measured[c] for c in measured.columns if c not in ("_key", "_tie")], "source_size", "target", taken.alias("taken"))
+    """``measured`` with source_size, target and taken; a decision on each row by itself."""
+    joined = _by_source(measured, cuts, "source_size", "target", "epochs", "buckets", "end_bucket", "cut")
+    s = F.col("_s")
+    bucket = _bucket(F.col("_key"), s["buckets"])
+    sampled = (bucket < s["end_bucket"]) | ((bucket == s["end_bucket"]) & F.coalesce(F.struct("_key", "_tie") <= s["cut"], F.lit(False)))
+    taken = F.col("size") * (s["epochs"] + sampled.cast("long"))
+    return joined.select(*[c for c in measured.columns if c not in ("_key", "_tie")], s["source_size"].alias("source_size"), s["target"].alias("target"), taken.alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ratio: float = 1.5, most: float = 2.0, seed: int = SEED, quality: Column | None = None) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` with size, source_size, target and taken."""
-    measured = measure(docs, seed, quality)
+    """``docs(doc_id, text, source, ...)`` with size, source_size, target and taken.
+
+    ``quality`` may use doc_id, text and source.
+    """
+    measured = measure(packed(docs, "doc_id", "text", "source"), seed, quality)
     narrow = materialize(measured.select("source", "size", "_key", "_tie"), "mix-narrow")
-    return apply_cuts(measured, source_cuts(narrow, weights, ratio, most))
+    mixed = apply_cuts(measured, source_cuts(narrow, weights, ratio, most))
+    return mixed.select(*passengers(mixed, ADDED), *ADDED)
 
 
 def repeat_taken(mixed: DataFrame) -> DataFrame:
     """One row for each time the mix takes a document; the added columns go."""
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    kept = mixed.where(F.col("taken") > 0).withColumn("_again", F.explode(F.array_repeat(F.lit(1), times)))
-    return kept.drop("_again", *ADDED)
+    rows = packed(mixed, "size", "taken").where(F.col("taken") > 0)
+    again = rows.select(ROW, F.explode(F.array_repeat(F.lit(1), times)))
+    return again.select(*passengers(again, ADDED))

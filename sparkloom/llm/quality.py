@@ -10,7 +10,9 @@ have shorter chunks with bands of their own.
 
 Defined cases: a null text counts as empty; texts under the shortest band are
 judged by the base rules alone, those under the shortest chunks' length also
-by the whole-text band; any length is measured whole.
+by the whole-text band; any length is measured whole; each row is judged by
+itself, so repeated rows and ties agree; an empty table gives an empty one;
+further columns pass through, and one of an output column's name gives way.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.rows import packed, passengers
+from sparkloom.runtime import ship
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -123,10 +128,12 @@ def measure(text: str, data: bytes) -> tuple[int, int, int, int, int]:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*COUNTS, "base_failed", "kept")
 
 
 def judge(text: Column, bands: Bands | None = None) -> Column:
     """Struct of the counts and ``in_band``, the compression verdict."""
+    ship()
     bands = bands or Bands()
 
     @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS) + ", in_band boolean")
@@ -147,8 +154,7 @@ def judge(text: Column, bands: Bands | None = None) -> Column:
 
 def apply_rules(docs: DataFrame, bands: Bands | None = None, least_words: int = 10, repeat_percent: int = 20) -> DataFrame:
     """``docs(text, ...)`` with the counts, base_failed and kept."""
-    own = {*COUNTS, "base_failed", "kept", "_q"}
-    judged = docs.drop(*[c for c in docs.columns if c.lower() in own]).withColumn("_q", judge(F.col("text"), bands))
+    rows = packed(docs, "text").withColumn("_q", judge(F.col("text"), bands))
     failed = (F.col("_q.n_words") < least_words) | (100 * F.col("_q.n_repeat_words") > repeat_percent * F.col("_q.n_words"))
-    out = judged.select("*", *[F.col(f"_q.{c}").alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & F.col("_q.in_band")).alias("kept"))
-    return out.drop("_q")
+    counts = [F.col(f"_q.{c}").alias(c) for c in COUNTS]
+    return rows.select(*passengers(rows, ADDED), *counts, failed.alias("base_failed"), (~failed & F.col("_q.in_band")).alias("kept"))

@@ -63,3 +63,42 @@ def test_repeat_taken(spark):
     again = mixing.repeat_taken(mixed)
     assert again.count() * 2 == mixed.agg(F.sum("taken")).first()[0]
     assert set(again.columns) == {"doc_id", "text", "source"}
+
+
+def drawn(rows, target):
+    """Words taken of each row by one sort on the keys of a source, after its whole epochs."""
+    out, size = {}, {}
+    for r in rows:
+        size[r.source] = size.get(r.source, 0) + r.size
+    for source in size:
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: (r["_key"], r["_tie"]))
+        epochs = int(target[source] // size[source]) if size[source] else 0
+        rest, upto = target[source] - epochs * size[source], 0
+        for r in mine:
+            upto += r.size
+            out[r.doc_id] = r.size * (epochs + (upto - r.size / 2 <= rest))
+    return out
+
+
+def test_the_draw_is_a_sort_by_key(spark):
+    rows = [(i, "word %d " % (i * 7919 % 13) * (i * 31 % 29 + 1), f"s{i % 4 if i % 3 else 0}", 0) for i in range(700)] + [(900 + i, "only", f"d{i}", 0) for i in range(40)]
+    df = docs(spark, rows)
+    keyed = mixing.measure(df.select("doc_id", "text", "source")).collect()
+    mixed = mixing.mix(df).collect()
+    want = drawn(keyed, {r.source: r.target for r in mixed})
+    assert {r.doc_id: r.taken for r in mixed} == want and 0 < sum(want.values())
+
+
+def test_any_names_and_many_sources(spark):
+    names = ["size", "Taken", "target", "source_size", "epochs", "buckets", "end_bucket", "cut", "_s", "_salt", "_of", "_row", "_again", "_key", "_tie", "n", "bucket"]
+    rows = [(i, "a b c", f"site{i % 150}", *[7] * len(names)) for i in range(450)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    mixed = mixing.mix(df)
+    left = [n for n in names if n.lower() not in mixing.ADDED]
+    assert mixed.columns == ["doc_id", "text", "source", *left, *mixing.ADDED]
+    out = mixed.collect()
+    assert {tuple(r[n] for n in left) for r in out} == {(7,) * len(left)}
+    want = waterfill({f"site{i}": 9 for i in range(150)})
+    for r in out:
+        assert r.target == pytest.approx(want[r.source])
+    assert mixing.repeat_taken(mixed).columns == ["doc_id", "text", "source", *left]

@@ -61,6 +61,40 @@ def test_rows(spark):
             assert tuple(r[c] for c in quality.COUNTS) == brute(r.text)
 
 
+def ratio(data):
+    return len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data)
+
+
+def in_band(data, bands=None):
+    """The verdict byte by byte: a byte is bad if a chunk over it leaves the band."""
+    bands = bands or quality.Bands()
+    band = None
+    for least, low, high in bands.whole:
+        if len(data) >= least:
+            band = (low, high)
+    if band is None:
+        return True
+    if not band[0] <= ratio(data) <= band[1]:
+        return False
+    rows = [(least, size, low, high) for least, size, low, high in (*bands.short, (2 * bands.chunk_bytes, bands.chunk_bytes, bands.chunk_low, bands.chunk_high)) if len(data) >= least]
+    if not rows:
+        return True
+    _, size, low, high = max(rows)
+    bad, starts = set(), set(range(0, len(data) - size, size // 4)) | {len(data) - size}
+    for at in starts:
+        if not low <= ratio(data[at : at + size]) <= high:
+            bad |= set(range(at, at + size))
+    return len(bad) <= bands.bad_chunks * len(data)
+
+
+def test_any_names(spark):
+    names = ["N_words", "kept", "_q", "_row", "base_failed", "in_band"]
+    df = spark.createDataFrame([(prose(60), *range(6))] * 2, "text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = quality.apply_rules(df)
+    assert out.columns == ["text", "_q", "_row", "in_band", *quality.ADDED]
+    assert [(r["_q"], r["_row"], r.n_words, r.kept) for r in out.collect()] == [(2, 3, 60, True)] * 2
+
+
 def test_query_against_brute_force(spark):
     from sparkloom.llm import queries
 
@@ -68,8 +102,12 @@ def test_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     rows = queries.queries()["op7_quality"](spark, d).collect()
     assert len(rows) == len(texts)
+    good = 0
     for r in rows:
         want = brute(texts[r.doc_id])
+        kept = not r.base_failed and in_band(texts[r.doc_id].encode())
+        assert r.kept == kept, r.doc_id
+        good += kept
         assert tuple(r[c] for c in quality.COUNTS) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
 
