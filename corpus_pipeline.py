@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; ``run`` writes every stage's rows to the shared folder and reads them
 again, so a lost executor repeats one stage at most.
+
+Defined cases: null and empty texts fail the quality rules, as do texts under
+ten words; a null doc_id or source is a value like others; rows that agree in
+doc_id and text are copies, of which one stays; texts of any length are worked
+on whole; an empty table stays empty.  The first three stages return the
+columns of their input as they are, whatever their names: a row travels as one
+struct beside the columns that a stage reads.
 """
 
 from __future__ import annotations
@@ -12,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, jaccard, mixing, quality
+from sparkloom.llm.rows import packed, passengers
 from sparkloom.runtime import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave their compression band go."""
-    return quality.apply_rules(docs).where("kept").select(*docs.columns)
+    judged = quality.apply_rules(packed(docs, "text")).where("kept")
+    return judged.select(*passengers(judged))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +36,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.repeat_taken(mixing.mix(docs)).select(*docs.columns)
+    mixed = mixing.repeat_taken(mixing.mix(packed(docs, "doc_id", "text", "source")))
+    return mixed.select(*passengers(mixed))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
