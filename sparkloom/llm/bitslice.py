@@ -7,12 +7,19 @@ weight adds the complement.  The best rows are then found from the most
 significant slice of the score downward, and the rows that tie at the border
 are resolved exactly, smaller ids first (rows of a block are in id order).
 
-Queries form blocks too, and each pair of blocks is one row of work; the best
-rows of each block are merged by rank.  Defined cases: vectors that are null
-or hold null or non-finite components, and rows without an id, take no part;
-missing trailing components count as 0; rows with the query's own id are not
-its candidates; of repeated rows all take part.  Components are floor(scale *
-x) within +-2**40.
+The index is built once and stored: blocks of bitmaps, dealt to parts.  The
+queries are read out of it, so a query knows its own place and leaves out that
+row alone, and they travel to the parts, not the index to them.  Each task
+keeps the best rows of its part for a query before those of all parts are
+merged by rank.
+
+Defined cases: vectors that are null or hold null or non-finite components, and
+rows without an id, take no part; an empty vector has the score 0 with all;
+missing trailing components count as 0, and vectors of any length are used
+whole; repeated rows all take part, as queries and as candidates, also of their
+equals; ties go to the smaller id; an empty table gives no rows; further
+columns are not read.  Components are floor(scale * x) as longs; one that no
+long holds is an error, as is a score among the best that no long holds.
 """
 
 from __future__ import annotations
@@ -21,36 +28,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.runtime import materialize
+from sparkloom.runtime import materialize, ship
 
-BLOCK_ROWS, QUERY_ROWS = 32768, 256
-MOST = 1 << 40
+BLOCK_ROWS = 32768
+#: Blocks of a part: what one task works on, and how often a query is sent.
+PART_BLOCKS = 8
+LEAST_ROWS = 2048
 
 
 def quantise(vector: Column, scale: int = 64) -> Column:
     """array<long>, or null for vectors that take no part."""
     fine = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) <= F.lit(1.7976931348623157e308))), F.lit(False))
-    near = lambda x: F.greatest(F.lit(float(-MOST)), F.least(F.lit(float(MOST)), F.floor(x.cast("double") * scale).cast("double")))
-    return F.when(fine, F.transform(vector, lambda x: near(x).cast("long")))
+    level = lambda x: F.floor(x.cast("double") * scale)
+    # Beyond the range a cast would saturate in silence.
+    fits = F.forall(vector, lambda x: F.abs(x.cast("double") * scale) < F.lit(2.0**63))
+    return F.when(fine, F.when(fits, F.transform(vector, level)).otherwise(F.raise_error(F.lit("a vector component does not fit a long")).cast("array<bigint>")))
 
 
 def slice_rows(values: np.ndarray) -> tuple[np.ndarray, int]:
     """(bitmaps[dim, bit, word], bias) of values + bias >= 0."""
     n, dims = values.shape
     bias = max(0, -int(values.min(initial=0)))
-    shifted = values + bias
+    shifted = values.view(np.uint64) + np.uint64(bias)  # of the range of two longs, so without overflow
     bits = max(1, int(shifted.max(initial=0)).bit_length())
     planes = np.zeros((dims, bits, -(-n // 64) * 8), np.uint8)
     for j in range(bits):
-        packed = np.packbits(((shifted >> j) & 1).astype(np.uint8).T, axis=1, bitorder="little")
+        packed = np.packbits(((shifted >> np.uint64(j)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
         planes[:, j, : packed.shape[1]] = packed
     return planes.view("<u8"), bias
 
 
+def rows_of(planes: np.ndarray, bias: int, at: np.ndarray) -> np.ndarray:
+    """The values of the rows at some positions; the inverse of :func:`slice_rows`."""
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    out = np.zeros((len(at), planes.shape[0]), np.uint64)
+    for j in range(planes.shape[1]):
+        out |= ((planes[:, j][:, word] >> bit) & np.uint64(1)).T << np.uint64(j)
+    return (out - np.uint64(bias)).view(np.int64)
+
+
 def add_slices(planes: np.ndarray, flipped: np.ndarray, weights: list[int]) -> tuple[list[np.ndarray], int]:
     """(bits of the sum from the lowest up, constant): score = sum - constant, before the bias."""
     bits = planes.shape[1]
@@ -125,92 +146,122 @@ def _dense(lists: pa.ListArray, dims: int) -> np.ndarray:
     return out
 
 
-def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """(no, ids, dims, flat) of about ``size`` rows, each in id order, stored."""
-    n = max(1, -(-rows.count() // size))
+_BLOCK = pa.schema([("part", pa.int64()), ("no", pa.int64()), ("dims", pa.int32()), ("bits", pa.int32()), ("bias", pa.string()), ("ids", pa.binary()), ("asks", pa.binary()), ("planes", pa.binary())])
+_BLOCK_DDL = "part long, no long, dims int, bits int, bias string, ids binary, asks binary, planes binary"
+_ASKED = pa.schema([("q_no", pa.int64()), ("q_dims", pa.int32()), ("q_at", pa.binary()), ("q_ids", pa.binary()), ("q_values", pa.binary())])
+_ASKED_DDL = "q_no long, q_dims int, q_at binary, q_ids binary, q_values binary"
+_FOUND = pa.schema([("q_no", pa.int64()), ("q_at", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _longs(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i8")
+
+
+def _planes(row: dict) -> np.ndarray:
+    return np.frombuffer(row["planes"], "<u8").reshape(row["dims"], row["bits"], -1)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+
+
+def build(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The stored index of ``rows(vec_id, q, asks)``, and the number of its parts.
+
+    A block's number holds its partition and its place there, so no two agree.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    size = min(PART_BLOCKS * BLOCK_ROWS, max(LEAST_ROWS, -(-n // (3 * spark.sparkContext.defaultParallelism))))
+    parts = max(1, -(-n // size))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, count = TaskContext.get().partitionId(), [], 0
+        part, held, count, seq = TaskContext.get().partitionId(), [], 0, 0
 
-        def block() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).sort_by("vec_id")
+        def block(table: pa.Table) -> pa.RecordBatch:
+            table = table.sort_by("vec_id")
             lists = table.column("q").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            dims = max((len(x) for x in lists), default=0)
-            ids = table.column("vec_id").to_numpy()
-            return pa.RecordBatch.from_pylist([{"no": part, "dims": dims, "ids": ids.astype("<i8").tobytes(), "flat": _dense(lists, dims).astype("<i8").tobytes()}], schema=_BLOCK)
+            dims = max(1, int(pa.compute.max(pa.compute.list_value_length(lists)).as_py()))
+            planes, bias = slice_rows(_dense(lists, dims))
+            asks = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+            row = {"part": part, "no": part << 32 | seq, "dims": dims, "bits": planes.shape[1], "bias": str(bias), "ids": table.column("vec_id").to_numpy().astype("<i8").tobytes(), "asks": asks.astype("<i8").tobytes(), "planes": planes.tobytes()}
+            return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= 2 * size:
-                yield block()
-                held, count = [], 0
+            while count >= BLOCK_ROWS:
+                table = pa.Table.from_batches(held)
+                yield block(table.slice(0, BLOCK_ROWS))
+                seq, held, count = seq + 1, table.slice(BLOCK_ROWS).to_batches(), count - BLOCK_ROWS
         if count:
-            yield block()
+            yield block(pa.Table.from_batches(held))
+
+    return materialize(rows.repartition(parts).mapInArrow(pack, _BLOCK_DDL), "slice-index"), parts
 
-    packed = rows.repartition(n, "vec_id", F.xxhash64("q")).mapInArrow(pack, "no long, dims int, ids binary, flat binary")
-    return materialize(packed, "slice-blocks"), n
 
+def asked(index: DataFrame) -> DataFrame:
+    """The queries of each block with their place in it."""
 
-_BLOCK = pa.schema([("no", pa.int64()), ("dims", pa.int32()), ("ids", pa.binary()), ("flat", pa.binary())])
-_FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            at = _longs(row["asks"])
+            if len(at):
+                values = rows_of(_planes(row), int(row["bias"]), at)
+                yield pa.RecordBatch.from_pylist([{"q_no": row["no"], "q_dims": row["dims"], "q_at": row["asks"], "q_ids": _longs(row["ids"])[at].astype("<i8").tobytes(), "q_values": values.astype("<i8").tobytes()}], schema=_ASKED)
 
+    return materialize(index.mapInArrow(read, _ASKED_DDL), "slice-queries")
 
-def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query position, ids, scores) of the best k rows of one block for each query."""
-    dims = max(values.shape[1], queries.shape[1])
-    values, queries = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (values, queries))
-    if not dims:
-        values, queries = np.zeros((len(ids), 1), np.int64), np.zeros((len(query_ids), 1), np.int64)
-    planes, bias = slice_rows(values)
-    words = planes.shape[2]
-    everyone = np.zeros(words * 64, np.uint8)
-    everyone[: len(ids)] = 1
+
+def search_block(planes: np.ndarray, bias: int, n: int, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """(query, positions, scores) of the best k of a block's ``n`` rows for each query.
+
+    ``own`` has the position of each query in this block, which is no candidate.
+    """
     flipped = ~planes
-    for i, weights in enumerate(queries.tolist()):
+    everyone = np.zeros(planes.shape[2] * 64, np.uint8)
+    everyone[:n] = 1
+    for i, weights in enumerate(queries[:, : planes.shape[0]].tolist()):
         allowed = everyone
-        lo, hi = np.searchsorted(ids, query_ids[i], "left"), np.searchsorted(ids, query_ids[i], "right")
-        if hi > lo:
+        if own is not None:
             allowed = everyone.copy()
-            allowed[lo:hi] = 0
+            allowed[own[i]] = 0
         score, constant = add_slices(planes, flipped, weights)
         at = best_rows(score, np.packbits(allowed, bitorder="little").view(np.uint64), k)
         total = np.zeros(len(at), object if len(score) > 61 else np.int64)
         for p, s in enumerate(score):
             total += ((s[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(total.dtype) << p
-        total = total - (constant + bias * sum(weights))
-        if total.dtype == object:
-            total = np.clip(total, -(1 << 63), (1 << 63) - 1)
-        yield i, ids[at], total.astype(np.int64)
+        less = constant + bias * sum(weights)
+        yield i, at, [x - less for x in total.tolist()]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) from ``vectors(vec_id, embedding)``."""
-    rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", quantise(F.col("embedding"), scale).alias("q")).where("q is not null")
-    index, _ = _blocks(rows, BLOCK_ROWS)
-    asked, n_asked = _blocks(rows.where(is_query), QUERY_ROWS)
-    work = index.select(F.col("dims").alias("i_dims"), F.col("ids").alias("i_ids"), F.col("flat").alias("i_flat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long"))).alias("no"))
-    work = work.repartition("no", F.xxhash64("i_ids")).join(asked, "no")
+    ship(vectors.sparkSession)
+    rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", quantise(F.col("embedding"), scale).alias("q"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("q is not null")
+    index, parts = build(rows)
+    sent = asked(index).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = lambda ids, flat, dims: (np.frombuffer(ids, "<i8"), np.frombuffer(flat, "<i8").reshape(-1 if dims else len(ids) // 8, dims))
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                ids, values = whole(row["i_ids"], row["i_flat"], row["i_dims"])
-                query_ids, queries = whole(row["ids"], row["flat"], row["dims"])
-                out = [[], [], [], []]
-                for i, found, score in search_block(ids, values, query_ids, queries, k):
-                    out[0].append(np.full(len(found), row["no"] << 32 | i))
-                    out[1].append(np.full(len(found), query_ids[i]))
-                    out[2].append(found)
-                    out[3].append(score)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], schema=_FOUND)
-
-    found = work.mapInArrow(search, "query_row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        for row in _rows(batches):
+            ids, at, q_ids = _longs(row["ids"]), _longs(row["q_at"]), _longs(row["q_ids"])
+            queries = _longs(row["q_values"]).reshape(-1, row["q_dims"])
+            out: list[list] = [[], [], [], [], []]
+            for i, found, score in search_block(_planes(row), int(row["bias"]), len(ids), queries, k, at if row["q_no"] == row["no"] else None):
+                if score and not -(1 << 63) <= min(score) <= max(score) < 1 << 63:
+                    raise OverflowError("a score does not fit a long")
+                out[0].append(np.full(len(found), row["q_no"]))
+                out[1].append(np.full(len(found), at[i]))
+                out[2].append(np.full(len(found), q_ids[i]))
+                out[3].append(ids[found])
+                out[4].append(np.array(score, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], schema=_FOUND)
+
+    found = sent.join(index, "part").mapInArrow(search, "q_no long, q_at long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q_no", "q_at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
