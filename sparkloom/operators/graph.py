@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.runtime import materialize
+from sparkloom.runtime import materialize, release
 
 C = F.col
 
@@ -33,8 +33,8 @@ def modularity(pairs: DataFrame, communities: DataFrame, resolution: float = 1.0
     placed = pairs.join(ca, "a").join(cb, "b")
     inner = placed.where("ca = cb").groupBy(C("ca").alias("community")).agg((2 * F.sum("weight")).alias("inner"))
     total = placed.select(F.explode(F.array("ca", "cb")).alias("community"), "weight").groupBy("community").agg(F.sum("weight").alias("total"))
-    two_m = F.sum("total").over(Window.partitionBy(F.lit(1)))
-    parts = total.join(inner, "community", "left").fillna(0.0, ["inner"]).withColumn("two_m", two_m)
+    two_m = pairs.agg((2 * F.sum("weight")).alias("two_m"))
+    parts = total.join(inner, "community", "left").fillna(0.0, ["inner"]).join(F.broadcast(two_m))  # one row
     return parts.agg(F.sum(C("inner") / C("two_m") - resolution * (C("total") / C("two_m")) ** 2).alias("modularity"))
 
 
@@ -48,37 +48,63 @@ def quotient(edges: DataFrame, communities: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank, scaled) after ``rounds``; dangling mass is spread evenly, ``scaled`` is min-max."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    flow = materialize(edges.join(out, "src").select("src", "dst", (C("weight") / C("out")).alias("share")), "pagerank-flow")
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    all_nodes = materialize(nodes.select("node", (F.lit(1.0) / n).alias("rank")).join(out.select(C("src").alias("node"), F.lit(True).alias("_o")), "node", "left").select("node", "rank", C("_o").isNull().alias("dangling")), "pagerank-nodes")
-    size = all_nodes.count()
-    ranks = all_nodes
+    flow = materialize(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").select("src", "dst", (C("w") / C("out")).alias("share")), "pagerank-flow")
+    mark = flow.select(C("src").alias("node"), F.lit(False).alias("_o")).distinct()
+    every = materialize(nodes.select("node").join(mark, "node", "left").select("node", C("_o").isNull().alias("dangling")), "pagerank-nodes")
+    size = every.count()
+    first = ranks = every.withColumn("rank", F.lit(1.0 / max(size, 1)))
     for _ in range(rounds):
         got = ranks.join(flow, C("node") == C("src")).groupBy("dst").agg(F.sum(C("rank") * C("share")).alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(C("dangling"), C("rank"))), F.lit(0.0)).alias("lost"))
-        base = (1 - damping) / size
-        joined = all_nodes.select("node", "dangling").join(got.withColumnRenamed("dst", "node"), "node", "left").join(F.broadcast(lost))  # one row
-        ranks = joined.select("node", (base + damping * (F.coalesce("got", F.lit(0.0)) + C("lost") / size)).alias("rank"), "dangling")
-        ranks = materialize(ranks, "pagerank")  # it is read twice in the next round
-    every = Window.partitionBy(F.lit(1))
-    low, high = F.min("rank").over(every), F.max("rank").over(every)
-    return ranks.select("node", "rank", F.when(high > low, (C("rank") - low) / (high - low)).otherwise(0.0).alias("scaled"))
+        base = (1 - damping) / max(size, 1)
+        joined = every.join(got.withColumnRenamed("dst", "node"), "node", "left").join(F.broadcast(lost))  # one row
+        scored = joined.select("node", "dangling", (base + damping * (F.coalesce("got", F.lit(0.0)) + C("lost") / max(size, 1))).alias("rank"))
+        before, ranks = ranks, materialize(scored, "pagerank")  # it is read twice in the next round
+        if before is not first:
+            release(before)
+    release(flow)
+    span = ranks.agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    scaled = F.when(C("high") > C("low"), (C("rank") - C("low")) / (C("high") - C("low"))).otherwise(0.0)
+    return ranks.join(F.broadcast(span)).select("node", "rank", scaled.alias("scaled"))  # one row
+
+
+#: A node of more edges than this, and than one in so many of all, is a hub; so there are fewer hubs than this second number.
+HUB_EDGES, MOST_HUBS = 1000, 100_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """(u, v, m): each row of ``rows(u, v)`` with its u's ``m`` from ``least(u, m, n)``.
+
+    The rows of hubs would meet in one task, so the few hubs go to all tasks.
+    """
+    bound = max(HUB_EDGES, 2 * n // MOST_HUBS)
+    hubs = least.where(C("n") > bound).select("u", C("m").alias("_hub"))
+    flagged = rows.join(F.broadcast(hubs), "u", "left")  # under MOST_HUBS rows, as their edges add up to 2 n
+    rest = flagged.where("_hub is null").select("u", "v").join(least.where(C("n") <= bound).select("u", "m"), "u")
+    return rest.union(flagged.where("_hub is not null").select("u", "v", "_hub"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label): label is the least node of the component."""
+    """(node, label) of ``edges(src, dst)``: label is the least node of the component.
+
+    Alternates large-star and small-star steps until nothing changes; each
+    round is a table in the shared folder, and only a count and a checksum
+    reach the driver.
+    """
     now = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components")
     sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = sign(now)
     while seen[0]:
         both = now.union(now.select(C("v").alias("u"), C("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(C("v").alias("u"), C("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", C("m").alias("v")), F.struct(C("v").alias("u"), C("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(small.where("u <> v").distinct(), "components")
-        before, seen = seen, sign(now)
-        if seen == before:
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), low, seen[0]).select(C("v").alias("u"), C("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pairs = F.array(F.struct("u", C("m").alias("v")), F.struct(C("v").alias("u"), C("m").alias("v")))
+        small = _with_least(large, least, seen[0]).select(F.explode(pairs).alias("e")).select("e.*")
+        before, now = now, materialize(small.where("u <> v").distinct(), "components")
+        release(before)
+        last, seen = seen, sign(now)
+        if seen == last:
             break
     return now.select(C("u").alias("node"), C("v").alias("label")).union(now.select("v", "v").distinct())
 
@@ -96,8 +122,9 @@ def label_propagation(pairs: DataFrame, rounds: int = 10, seeds: DataFrame | Non
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node", "label").agg(F.sum("weight").alias("w"))
         best = votes.join(labels.withColumnRenamed("label", "own"), "node").groupBy("node", "own").agg(F.max(F.struct("w", (C("label") == C("own")).alias("stays"), (-C("label")).alias("n"))).alias("m"))
-        labels = best.select("node", (-C("m.n")).alias("label"))
-        labels = materialize(labels, "lpa")
+        before, labels = labels, materialize(best.select("node", (-C("m.n")).alias("label")), "lpa")
+        release(before)
+    release(both)
     return labels
 
 

@@ -84,6 +84,9 @@ def test_components_and_pagerank(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9)] + [(i, i + 1) for i in range(20, 60)], "src long, dst long")
     got = {r.node: r.label for r in graph.connected_components(e).collect()}
     assert got[3] == 1 and got[5] == 4 and got[60] == 20 and 9 not in got
+    stars = [(1, i) for i in range(2, 3000)] + [(9000, i) for i in range(4000, 6000)] + [(2500, 9000)]
+    got = {r.label for r in graph.connected_components(spark.createDataFrame(stars, "src long, dst long")).collect()}
+    assert got == {1}
     w = spark.createDataFrame([(1, 3, 1.0), (2, 3, 1.0), (3, 1, 1.0)], "src long, dst long, weight double")
     ranks = {r.node: r.rank for r in graph.pagerank(spark.range(1, 5).select(C("id").alias("node")), w).collect()}
     assert sum(ranks.values()) == pytest.approx(1.0) and max(ranks, key=ranks.get) == 3
