@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.skew import join_counted
 from sparkloom.runtime import materialize, release
 
 C = F.col
@@ -68,28 +69,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return ranks.join(F.broadcast(span)).select("node", "rank", scaled.alias("scaled"))  # one row
 
 
-#: A node of more edges than this, and than one in so many of all, is a hub; so there are fewer hubs than this second number.
-HUB_EDGES, MOST_HUBS = 1000, 100_000
-
-
-def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """(u, v, m): each row of ``rows(u, v)`` with its u's ``m`` from ``least(u, m, n)``.
-
-    The rows of hubs would meet in one task, so the few hubs go to all tasks.
-    """
-    bound = max(HUB_EDGES, 2 * n // MOST_HUBS)
-    hubs = least.where(C("n") > bound).select("u", C("m").alias("_hub"))
-    flagged = rows.join(F.broadcast(hubs), "u", "left")  # under MOST_HUBS rows, as their edges add up to 2 n
-    rest = flagged.where("_hub is null").select("u", "v").join(least.where(C("n") <= bound).select("u", "m"), "u")
-    return rest.union(flagged.where("_hub is not null").select("u", "v", "_hub"))
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) of ``edges(src, dst)``: label is the least node of the component.
 
     Alternates large-star and small-star steps until nothing changes; each
     round is a table in the shared folder, and only a count and a checksum
-    reach the driver.
+    reach the driver.  The edges of a hub do not meet in one task.
     """
     now = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components")
     sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -97,10 +82,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.union(now.select(C("v").alias("u"), C("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("v > u"), low, seen[0]).select(C("v").alias("u"), C("m").alias("v")).distinct()
+        large = join_counted(both.where("v > u"), low, ["u"], 2 * seen[0]).select(C("v").alias("u"), C("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pairs = F.array(F.struct("u", C("m").alias("v")), F.struct(C("v").alias("u"), C("m").alias("v")))
-        small = _with_least(large, least, seen[0]).select(F.explode(pairs).alias("e")).select("e.*")
+        small = join_counted(large, least, ["u"], 2 * seen[0]).select(F.explode(pairs).alias("e")).select("e.*")
         before, now = now, materialize(small.where("u <> v").distinct(), "components")
         release(before)
         last, seen = seen, sign(now)
