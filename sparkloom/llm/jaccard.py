@@ -10,14 +10,23 @@ white space; a text of one to four words is one shingle).  Equal sets form one
    once the posterior probability that its similarity reaches the threshold
    falls below ``TOLERANCE``.  A bucket hands on a spanning forest of its
    surviving pairs, never the pairs, so its output grows with its members.
-3. Exact: the connected parts of the surviving pairs are verified, block by
-   block, from the shingles; a text gets its number of links, and a forest of
-   the true links gives the classes.
-
-Buckets and parts beyond a block are dealt out as pairs of blocks, so no group
-of any size meets in one task.  Defined cases: texts without a word have no
-shingle, no link and a class of their own; null ids are rows like others;
-repeated rows count as copies.
+3. Exact: the pairs left are verified from the shingles.  A text's *leader* is
+   the least of the roots it has in its buckets; a leader's texts form blocks,
+   and the unit of work is a pair of blocks with at least one surviving pair.
+   So a chain of texts costs as many units as it has links, however long it
+   is, and only dense groups are compared all with all.  A text gets its number
+   of links, and a forest of the true links gives the classes.
+
+Buckets beyond a block are dealt out as pairs of blocks, and the rows of
+frequent keys do not meet in one task.  Texts and rows are told apart by 128
+bits.
+
+Defined cases: null and empty texts, and others without a word, have no
+shingle, no link and a class of their own; null ids are rows like others, and a
+class of null ids alone has a null class_id; repeated rows count as copies;
+ties go to the smaller id; texts of any length are read whole; an empty table
+gives no rows.  :func:`join` reads doc_id and text and returns none of the
+other columns; :func:`one_of_each` returns all as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import materialize
+from sparkloom.llm.rows import ROW, packed, passengers
+from sparkloom.operators.graph import connected_components
+from sparkloom.operators.skew import join_counted
+from sparkloom.runtime import materialize, release, ship
 
 WIDTH, THRESHOLD = 5, 0.8
 HASHES, BANDS, ROWS = 128, 28, 4
 STEP, TOLERANCE = 16, 1e-6
 BUCKET_BLOCK, VERIFY_BLOCK = 512, 128
+#: Up to so many pairs of a unit are verified one by one, more by a matrix product.
+FEW_PAIRS = 48
 KEPT_WORDS = 400_000
 
 _R = np.random.default_rng(20240607)
@@ -166,7 +180,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
 def _dealt(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
     """Rows of each (group, i, j), the pairs of blocks; ``_at`` is the row's own block."""
     n = F.ceil(F.col(size) / block)
-    own = F.pmod(F.xxhash64("text_key", F.lit(7)), n)
+    own = F.pmod(F.xxhash64("id", F.lit(7)), n)
     dealt = rows.withColumn("_at", F.when(F.col(size) > 2 * block, own).otherwise(0).cast("int"))
     others = F.when(F.col(size) > 2 * block, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array(F.lit(0).cast("long")))
     dealt = dealt.withColumn("_other", F.explode(others)).withColumn("_i", F.least("_at", "_other").cast("int")).withColumn("_j", F.greatest("_at", "_other").cast("int")).drop("_other", size)
@@ -193,86 +207,122 @@ def _forest(keys: np.ndarray, a: np.ndarray, b: np.ndarray, hit: np.ndarray) ->
     return keys[who], keys[who][root]
 
 
+def row_keys() -> list:
+    """Two hashes of a row's doc_id and text: 128 bits in all."""
+    return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2")]
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, text_key, n_shingles, values, bands) of ``docs(doc_id, text)``, stored."""
+    """(doc_id, r1, r2, n_shingles, t1, t2, values, bands) of ``docs(doc_id, text)``, stored."""
 
-    @F.arrow_udf("n_shingles int, text_key long, values binary, bands array<long>")
+    @F.arrow_udf("n_shingles int, t1 long, t2 long, values binary, bands array<long>")
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
         words = Words()
         for batch in batches:
-            n, key, values, bands = [], [], [], []
+            n, t1, t2, values, bands = [], [], [], [], []
             for text in batch:
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
                 if not len(s):
-                    key.append(None), values.append(None), bands.append(None)
+                    for x in (t1, t2, values, bands):
+                        x.append(None)
                     continue
-                v = minhash(s)
-                key.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                v, key = minhash(s), np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
+                t1.append(int(key[0]))
+                t2.append(int(key[1]))
                 values.append(short_values(v).tobytes())
                 bands.append(band_keys(v))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(values, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["n_shingles", "text_key", "values", "bands"])
+            columns = [pa.array(n, pa.int32()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(values, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, names=["n_shingles", "t1", "t2", "values", "bands"])
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), sketched(F.col("text")).alias("s"))
-    return materialize(rows.select("doc_id", "row_key", "s.*"), "jaccard-sketch")
+    rows = docs.select("doc_id", *row_keys(), sketched(F.col("text")).alias("s"))
+    return materialize(rows.select("doc_id", "r1", "r2", "s.*"), "jaccard-sketch")
 
 
-def _candidate_edges(texts: DataFrame) -> DataFrame:
-    """(u, v): forests of the pairs in a bucket that the Bayesian test keeps."""
-    keyed = texts.select("text_key", F.explode("bands").alias("bucket"))
+def _members(texts: DataFrame) -> DataFrame:
+    """(bucket, id, n): the members of buckets of two or more, stored."""
+    keyed = texts.select("id", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(shared, "bucket").join(texts.select("text_key", "values"), "text_key")
+    return materialize(join_counted(keyed, shared, ["bucket"], BANDS * texts.count()), "jaccard-buckets")
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def _longs(*parts: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in parts]
+
+
+def _roots(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): forests of the pairs in a bucket that the Bayesian test keeps, stored."""
     limits = least_matches()
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs = [], []
         for table in _grouped(batches, ("bucket", "_i", "_j")):
-            keys = table.column("text_key").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint8).reshape(-1, HASHES)
+            ids, sig = table.column("id").to_numpy(), _signatures(table)
             a, b = _sides(table)
-            u, v = _forest(keys, a, b, surviving(sig[a], sig[b], limits))
+            u, v = _forest(ids, a, b, surviving(sig[a], sig[b], limits))
             us.append(u[u != v])
             vs.append(v[u != v])
             if len(us) >= 2000:
-                yield _edges(us, vs)
+                yield pa.RecordBatch.from_arrays(_longs(us, vs), names=["u", "v"])
                 us, vs = [], []
-        yield _edges(us, vs)
+        yield pa.RecordBatch.from_arrays(_longs(us, vs), names=["u", "v"])
 
-    return _dealt(members, "bucket", "n", BUCKET_BLOCK).mapInArrow(prune, "u long, v long")
+    signed = members.join(texts.select("id", "values"), "id")
+    return materialize(_dealt(signed, "bucket", "n", BUCKET_BLOCK).mapInArrow(prune, "u long, v long"), "jaccard-roots")
 
 
-def _edges(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
-    join = lambda x: pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64))
-    return pa.RecordBatch.from_arrays([join(us), join(vs)], names=["u", "v"])
+def _placed(roots_: DataFrame) -> DataFrame:
+    """(id, leader, place): the block of each text that has a surviving pair, stored."""
+    led = materialize(roots_.union(roots_.select("v", "v")).groupBy(F.col("u").alias("id")).agg(F.min("v").alias("leader")), "jaccard-leaders")
+    sizes = led.groupBy("leader").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / VERIFY_BLOCK)
+    sized = join_counted(led, sizes, ["leader"], led.count())
+    return materialize(sized.select("id", "leader", F.pmod(F.xxhash64("id", F.lit(11)), blocks).cast("long").alias("place")), "jaccard-blocks")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the connected components of ``edges(u, v)``.
+def _units(members: DataFrame, texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(unit, leader, place, side): the blocks of each pair of blocks with a surviving pair, stored."""
+    limits = least_matches()
+    names = ["la", "pa", "lb", "pb"]
 
-    Alternates large-star and small-star steps until nothing changes; each
-    round is a table in the shared folder, and only a count and a checksum
-    reach the driver.
-    """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    seen = sign(now)
-    while seen[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(small.where("u <> v").distinct(), "components")
-        before, seen = seen, sign(now)
-        if seen == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
-
-
-def verify_block(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Matrix of the pairs whose exact Jaccard similarity reaches the threshold."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*seen, strict=True)) or [()] * 4)], names=names)
+
+        for table in _grouped(batches, ("bucket", "_i", "_j")):
+            block = list(zip(table.column("leader").to_pylist(), table.column("place").to_pylist(), strict=True))
+            a, b = _sides(table)
+            if len(set(block)) == 1:
+                seen.add(block[0] * 2)
+            else:
+                sig = _signatures(table)
+                for i, j in np.argwhere(surviving(sig[a], sig[b], limits)).tolist():
+                    x, y = block[a[i]], block[b[j]]
+                    if a[i] != b[j]:
+                        seen.add(min(x, y) + max(x, y))
+            if len(seen) >= 20_000:
+                yield done()
+                seen.clear()
+        yield done()
+
+    here = members.join(placed, "id").join(texts.select("id", "values"), "id")
+    found = _dealt(here, "bucket", "n", BUCKET_BLOCK).mapInArrow(pairs, ", ".join(f"{c} long" for c in names)).distinct()
+    units = materialize(found.withColumn("unit", F.monotonically_increasing_id()), "jaccard-units")
+    one = (F.col("la") == F.col("lb")) & (F.col("pa") == F.col("pb"))
+    side = lambda n: F.struct(F.col(f"l{n}").alias("leader"), F.col(f"p{n}").alias("place"), F.lit(n).alias("side"))
+    return units.select("unit", F.explode(F.when(one, F.array(side("a"))).otherwise(F.array(side("a"), side("b")))).alias("s")).select("unit", "s.*")
+
+
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of the numbers of shingles that the sets of two sides share."""
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -292,16 +342,31 @@ def verify_block(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold
         here = in_b[own] >= 0
         right[in_b[own[here]], col[here]] = 1
         common += left @ right.T
-    either = sizes[a][:, None] + sizes[b][None, :] - common
-    return (common >= threshold * either - 1e-6) & (a[:, None] != b[None, :])
+    return common
+
+
+def verify_block(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, left: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Those pairs of the matrix ``left`` whose exact Jaccard similarity reaches the threshold."""
+    out = np.zeros(left.shape, bool)
+    rows, cols = np.nonzero(left & (a[:, None] != b[None, :]))
+    if not len(rows):
+        return out
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if len(rows) <= FEW_PAIRS:
+        common = np.array([len(np.intersect1d(sets[a[i]], sets[b[j]], assume_unique=True)) for i, j in zip(rows, cols, strict=True)])
+    else:
+        common = shared_counts(sets, a, b)[rows, cols]
+    reach = common >= threshold * (sizes[a[rows]] + sizes[b[cols]] - common) - 1e-6
+    out[rows[reach], cols[reach]] = True
+    return out
 
 
-def _links(docs: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(text_key, root, n_texts, n_docs): links found in each pair of blocks, stored."""
-    sizes = parts.groupBy("label").agg(F.count("*").alias("n"))
-    placed = parts.join(sizes, "label").join(texts.select("text_key", "copies", "row_key"), F.col("node") == F.col("text_key")).select("label", "n", "text_key", "copies", "row_key")
-    # A text is read from the rows whose key its first copy has; equal rows meet again below.
-    read = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(placed, "row_key")
+def _links(docs: DataFrame, texts: DataFrame, placed: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, root, n_texts, n_docs): links found in each unit, stored."""
+    wanted = placed.join(texts.select("id", "copies", "values", "first.*"), "id")
+    # A text is read from the rows whose keys its first copy has; equal rows meet again below.
+    read = docs.select(*row_keys(), "text").join(wanted, ["r1", "r2"])
+    limits = least_matches()
 
     @F.arrow_udf("binary")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -309,63 +374,81 @@ def _links(docs: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.array([shingles(t.as_py(), words).tobytes() for t in batch], pa.binary())
 
-    cutted = read.select("label", "n", "text_key", "copies", cut(F.col("text")).alias("set"))
+    sets_ = read.select("leader", "place", "id", "copies", "values", cut(F.col("text")).alias("set"))
+    work = sets_.join(units, ["leader", "place"]).select("unit", "side", "id", "copies", "values", "set")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, ("label", "_i", "_j")):
-            keys = table.column("text_key").to_numpy()
-            _, first = np.unique(keys, return_index=True)
-            if len(first) < len(keys):
+        for table in _grouped(batches, ("unit",)):
+            ids = table.column("id").to_numpy()
+            _, first = np.unique(ids, return_index=True)
+            if len(first) < len(ids):
                 table = table.take(first)
-                keys = keys[first]
-            copies = table.column("copies").to_numpy()
+                ids = ids[first]
+            side = np.array(table.column("side").to_pylist())
+            a = np.flatnonzero(side == "a")
+            b = np.flatnonzero(side == "b") if (side == "b").any() else a
+            copies, sig = table.column("copies").to_numpy(), _signatures(table)
             sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("set")]
-            a, b = _sides(table)
-            hit = verify_block(sets, a, b)
-            n_texts, n_docs = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            hit = verify_block(sets, a, b, surviving(sig[a], sig[b], limits))
+            n_texts, n_docs = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             n_texts[a], n_docs[a] = hit.sum(1), hit @ copies[b]
-            if len(a) and len(b) and a is not b:
+            if a is not b:
                 n_texts[b], n_docs[b] = hit.sum(0), copies[a] @ hit
-            u, v = _forest(keys, a, b, hit)
-            where = {k: i for i, k in enumerate(keys.tolist())}
-            at = [where[k] for k in u.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n_texts[at]), pa.array(n_docs[at])], names=["text_key", "root", "n_texts", "n_docs"])
+            u, v = _forest(ids, a, b, hit)
+            at = np.searchsorted(ids, u) if (np.diff(ids) > 0).all() else [ids.tolist().index(x) for x in u.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n_texts[at]), pa.array(n_docs[at])], names=["id", "root", "n_texts", "n_docs"])
 
-    found = _dealt(cutted, "label", "n", VERIFY_BLOCK).mapInArrow(verify, "text_key long, root long, n_texts long, n_docs long")
-    return materialize(found, "jaccard-links")
+    dealt = work.repartition("unit").sortWithinPartitions("unit", "id")
+    return materialize(dealt.mapInArrow(verify, "id long, root long, n_texts long, n_docs long"), "jaccard-links")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """(doc_id, r1, r2, class_id, n_links, n_text_links, class_key); no class_key without a word."""
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    rows = sketch(docs)
+    worded, empty = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
+    grouped = worded.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("r1", "r2")).alias("first"), F.any_value("values").alias("values"), F.any_value("bands").alias("bands"))
+    texts = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "jaccard-texts")
+    members = _members(texts)
+    placed = _placed(_roots(members, texts))
+    links = _links(docs, texts, placed, _units(members, texts, placed))
+    release(members)
+    classes = connected_components(links.select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    counts = links.groupBy("id").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
+    labelled = texts.select("id", "t1", "t2", "copies", "first_id").join(classes.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
+    labelled = labelled.select("t1", "t2", "copies", "first_id", F.coalesce("label", "id").alias("class_key"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    labelled = materialize(labelled, "jaccard-labels")
+    ids = labelled.groupBy("class_key").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n"))
+    named = join_counted(labelled, ids, ["class_key"], labelled.count()).drop("n")
+    per_text = materialize(named.select("t1", "t2", "class_id", (F.col("copies") - 1 + F.col("n_docs")).alias("n_links"), "n_text_links", "class_key", F.col("copies").alias("n")), "jaccard-classes")
+    found = join_counted(worded.select("doc_id", "r1", "r2", "t1", "t2"), per_text, ["t1", "t2"], rows.count())
+    zero = F.lit(0).cast("long")
+    alone = empty.select("doc_id", "r1", "r2", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_text_links"), F.lit(None).cast("long").alias("class_key"))
+    return found.select(*alone.columns).union(alone)
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row for each of ``docs(doc_id, text)``: doc_id, class_id, n_links, n_text_links, row_key, class_key.
+    """One row for each of ``docs(doc_id, text)``: doc_id, class_id, n_links, n_text_links.
 
     ``class_id`` is the least doc_id of the class, ``n_links`` the number of
     other documents at or above the threshold, ``n_text_links`` that of
     different texts.
     """
-    docs = docs.select("doc_id", "text")
-    rows = sketch(docs)
-    worded, empty = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
-    texts = worded.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.any_value("values").alias("values"), F.any_value("bands").alias("bands"))
-    texts = materialize(texts, "jaccard-texts")
-    parts = components(materialize(_candidate_edges(texts), "jaccard-candidates"))
-    links = _links(docs, texts, parts)
-    classes = components(links.select(F.col("text_key").alias("u"), F.col("root").alias("v")))
-    counts = links.groupBy("text_key").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    labelled = texts.select("text_key", "copies", "first_id").join(classes.withColumnRenamed("node", "text_key"), "text_key", "left").join(counts, "text_key", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "text_key")).select("text_key", "copies", "first_id", "label", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
-    ids = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    per_text = materialize(labelled.join(ids, "label").select("text_key", "class_id", F.col("label").alias("class_key"), (F.col("copies") - 1 + F.col("n_docs")).alias("n_links"), F.col("n_texts").alias("n_text_links")), "jaccard-classes")
-    out = worded.select("doc_id", "row_key", "text_key").join(per_text, "text_key").select("doc_id", "class_id", "n_links", "n_text_links", "row_key", "class_key")
-    zero = F.lit(0).cast("long")
-    return out.union(empty.select("doc_id", F.col("doc_id").alias("class_id"), zero, zero, "row_key", F.col("row_key").alias("class_key")))
+    return _joined(docs).select("doc_id", "class_id", "n_links", "n_text_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of the least doc_id of each class (null ids last), and the rows without a word."""
-    joined = materialize(join(docs), "jaccard-result")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    kept = materialize(joined.groupBy("class_key").agg(first["row_key"].alias("_row_key")).drop("class_key"), "jaccard-kept")
-    out = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(kept.select("_row_key"), "_row_key", "left_semi")
-    if joined.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # rows that agree in id and text: one stays
-        out = out.dropDuplicates(["_row_key"])
-    return out.select(*docs.columns)
+    """The row of the least doc_id of each class (null ids last), and the rows without a word.
+
+    Rows that agree in doc_id and text are copies even without a word.
+    """
+    joined = materialize(_joined(docs), "jaccard-result")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("f")
+    kept = joined.where("class_key is not null").groupBy("class_key").agg(first).select("f.r1", "f.r2")
+    kept = materialize(kept.union(joined.where("class_key is null").select("r1", "r2")), "jaccard-kept")
+    rows = packed(docs, "doc_id", "text").select(ROW, *row_keys())
+    out = rows.join(kept, ["r1", "r2"], "left_semi")
+    if joined.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["r1", "r2"])
+    return out.select(*passengers(out))

@@ -70,6 +70,21 @@ def corpus(seed=4):
     return rows + [(None, texts[5]), (None, "only once here"), (None, ""), (2, texts[2])]
 
 
+def test_chains_take_one_unit_a_link(spark):
+    """Each text overlaps only the next: the units are about as many as the links."""
+    words = [f"c{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[i * 6 : i * 6 + 150])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = jaccard.sketch(df)
+    texts = sketch.select("doc_id", sketch.doc_id.alias("id"), "values", "bands")
+    members = jaccard._members(texts)
+    placed = jaccard._placed(jaccard._roots(members, texts))
+    units = jaccard._units(members, texts, placed)
+    assert units.select("unit").distinct().count() < 900
+    got = jaccard.join(df).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows) and {r.class_id for r in got} == {0}
+
+
 @pytest.mark.parametrize("blocks", [(512, 128), (8, 5)])
 def test_against_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(jaccard, "BUCKET_BLOCK", blocks[0])
@@ -82,10 +97,12 @@ def test_against_brute_force(spark, monkeypatch, blocks):
 
 def test_one_of_each(spark):
     rows = corpus(9)
-    df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n int")
+    names = ["n", "_row", "r1", "class_key", "_row_key"]
+    df = spark.createDataFrame([(*x, *[4] * 5) for x in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
     kept = jaccard.one_of_each(df)
     assert kept.columns == df.columns
     got = kept.collect()
+    assert {tuple(r[c] for c in names) for r in got} == {(4,) * 5}
     want = brute(rows)
     classes = {c for d, c, _, _ in want if c is not None}
     assert sorted(x.doc_id for x in got if x.doc_id is not None) == sorted(classes)
