@@ -5,13 +5,17 @@ coded in lockstep, one numpy lane each, so a step costs a few array calls for
 all of them.  An id is coded in up to two moves:
 
 1. Orders 2 and 1 each *predict* an id from the ids before it, with a count of
-   how often that prediction held.  The chance that order 2 is right mixes two
-   adaptive estimates, by order 2's and by order 1's count; the weight of the
-   mix adapts too.  One symbol says: order 2 right, order 1 right, neither.
-2. If neither, order 0 codes the id's four nibbles with adaptive cumulative
+   how often that prediction held.  The chance that order 2 is right mixes
+   three adaptive estimates: by order 2's count, by order 1's, and by how often
+   the predicted id itself has come up, which is order 0's; the weights of the
+   mix adapt too.  One symbol says: order 2 right, order 1 right, neither.
+2. If neither, order 0 codes the id's nibbles with adaptive cumulative
    frequencies, each in the context of the nibbles before it.
 
-Ids must lie below 65,536.
+Every block starts from the same state: order 0 from the *prior* of the group,
+a table of its nibbles that is stored once beside the blocks, the rest from
+nothing.  Ids below 65,536 take four nibbles and larger ones up to seven; an id
+that does not fit is an error before anything is coded.
 """
 
 from __future__ import annotations
@@ -19,72 +23,105 @@ from __future__ import annotations
 import numpy as np
 
 BITS, SLOT_BITS = 12, 11
+#: Slots hold an id and a count of four bits.
+MOST_ID = (1 << 28) - 1
+#: Groups of fewer ids start from even frequencies, as their prior would outweigh them.
+PRIOR_IDS = 200_000
 _ROOM = np.uint64(1 << 32)
 _LOW32 = np.uint64((1 << 32) - 1)
 _START = np.uint64(1 << 48)
-_NODES = 1 + 16 + 256 + 1024  # the last level's contexts are hashed
-_RATES = (5, 4, 3, 3)
+_RATES = (5, 5, 4, 4, 4, 4, 4)
 _STEP = np.arange(17, dtype=np.int32)
 _TARGET = np.where(np.arange(17)[None, :] > np.arange(16)[:, None], 16384, 0).astype(np.int16)
 
 
+def nibbles(most: int) -> int:
+    """Nibbles that each id of a group takes."""
+    if not 0 <= most <= MOST_ID:
+        raise ValueError(f"ids must lie between 0 and {MOST_ID}, not at {most}")
+    return max(4, -(-int(most).bit_length() // 4))
+
+
+def n_nodes(levels: int) -> int:
+    return 273 + 1024 * (levels - 3)
+
+
+def node(level: int, head: np.ndarray) -> np.ndarray:
+    """Row of a nibble's context; ``head`` holds the nibbles before it.  Contexts of three nibbles and more are hashed."""
+    if level < 3:
+        return head + (0, 1, 17)[level]
+    return 273 + 1024 * (level - 3) + ((head * 40503 >> 4) & 1023)
+
+
+def prior_of(ids: np.ndarray, levels: int) -> np.ndarray | None:
+    """Cumulative frequencies of the nibbles of a group, or none for a small one."""
+    if len(ids) < PRIOR_IDS:
+        return None
+    counts = np.zeros((n_nodes(levels), 16), np.int64)
+    wide = ids.astype(np.int64)
+    for level in range(levels):
+        up = 4 * (levels - level)
+        at = node(level, wide >> up) * 16 + ((wide >> (up - 4)) & 15)
+        counts += np.bincount(at, minlength=counts.size).reshape(counts.shape)
+    counts = counts * 64 + 1
+    cum = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, 1)], 1)
+    return (cum * 16384 // cum[:, -1:]).astype(np.int16)
+
+
 class _Models:
     """Fresh statistics of ``n`` lanes."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, levels: int, prior: np.ndarray | None):
+        self.n, nodes = n, n_nodes(levels)
         lane = np.arange(n, dtype=np.int64)
-        self.slot0, self.row0 = lane << SLOT_BITS, lane * _NODES
+        self.slot0, self.row0, self.ctx0 = lane << SLOT_BITS, lane * nodes, lane << 4
         self.order1 = np.zeros(n << SLOT_BITS, np.uint32)  # id << 4 | count
         self.order2 = np.zeros(n << SLOT_BITS, np.uint32)
-        self.by2 = np.full((n, 16), 1024, np.int32)
-        self.by1 = np.full((n, 16), 1024, np.int32)
-        self.hit1 = np.full((n, 16), 1024, np.int32)
-        self.weight = np.full(n, 2048, np.int32)
-        self.cdf = np.tile((np.arange(17) * 1024).astype(np.int16), (n * _NODES, 1))
+        self.order0 = np.zeros(n << SLOT_BITS, np.uint8)
+        self.by2, self.by1, self.by0, self.hit1 = (np.full(n << 4, 1024, np.int32) for _ in range(4))
+        self.w2, self.w1 = np.full(n, 1536, np.int32), np.full(n, 1280, np.int32)
+        even = np.tile((np.arange(17) * 1024).astype(np.int16), (nodes, 1))
+        self.cdf = np.tile(even if prior is None else prior, (n, 1))
         self.a = np.zeros(n, np.uint32)
         self.b = np.zeros(n, np.uint32)
-        self.lane = lane
 
     def predict(self, m: int) -> None:
         """Predictions and the three-way split for the first ``m`` lanes."""
-        a, b = self.a[:m], self.b[:m]
-        h1 = (a * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
-        h2 = (a * np.uint32(2246822519) + b * np.uint32(3266489917)) >> np.uint32(32 - SLOT_BITS)
-        self.s1, self.s2 = self.slot0[:m] + h1, self.slot0[:m] + h2
+        a, b, shift = self.a[:m], self.b[:m], np.uint32(32 - SLOT_BITS)
+        h1 = a * np.uint32(2654435761)
+        h2 = a * np.uint32(2246822519) + b * np.uint32(3266489917)
+        self.s1, self.s2 = self.slot0[:m] + (h1 >> shift), self.slot0[:m] + (h2 >> shift)
         t1, t2 = self.order1[self.s1], self.order2[self.s2]
         self.c1, self.c2 = t1 >> np.uint32(4), t2 >> np.uint32(4)
-        self.n1, self.n2 = (t1 & np.uint32(15)).astype(np.int64), (t2 & np.uint32(15)).astype(np.int64)
-        lane = self.lane[:m]
-        self.p2, self.p1 = self.by2[lane, self.n2], self.by1[lane, self.n1]
-        mixed = self.p1 + ((self.p2 - self.p1) * self.weight[:m] >> 12)
-        self.f2 = np.minimum(np.maximum(mixed, 32), 3968)
-        self.q1 = self.hit1[lane, self.n1]
-        self.f1 = np.maximum(((4096 - self.f2) * np.minimum(np.maximum(self.q1, 64), 3968)) >> 12, 1)
+        self.n1, self.n2 = t1 & np.uint32(15), t2 & np.uint32(15)
+        n0 = self.order0[self.slot0[:m] + ((self.c2 * np.uint32(2654435761)) >> shift)]
+        ctx = self.ctx0[:m]
+        self.x2, self.x1, self.x0 = ctx + self.n2, ctx + self.n1, ctx + n0
+        self.p2, self.p1, self.p0 = self.by2[self.x2], self.by1[self.x1], self.by0[self.x0]
+        self.mixed = self.p0 + (((self.p2 - self.p0) * self.w2[:m] + (self.p1 - self.p0) * self.w1[:m]) >> 12)
+        self.f2 = np.minimum(np.maximum(self.mixed, 32), 3968)
+        self.q1 = self.hit1[self.x1]
+        f1 = ((4096 - self.f2) * np.minimum(np.maximum(self.q1, 64), 3968)) >> 12
+        self.f1 = np.where(self.c1 == self.c2, 1, np.maximum(f1, 1))
 
     def learn(self, m: int, ids: np.ndarray, move: np.ndarray) -> None:
-        lane = self.lane[:m]
         right2 = move == 0
-        self.by2[lane, self.n2] += ((right2 * 4096) - self.p2) >> 4
-        self.by1[lane, self.n1] += ((right2 * 4096) - self.p1) >> 4
-        lean = np.where(right2, self.p2 - self.p1, self.p1 - self.p2) >> 5
-        self.weight[:m] = np.minimum(np.maximum(self.weight[:m] + lean, 256), 3840)
-        self.hit1[lane, self.n1] += np.where(right2, 0, ((move == 1) * 4096 - self.q1) >> 4)
+        goal, sign = np.where(right2, 4096, 0), np.where(right2, 1, -1)
+        self.by2[self.x2] = self.p2 + ((goal - self.p2) >> 4)
+        self.by1[self.x1] = self.p1 + ((goal - self.p1) >> 4)
+        self.by0[self.x0] = self.p0 + ((goal - self.p0) >> 4)
+        self.w2[:m] = np.minimum(np.maximum(self.w2[:m] + ((self.p2 - self.mixed) * sign >> 5), 256), 2816)
+        self.w1[:m] = np.minimum(np.maximum(self.w1[:m] + ((self.p1 - self.mixed) * sign >> 5), 256), 3840 - self.w2[:m])
+        seen1 = ~right2 & (self.c1 != self.c2)
+        self.hit1[self.x1] = self.q1 + np.where(seen1, ((move == 1) * 4096 - self.q1) >> 4, 0)
         fresh = ids << np.uint32(4)
-        held1 = self.c1 == ids
-        self.order1[self.s1] = fresh | np.where(held1, np.minimum(self.n1 + 1, 15), np.where(self.n1 > 3, 2, 1)).astype(np.uint32)
-        held2 = self.c2 == ids
-        self.order2[self.s2] = fresh | np.where(held2, np.minimum(self.n2 + 1, 15), np.where(self.n2 > 3, 2, 1)).astype(np.uint32)
+        for slots, s, c, n in ((self.order1, self.s1, self.c1, self.n1), (self.order2, self.s2, self.c2, self.n2)):
+            slots[s] = fresh | np.where(c == ids, np.minimum(n + np.uint32(1), np.uint32(15)), np.where(n > 3, np.uint32(2), np.uint32(1)))
+        s0 = self.slot0[:m] + ((ids * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS))
+        self.order0[s0] = np.minimum(self.order0[s0] + np.uint8(1), np.uint8(15))
         self.b[:m] = self.a[:m]
         self.a[:m] = ids
 
-    @staticmethod
-    def node(level: int, head: np.ndarray) -> np.ndarray:
-        """Row of the nibble's context; ``head`` holds the nibbles before it."""
-        if level < 3:
-            return head + (0, 1, 17)[level]
-        return 273 + ((head * 40503 >> 4) & 1023)
-
     def adapt(self, rows: np.ndarray, table: np.ndarray, nibble: np.ndarray, level: int) -> None:
         table += (_TARGET[nibble] - table) >> _RATES[level]
         self.cdf[rows] = table
@@ -98,19 +135,21 @@ def _order(lengths: list[int]) -> np.ndarray:
     return np.argsort(-np.array(lengths, np.int64), kind="stable")
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids."""
+def encode_blocks(blocks: list[np.ndarray], levels: int = 4, prior: np.ndarray | None = None) -> list[bytes]:
+    """The coded bytes of each block of ids, all of up to ``levels`` nibbles."""
     if not blocks:
         return []
+    if max((int(b.max()) for b in blocks if len(b)), default=0) >> 4 * levels:
+        raise ValueError(f"an id does not fit {levels} nibbles")
     order = _order([len(b) for b in blocks])
     n, longest = len(blocks), len(blocks[order[0]])
     lengths = np.array([len(blocks[i]) for i in order])
     ids = np.zeros((longest, n), np.uint32)
     for k, i in enumerate(order):
         ids[: len(blocks[i]), k] = blocks[i]
-    out = np.zeros((n, 2 * longest + 8), ">u2")
+    out = np.zeros((n, -(-levels // 2) * longest + 8), ">u2")
     at = np.zeros(n, np.int64)
-    models = _Models(n)
+    models = _Models(n, levels, prior)
     low, span = np.zeros(n, np.uint64), np.full(n, _START, np.uint64)
 
     def push(low: np.ndarray, span: np.ndarray, who: np.ndarray | None) -> None:
@@ -140,12 +179,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(lost):
             l0, s0, left = lo[lost], sp[lost], x[lost].astype(np.int64)
             base = models.row0[lost]
-            for level in range(4):
-                if level == 1 or level == 3:
+            for level in range(levels):
+                if level % 2:
                     push(l0, s0, lost)
-                head = left >> (16 - 4 * level)
-                nibble = (left >> (12 - 4 * level)) & 15
-                rows = base + models.node(level, head)
+                up = 4 * (levels - level)
+                nibble = (left >> (up - 4)) & 15
+                rows = base + node(level, left >> up)
                 table = models.cdf[rows]
                 k = np.arange(len(lost))
                 under = _scaled(table[k, nibble], nibble)
@@ -166,7 +205,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return coded
 
 
-def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], lengths: list[int], levels: int = 4, prior: np.ndarray | None = None) -> list[np.ndarray]:
     """The ids of each block; the inverse of :func:`encode_blocks`."""
     if not coded:
         return []
@@ -181,7 +220,7 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     at = np.full(n, 3, np.int64)
     code = words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2]
     ids = np.zeros((longest, n), np.uint32)
-    models = _Models(n)
+    models = _Models(n, levels, prior)
     low, span = np.zeros(n, np.uint64), np.full(n, _START, np.uint64)
 
     def pull(low: np.ndarray, span: np.ndarray, code: np.ndarray, who: np.ndarray | None) -> None:
@@ -215,10 +254,10 @@ def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             l0, s0, c0 = lo[lost], sp[lost], co[lost]
             base = models.row0[lost]
             head = np.zeros(len(lost), np.int64)
-            for level in range(4):
-                if level == 1 or level == 3:
+            for level in range(levels):
+                if level % 2:
                     pull(l0, s0, c0, lost)
-                rows = base + models.node(level, head)
+                rows = base + node(level, head)
                 table = models.cdf[rows]
                 part = s0 >> np.uint64(BITS)
                 goal = np.minimum((c0 - l0) // part, np.uint64(4095)).astype(np.int32)

@@ -2,13 +2,16 @@
 
 A file is a row of groups.  A group holds a zlib-packed table of its documents
 (id and number of ids; a document that does not fit continues in the next
-group) and up to ``LANES`` blocks coded by :mod:`sparkloom.llm.rangecoder`.
-Each block carries its length and the CRC-32 of its ids, and the table carries
-its own CRC-32, so damage is found and confined to one block.
+group), the prior from which its blocks start, and up to ``LANES`` blocks coded
+by :mod:`sparkloom.llm.rangecoder`.  Each block carries its length and the
+CRC-32 of its ids, and table and prior carry one of their own, so damage is
+found, and that of a block is confined to it.
 
 Rows go to files in ascending order of doc_id (null first, equal ids by the
-hash of their text).  Defined cases: a null text has only the end id; any
-length is written whole; an empty table writes no file.
+hash of their text).  Defined cases: a null or empty text has only the end id;
+any length is written whole; repeated rows are written each; an id that the
+coder cannot hold is an error before anything is written; an empty table writes
+no file and reads back as no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.llm import bpe, rangecoder, storage
-from sparkloom.runtime import materialize, shared_path
+from sparkloom.runtime import materialize, shared_path, ship
 
-MAGIC = b"SLTK0001"
-LANES, GROUP_IDS, LEAST_BLOCK = 1024, 4_000_000, 1024
+MAGIC = b"SLTK0002"
+LANES, GROUP_IDS, LEAST_BLOCK = 1024, 8_000_000, 1024
 FILE_IDS = 64_000_000
-_GROUP, _BLOCK = struct.Struct("<IIII"), struct.Struct("<III")
+#: Rows, bytes and CRC-32 of the table, nibbles of an id, bytes and CRC-32 of the prior, blocks.
+_GROUP, _BLOCK = struct.Struct("<IIIIIII"), struct.Struct("<III")
 
 
 class TokenFileError(ValueError):
@@ -38,12 +42,15 @@ class TokenFileError(ValueError):
 
 def write_group(out, table: np.ndarray, ids: np.ndarray) -> None:
     """``table``: rows of (doc_id, is_null, n_ids, continues)."""
+    levels = rangecoder.nibbles(int(ids.max(initial=0)))
     packed = zlib.compress(table.astype("<i8").tobytes(), 6)
+    prior = rangecoder.prior_of(ids, levels)
+    start = b"" if prior is None else zlib.compress(prior.astype("<i2").tobytes(), 6)
     n = max(1, min(LANES, -(-len(ids) // LEAST_BLOCK))) if len(ids) else 0
     blocks = np.array_split(ids, n) if n else []
-    out.write(_GROUP.pack(len(table), len(packed), zlib.crc32(packed), n))
-    out.write(packed)
-    for block, coded in zip(blocks, rangecoder.encode_blocks(blocks), strict=True):
+    out.write(_GROUP.pack(len(table), len(packed), zlib.crc32(packed), levels, len(start), zlib.crc32(start), n))
+    out.write(packed + start)
+    for block, coded in zip(blocks, rangecoder.encode_blocks(blocks, levels, prior), strict=True):
         out.write(_BLOCK.pack(len(block), len(coded), zlib.crc32(block.astype("<u4").tobytes())))
         out.write(coded)
 
@@ -62,10 +69,14 @@ def read_groups(stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     while head := stream.read(_GROUP.size):
         if len(head) != _GROUP.size:
             raise TokenFileError("the file ends early")
-        rows, size, crc, n = _GROUP.unpack(head)
+        rows, size, crc, levels, start_size, start_crc, n = _GROUP.unpack(head)
         packed = _exactly(stream, size)
         if zlib.crc32(packed) != crc:
             raise TokenFileError("a document table is damaged")
+        start = _exactly(stream, start_size)
+        if zlib.crc32(start) != start_crc or not 4 <= levels <= 7:
+            raise TokenFileError("a prior is damaged")
+        prior = np.frombuffer(zlib.decompress(start), "<i2").reshape(-1, 17) if start else None
         table = np.frombuffer(zlib.decompress(packed), "<i8").reshape(rows, 4)
         coded, lengths, crcs = [], [], []
         for _ in range(n):
@@ -73,7 +84,10 @@ def read_groups(stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             coded.append(_exactly(stream, size))
             lengths.append(length)
             crcs.append(crc)
-        blocks = rangecoder.decode_blocks(coded, lengths)
+        try:
+            blocks = rangecoder.decode_blocks(coded, lengths, levels, prior)
+        except IndexError as beyond:  # the damage asks for more than a block has
+            raise TokenFileError("a block is damaged") from beyond
         for block, crc in zip(blocks, crcs, strict=True):
             if zlib.crc32(block.astype("<u4").tobytes()) != crc:
                 raise TokenFileError("a block is damaged")
@@ -129,6 +143,7 @@ class _Writer:
 def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` into files; their list (part, seq, uri, n_ids) is stored."""
     spark = docs.sparkSession
+    ship(spark)
     folder = shared_path(spark, "token-files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +173,7 @@ def read_ids(files: DataFrame) -> DataFrame:
 
     ``files`` has one row for each file, so the sum over all of them stays small.
     """
+    ship(files.sparkSession)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     placed = materialize(placed, "token-file-starts")

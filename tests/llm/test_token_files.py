@@ -23,6 +23,35 @@ def test_rangecoder_round_trip():
     assert (alone == blocks[3]).all()
 
 
+def test_wide_ids():
+    r = np.random.default_rng(2)
+    for most in (65_536, 131_072, 1 << 20, (1 << 28) - 1):
+        ids = r.integers(0, most + 1, 3000).astype(np.uint32)
+        ids[[0, -1]] = most
+        out = io.BytesIO()
+        out.write(token_files.MAGIC)
+        token_files.write_group(out, np.array([[1, 0, 3000, 0]]), ids)
+        assert (next(token_files.read_groups(io.BytesIO(out.getvalue())))[1] == ids).all()
+    out = io.BytesIO()
+    with pytest.raises(ValueError, match="ids must lie"):
+        token_files.write_group(out, np.array([[1, 0, 2, 0]]), np.array([1 << 28, 0], np.uint32))
+    with pytest.raises(ValueError, match="does not fit"):
+        rangecoder.encode_blocks([np.array([70_000], np.uint32)])
+    assert out.getvalue() == b""
+
+
+def test_fewer_bits_than_raw_and_order_0(spark):
+    lib = Tokenizer.from_file(PATH)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(500).collect()]
+    ids = np.concatenate([[*e.ids, 0] for e in lib.encode_batch(texts, add_special_tokens=False)]).astype(np.uint32)
+    share = np.bincount(ids) / len(ids)
+    order0 = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    out = io.BytesIO()
+    token_files.write_group(out, np.array([[1, 0, len(ids), 0]]), ids)
+    bits = 8 * len(out.getvalue()) / len(ids)
+    assert len(ids) > token_files.rangecoder.PRIOR_IDS and bits < 0.55 * 16 and bits < 1.02 * order0
+
+
 def test_damage_is_found():
     out = io.BytesIO()
     out.write(token_files.MAGIC)
