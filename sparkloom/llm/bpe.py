@@ -9,7 +9,10 @@ work, and a word's encoding is read off by stepping back from token to token.
 
 Defined cases: null encodes as the empty text; empty texts give no ids; a text
 of any length is encoded whole; the special token's string in a text becomes
-its id.  Decoding replaces bytes that are no UTF-8 like the library does.
+its id; each row is encoded by itself, so repeated rows agree and ties need no
+order; an empty table gives no rows.  The functions are columns: other columns,
+of any name, stay as they are.  Decoding replaces bytes that are no UTF-8 like
+the library does.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import ship
+
 #: Texts are worked on in runs of about this many characters.
 RUN_CHARS = 4_000_000
 #: Pieces whose ids are kept between runs; past it the store starts anew.
@@ -280,6 +285,7 @@ def id_lists(encoded: list[bytes]) -> pa.Array:
 
 def encode(text: Column, path: str) -> Column:
     """``array<int>`` of token ids."""
+    ship()
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -302,6 +308,7 @@ def token_table(path: str) -> list[bytes]:
 
 def decode(ids: Column, path: str) -> Column:
     """The text of token ids; special tokens are kept."""
+    ship()
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -314,6 +321,7 @@ def decode(ids: Column, path: str) -> Column:
 
 def encode_and_decode(text: Column, path: str) -> Column:
     """Struct (ids, decoded) in one pass through Python: the text of the ids is made from the ids alone."""
+    ship()
 
     @F.arrow_udf("ids array<int>, decoded string")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

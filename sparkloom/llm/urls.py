@@ -7,16 +7,21 @@ and one of rejected URLs.  A context that a model has seen little of leans on
 the next shorter one (orders 2, 1, 0, uniform), so each model is one number
 for each of 32**3 grams: a table whose size does not depend on the data.  The
 score is the difference of the log-likelihoods over the length.  Its limit is
-calibrated on a tenth of the URLs, kept out of the training: the middle of the
-gap with the fewest errors of both classes, each weighed by its size.
-
-Training labels come from ``reject_terms``, words in host names that mark a
-rejected URL; the models see the letters of all URLs, so they also judge names
-that hold none of the words.  All of it is DataFrame code.
-
-Defined cases: null or no ``://`` gives an empty host and path and is allowed
-(there is nothing to score); with no rejected or no accepted URL to learn from
-everything is allowed; repeated rows are judged alike.
+calibrated on a tenth of the URLs, kept out of the training (on all of them if
+a class is missing there): the middle of the gap with the fewest errors of both
+classes, each weighed by its size.  The model carries both error rates at it.
+
+Training labels come from ``reject_terms``: a host is rejected if one of its
+words, that is runs of letters, is one of them, so ``alphabets`` is not
+``bets``.  The models see the letters of all URLs, so they also judge names that
+hold none of the words.  All of it is DataFrame code.
+
+Defined cases: a null or empty url, or one without ``://``, gives an empty host
+and path and is allowed (there is nothing to score); with no rejected or no
+accepted URL to learn from everything is allowed; a URL of any length is scored
+whole; repeated rows are judged alike, so ties need no order; an empty table
+gives an empty one; further columns pass through, and one of an output column's
+name gives way.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.llm.rows import packed, passengers
+
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-REJECT_TERMS = ("casino", "pills", "spam", "bets", "track", "porn", "viagra", "loan", "jackpot", "escort")
+REJECT_TERMS = ("adult", "ads", "bets", "casino", "escort", "jackpot", "loan", "pills", "porn", "spam", "track", "tracker", "viagra")
+ADDED = ("host", "path", "rule", "verdict", "score")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0.-/"
 START, SYMBOLS = 31, 32
 STRENGTH = 2.0
@@ -94,6 +102,9 @@ class UrlModel:
 
     packed: bytes | None
     limit: float = float("-inf")
+    #: Shares of the held-out accepted URLs that are blocked and of the rejected ones that are allowed.
+    wrong_blocked: float | None = None
+    wrong_allowed: float | None = None
 
     def score(self, grams_: Column) -> Column:
         """Length-normalised difference; null for no grams or no model."""
@@ -105,39 +116,48 @@ class UrlModel:
         return F.when(F.size(grams_) > 0, total / (F.size(grams_) * F.lit(float(STEPS))) - SHIFT)
 
 
-def _limit(scored: DataFrame) -> float:
-    """The limit with the fewest errors on held-out (rejected, score)."""
+def _limit(scored: DataFrame) -> tuple[float, float, float] | None:
+    """(limit, wrong_blocked, wrong_allowed) with the fewest errors on (rejected, score); none if a class is missing."""
     bins = scored.where("score is not null").groupBy(F.floor(F.greatest(F.least(F.col("score"), F.lit(20.0)), F.lit(-20.0)) * BIN).alias("bin"))
     bins = bins.agg(F.count_if(~F.col("rejected")).alias("a"), F.count_if("rejected").alias("r"))
     upto, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(1))
-    wrong = F.try_divide(F.sum("a").over(upto), F.sum("a").over(every)) + 1 - F.try_divide(F.sum("r").over(upto), F.sum("r").over(every))
+    blocked, allowed = F.try_divide(F.sum("a").over(upto), F.sum("a").over(every)), 1 - F.try_divide(F.sum("r").over(upto), F.sum("r").over(every))
     following = F.coalesce(F.lead("bin").over(Window.orderBy("bin")), F.col("bin") + 1)
-    sums = bins.select(wrong.alias("wrong"), "bin", following.alias("next")).where("wrong is not null and wrong < 1")
-    best = sums.agg(F.min(F.struct("wrong", "bin", "next")).alias("b")).first().b
-    return float("-inf") if best is None else (best.bin + 1 + best.next) / 2 / BIN
+    sums = bins.select(blocked.alias("blocked"), allowed.alias("allowed"), "bin", following.alias("next")).where("blocked is not null and allowed is not null")
+    best = sums.agg(F.min(F.struct((F.col("blocked") + F.col("allowed")).alias("wrong"), "bin", "next", "blocked", "allowed")).alias("b")).first().b
+    if best is None:
+        return None
+    if best.wrong >= 1:  # no limit is better than none
+        return float("-inf"), 0.0, 1.0
+    return (best.bin + 1 + best.next) / 2 / BIN, best.blocked, best.allowed
+
+
+def rejected_host(host: Column, terms: tuple[str, ...] = REJECT_TERMS) -> Column:
+    """Whether one of the host's words is a term or its plural."""
+    return host.rlike(rf"(?<![a-z])(?:{'|'.join(terms)})s?(?![a-z])")
 
 
 def fit(pages: DataFrame, reject_terms: tuple[str, ...] = REJECT_TERMS) -> UrlModel:
     """Counts the grams of all URLs.  The driver gets 32**3 numbers, however many URLs there are."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     seen = pages.select(host.alias("host"), grams(host, path).alias("grams"))
-    seen = seen.withColumn("rejected", F.col("host").rlike("|".join(reject_terms))).withColumn("kept_out", F.pmod(F.xxhash64("grams"), F.lit(10)) == 0)
+    seen = seen.withColumn("rejected", rejected_host(F.col("host"), reject_terms)).withColumn("kept_out", F.pmod(F.xxhash64("grams"), F.lit(10)) == 0)
     rows = ratio_table(seen.where(~F.col("kept_out"))).collect()
     if not sum(r.n0 for r in rows) or not sum(r.n1 for r in rows):
         return UrlModel(None)
     ratios = {r.g: r.r for r in rows}
     steps = [round((max(-SHIFT, min(SHIFT, ratios[g])) + SHIFT) * STEPS) for g in range(SYMBOLS**3)]
     model = UrlModel(b"".join(x.to_bytes(2, "big") for x in steps))
-    return UrlModel(model.packed, _limit(seen.where("kept_out").select("rejected", model.score(F.col("grams")).alias("score"))))
+    scored = seen.select("rejected", "kept_out", model.score(F.col("grams")).alias("score"))
+    found = _limit(scored.where("kept_out")) or _limit(scored)
+    return UrlModel(model.packed, *found) if found else UrlModel(None)
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, reject_terms: tuple[str, ...] = REJECT_TERMS, model: UrlModel | None = None) -> DataFrame:
     """``pages(url, ...)`` with host, path, rule, verdict and score."""
     model = model or fit(pages, reject_terms)
-    own = {"host", "path", "rule", "verdict", "score", "_rule"}
-    base = pages.drop(*[c for c in pages.columns if c.lower() in own])
-    base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    judged = base.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", model.score(grams(F.col("host"), F.col("path"))))
+    rows = packed(pages, "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    judged = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", model.score(grams(F.col("host"), F.col("path"))))
     low = F.coalesce(F.col("score") < F.lit(model.limit), F.lit(False))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(low, "block").otherwise("allow"))
-    return judged.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule")
+    return judged.select(*passengers(judged, ADDED), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")

@@ -8,8 +8,10 @@ record and damage is reported where it is.
 Of records with equal payloads of at least ``least`` bytes the one with the
 largest page_id is a response and the others are revisits that refer to it.
 Defined cases: a null html is the empty payload; a null page_id sorts below
-all others; of equal page_ids with one payload the first written of the task
-order is as good as any, so all of them are responses.
+all others, so it revisits an equal page that has an id; equal rows that tie on
+the largest page_id are all responses; payloads of any length are written
+whole; repeated rows are written each; an empty table writes no archive and
+reads back as no rows; columns beyond page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import storage
-from sparkloom.runtime import materialize, shared_path
+from sparkloom.runtime import materialize, shared_path, ship
 
 PIECE = 1 << 16
 FILE_BYTES = 256 << 20
 VERSION = b"WARC/1.1"
+SALTS = 16
 
 
 class WarcError(ValueError):
@@ -80,17 +83,22 @@ def read_records(stream, piece: int = PIECE) -> Iterator[tuple[dict[str, str], b
                 waiting = stream.read(piece)
                 if not waiting:
                     raise WarcError("the archive ends within a record")
-            try:
-                data += inflate.decompress(waiting)
+            try:  # a piece at most comes out, however well it was packed
+                data += inflate.decompress(waiting, piece)
             except zlib.error as bad:
                 raise WarcError(f"damaged member: {bad}") from bad
-            waiting = b""
+            waiting = inflate.unconsumed_tail
             if fields is None and (start := data.find(b"\r\n\r\n") + 4) >= 4:
                 lines = bytes(data[: start - 4]).split(b"\r\n")
                 if lines[0] != VERSION:
                     raise WarcError("not a WARC record")
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in lines[1:])}
-                size = int(fields["content-length"])
+                try:
+                    fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in lines[1:])}
+                    size = int(fields["content-length"])
+                except (KeyError, ValueError) as bad:
+                    raise WarcError(f"damaged header: {bad}") from bad
+                if size < 0:
+                    raise WarcError("damaged header: negative length")
             if fields is not None and len(data) > start + size + 4:
                 raise WarcError("a record is longer than its Content-Length")
         waiting = inflate.unused_data
@@ -104,6 +112,15 @@ def read_records(stream, piece: int = PIECE) -> Iterator[tuple[dict[str, str], b
 
 def parse_page(fields: dict[str, str], block: bytes) -> dict:
     """The page of a response or revisit record; a response's payload is verified."""
+    try:
+        return _page(fields, block)
+    except WarcError:
+        raise
+    except (KeyError, ValueError) as bad:
+        raise WarcError(f"damaged header: {bad}") from bad
+
+
+def _page(fields: dict[str, str], block: bytes) -> dict:
     number = lambda s: None if s == "<urn:page:null>" else int(s.removeprefix("<urn:page:").rstrip(">"))
     payload = block[block.index(b"\r\n\r\n") + 4 :]
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
@@ -126,17 +143,28 @@ _FILES = pa.schema([("uri", pa.string()), ("n_records", pa.int64())])
 def write_archives(pages: DataFrame, least: int = 1000, level: int = 6) -> DataFrame:
     """Writes ``pages(page_id, url, html)``; the list (uri, n_records) is stored.
 
-    Digests are compared as narrow rows; the pages are read a second time and
-    shuffled once, by digest, to meet the page they refer to.
+    Digests are compared as narrow rows; the pages are read a second time to
+    meet the page they refer to.  Only payloads that may be revisits are looked
+    up, and a payload that very many pages share does not gather them in a task.
     """
     spark = pages.sparkSession
+    ship(spark)
     folder = shared_path(spark, "warc")
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("_digest", F.sha1(F.col("html").cast("binary"))).withColumn("_bytes", F.octet_length("html"))
-    firsts = base.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n"))
-    firsts = materialize(firsts.where("_n > 1").drop("_n"), "warc-firsts")
-    joined = base.join(firsts, "_digest", "left").select("page_id", "url", "html", (F.col("page_id").isNull() | (F.col("page_id") != F.col("_first"))).alias("_older"), "_first")
-    joined = joined.withColumn("is_revisit", F.col("_first").isNotNull() & F.coalesce("_older", F.lit(False))).drop("_older")
+    large = F.col("_bytes") >= least
+    firsts = base.where(large).groupBy("_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("n"))
+    firsts = materialize(firsts.where("n > 1"), "warc-firsts")
+    shared = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    looked = base.where(large).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    spread = firsts.where(F.col("n") <= max(1000, shared // 100_000)).select("_digest", "_first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    hot = firsts.where(F.col("n") > max(1000, shared // 100_000)).select("_digest", F.col("_first").alias("_hot"))
+    # Under 100,000 rows, as their counts add up to all rows that share a payload.
+    looked = looked.join(spread, ["_digest", "_salt"], "left").join(F.broadcast(hot), "_digest", "left")
+    first = F.coalesce("_hot", "_first")
+    older = first.isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != first))
+    marked = looked.select("page_id", "url", "html", first.alias("_first"), older.alias("is_revisit"))
+    joined = marked.union(base.where(~large).select("page_id", "url", "html", F.lit(None).cast("long"), F.lit(False)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, n, size, done = None, None, 0, 0, []
@@ -166,6 +194,7 @@ PAGES_DDL = "page_id long, payload_bytes long, payload_digest string, record_typ
 
 def read_archives(files: DataFrame, with_payload: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
     """One row for each page record; ``with_payload=False`` leaves payloads null."""
+    ship(files.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

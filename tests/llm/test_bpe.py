@@ -57,6 +57,13 @@ def test_columns(spark):
         assert r.back == LIB.decode(r.t, skip_special_tokens=False) == (r.text or "")
 
 
+def test_repeated_rows_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None)], "doc_id long, decoded string")
+    both = df.select("*", bpe.encode_and_decode(F.col("decoded"), PATH).alias("ids"))
+    assert [(r.decoded, r.ids.decoded) for r in both.collect()] == [("a b", "a b")] * 2 + [(None, "")]
+    assert both.limit(0).count() == 0 and both.where("doc_id = 2").count() == 0
+
+
 def test_decode_broken_bytes(spark):
     pieces = [[128, 200], [50256, 262], [187], list(range(150, 260))]
     df = spark.createDataFrame([(p,) for p in pieces], "t array<int>")

@@ -38,6 +38,13 @@ def test_edges(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_a_payload_that_very_many_pages_share(spark):
+    rows = [(i, "k" * 1000) for i in range(1500)] + [(2000, "m" * 1000), (2001, "m" * 1000), (None, "k" * 1000), (2002, "n" * 1000)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(df)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_members_and_damage():
     one, two = warc.page_record(1, "u", b"a" * 3000, None, False), warc.page_record(2, None, b"b\r\n\r\nb", None, False)
     assert gzip.decompress(one + two).count(b"WARC/1.1") == 2
@@ -49,3 +56,11 @@ def test_members_and_damage():
     wrong = warc.record([("WARC-Type", "response"), ("WARC-Block-Digest", "sha1:AAAA")], b"x")
     with pytest.raises(warc.WarcError):
         list(warc.read_records(io.BytesIO(wrong)))
+    heads = [b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", b"WARC/1.1\r\n\xff: 1\r\n\r\n", b"WARC/1.1\r\nContent-Length: -4\r\n\r\n"]
+    for head in heads:
+        with pytest.raises(warc.WarcError):
+            list(warc.read_records(io.BytesIO(gzip.compress(head))))
+    with pytest.raises(warc.WarcError):
+        [warc.parse_page(*r) for r in warc.read_records(io.BytesIO(warc.record([("WARC-Type", "response")], b"x")))]
+    big = warc.page_record(3, "u", b"0" * 30_000_000, None, False)
+    assert len(big) < 40_000 and warc.parse_page(*next(warc.read_records(io.BytesIO(big))))["payload_bytes"] == 30_000_000
