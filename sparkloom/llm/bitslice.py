@@ -36,9 +36,10 @@ from pyspark.sql.window import Window
 from sparkloom.runtime import materialize, ship
 
 BLOCK_ROWS = 32768
-#: Blocks of a part: what one task works on, and how often a query is sent.
+#: Most blocks of a part: what one task works on, and how often a query is sent.
 PART_BLOCKS = 8
-LEAST_ROWS = 2048
+#: Short bitmaps cost as many steps as long ones, so small tables have few parts and deal their queries to several tasks.
+LEAST_ROWS, ASKED_ROWS, MOST_GROUPS = 16384, 128, 64
 
 
 def quantise(vector: Column, scale: int = 64) -> Column:
@@ -167,15 +168,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {c: batch.column(c)[r].as_py() for c in batch.schema.names}
 
 
-def build(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The stored index of ``rows(vec_id, q, asks)``, and the number of its parts.
+def build(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """The stored index of ``rows(vec_id, q, asks)``, the number of its parts, and that of the groups of queries.
 
     A block's number holds its partition and its place there, so no two agree.
     """
     spark = rows.sparkSession
-    n = rows.count()
-    size = min(PART_BLOCKS * BLOCK_ROWS, max(LEAST_ROWS, -(-n // (3 * spark.sparkContext.defaultParallelism))))
+    n, tasks = rows.count(), 3 * spark.sparkContext.defaultParallelism
+    size = min(PART_BLOCKS * BLOCK_ROWS, max(LEAST_ROWS, -(-n // tasks)))
     parts = max(1, -(-n // size))
+    groups = min(MOST_GROUPS, -(-tasks // parts))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -202,7 +204,7 @@ def build(rows: DataFrame) -> tuple[DataFrame, int]:
         if count:
             yield block(pa.Table.from_batches(held))
 
-    return materialize(rows.repartition(parts).mapInArrow(pack, _BLOCK_DDL), "slice-index"), parts
+    return materialize(rows.repartition(parts).mapInArrow(pack, _BLOCK_DDL), "slice-index"), parts, groups
 
 
 def asked(index: DataFrame) -> DataFrame:
@@ -211,9 +213,11 @@ def asked(index: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             at = _longs(row["asks"])
-            if len(at):
-                values = rows_of(_planes(row), int(row["bias"]), at)
-                yield pa.RecordBatch.from_pylist([{"q_no": row["no"], "q_dims": row["dims"], "q_at": row["asks"], "q_ids": _longs(row["ids"])[at].astype("<i8").tobytes(), "q_values": values.astype("<i8").tobytes()}], schema=_ASKED)
+            ids, planes = _longs(row["ids"]), _planes(row)
+            for first in range(0, len(at), ASKED_ROWS):
+                few = at[first : first + ASKED_ROWS]
+                values = rows_of(planes, int(row["bias"]), few)
+                yield pa.RecordBatch.from_pylist([{"q_no": row["no"], "q_dims": row["dims"], "q_at": few.tobytes(), "q_ids": ids[few].tobytes(), "q_values": values.tobytes()}], schema=_ASKED)
 
     return materialize(index.mapInArrow(read, _ASKED_DDL), "slice-queries")
 
@@ -244,8 +248,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     """(query_id, rank, vec_id, score) from ``vectors(vec_id, embedding)``."""
     ship(vectors.sparkSession)
     rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", quantise(F.col("embedding"), scale).alias("q"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("q is not null")
-    index, parts = build(rows)
-    sent = asked(index).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    index, parts, groups = build(rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    sent = asked(index).withColumn("group", F.pmod(F.xxhash64("q_no", "q_at"), F.lit(groups))).withColumn("part", every(parts))
+    dealt = index.withColumn("group", every(groups))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -262,6 +268,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
                 out[4].append(np.array(score, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], schema=_FOUND)
 
-    found = sent.join(index, "part").mapInArrow(search, "q_no long, q_at long, query_id long, vec_id long, score long")
+    found = sent.join(dealt, ["part", "group"]).mapInArrow(search, "q_no long, q_at long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q_no", "q_at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
