@@ -6,6 +6,8 @@ All limits count UTF-8 bytes (``octet_length``), and every rule is an ordered
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,15 +96,15 @@ def normalize_lesson(text: Column) -> Column:
 
 
 def slugify(text: Column) -> Column:
-    """Lower-case letters, digits and dashes; one pass joins double dashes."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]", "-"), "--", "-"), F.lit("-"))
+    """Lower-case letters and digits of any script, and dashes; one pass joins double dashes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{IsAlphabetic}\p{N}-]", "-"), "--", "-"), F.lit("-"))
 
 
 def normalize_error(text: Column) -> Column:
-    """Without ``:digits`` runs, up to the first colon that no digit follows."""
-    numbered = F.regexp_extract(text, r"^((?:[^:]|:(?=\d))*)(?s:.*)$", 1)
+    """Without positions such as ``:12:5:``, up to the first colon that no digit follows."""
+    numbered = F.regexp_extract(text, r"^((?:[^:]|:\d[\d:]*+)*+)(?s:.*)$", 1)
     rest = F.substring(text, F.length(numbered) + 1, F.length(text))
-    return F.concat(F.regexp_replace(numbered, r":\d+", ""), rest)
+    return F.regexp_replace(F.concat(F.regexp_replace(numbered, r":\d[\d:]*", ""), rest), r"^\s+|\s+$", "")
 
 
 def valid_slug(slug: Column) -> Column:
@@ -115,18 +117,23 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.floor(F.octet_length(text) / 4), F.floor(words * 1.3)).cast("long")
 
 
-#: Query classes in order; the first class with a word in the query wins.
+#: Query classes in order; the first with a phrase in the query wins.
 QUERY_CLASSES = (
-    ("api", ("endpoint", "route", "http", "rest", "api")),
-    ("architecture", ("architecture", "design", "structure", "overview")),
-    ("debug", ("error", "fail", "bug", "crash", "panic")),
-    ("how_to", ("how to", "example", "usage")),
-    ("symbol", ("function", "struct", "class", "method")),
+    ("api_lookup", ("fn ", "struct ", "trait ", "impl ", "pub fn", "function", "method", "verify", "parse", "token", "handler", "client", "config", "registry", "search", "index", "cache", "embed")),
+    ("call_flow", ("flow", "call chain", "how does", "lifecycle", "pipeline", "request path", "execution", "calls", "invokes")),
+    ("architecture", ("architecture", "bounded context", "layer", "structure", "organized", "design", "system diagram", "dependency direction")),
+    ("concept", ("what is", "what are", "what modules", "which modules", "which crates", "what components", "role of", "purpose of", "concept")),
+    ("onboarding", ("get started", "getting started", "how to build", "how to run", "where to start", "entry point", "overview", "tech stack")),
 )
 
 
+def holds_any(text: Column, needles) -> Column:
+    """Whether a text holds one of some plain strings."""
+    return text.rlike("|".join(re.escape(n) for n in needles))
+
+
 def query_class(query: Column) -> Column:
-    low, out = F.lower(query), F.lit("general")
+    low, out = F.lower(query), F.lit("unknown")
     for name, needles in reversed(QUERY_CLASSES):
-        out = F.when(low.rlike("|".join(needles)), name).otherwise(out)
+        out = F.when(holds_any(low, needles), name).otherwise(out)
     return out

@@ -68,10 +68,17 @@ def community_scores(bm: DataFrame, boost: DataFrame, rank: DataFrame, recency:
     return j.select("query_id", "doc_id", (0.55 * z("t") + 0.30 * z("f") + 0.05 * z("rank") + 0.10 * z("recency")).alias("score"))
 
 
+#: Weights of the features of a candidate file, and of its penalties.
+CONTENT, PATH, SYMBOL, PROXIMITY, SEEN, REDUNDANT = 0.40, 0.20, 0.15, 0.10, 0.15, 0.10
+
+
 def rerank(candidates: DataFrame) -> DataFrame:
-    """Six features, weighted, with penalties; never below 0."""
-    c = C
-    score = 0.40 * c("text") + 0.20 * c("community") + 0.15 * c("graph") + 0.10 * c("symbol") - 0.15 * c("is_test").cast("double") - 0.10 * c("seen").cast("double")
+    """Candidates with their score: content, path, symbol and proximity, less if seen or redundant; never below 0.
+
+    A file that only its community brought in is half redundant.
+    """
+    redundant = F.when(C("from_community") & (C("content") == 0), 0.5).otherwise(0.0)
+    score = CONTENT * C("content") + PATH * C("path") + SYMBOL * C("symbol") + PROXIMITY * C("proximity") - SEEN * C("seen").cast("double") - REDUNDANT * redundant
     return candidates.withColumn("score", F.greatest(F.lit(0.0), score))
 
 
@@ -100,13 +107,6 @@ def code_view(rank: Column, symbols: Column, files: Column) -> Column:
     return F.when(rank <= 1, "full").when(rank <= 3, F.when(large, "compressed").otherwise("full")).otherwise("signatures")
 
 
-def wiki_gate(score: Column, second: Column, title: Column, tier: Column, stale: Column, floor: float = 12.0) -> Column:
-    """Whether a page answers a query by itself: over the floor, sure enough, and not stale."""
-    gap = F.when(score > 0, (score - second) / score).otherwise(0.0)
-    sure = 0.5 * F.least(score / 20.0, F.lit(1.0)) + 0.3 * gap + 0.1 * title + 0.1 * tier - F.when(stale, 0.3).otherwise(0.0)
-    return (score >= floor) & (sure >= 0.6) & ~stale
-
-
 def impact(reached: DataFrame, communities: DataFrame, tests: DataFrame, cochanged: DataFrame) -> DataFrame:
     """(communities, tests, cochanged) of everything a change reaches, one row."""
     r = reached.join(communities, "node", "left").join(tests, "node", "left").join(cochanged, "node", "left")

@@ -107,7 +107,7 @@ def episodes(steps: DataFrame) -> DataFrame:
         F.count_if(done & ~ok).alias("failures"),
         F.count_if(C("event_type") == "Error").alias("errors"),
     )
-    outcome = F.when((C("errors") == 0) & (C("failures") == 0), "Success").when(C("successes") > C("failures") + C("errors"), "Partial").otherwise("Failure")
+    outcome = F.when((C("errors") > 0) | (C("failures") > 0), "Partial").otherwise("Success")
     return g.withColumn("outcome", outcome)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.runtime import materialize
+
 C = F.col
 
 
@@ -42,9 +46,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, endings: tuple[str, ..
     """(path, source, target): relative imports to the first candidate file that exists."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     joined = F.concat_ws("/", folder, F.regexp_replace("source", r"^\./", ""))
-    up = joined
-    for _ in range(4):  # one parent step at a time
-        up = F.regexp_replace(up, r"[^/]+/\.\./", "")
+    # Part by part: a parent step takes back the part before it, at any depth.
+    none = F.array().cast("array<string>")
+    fold = lambda kept, part: F.when((part == "..") & (F.size(kept) > 0), F.slice(kept, F.lit(1), F.size(kept) - 1)).when(part.isin(".", ".."), kept).otherwise(F.concat(kept, F.array(part)))
+    up = F.array_join(F.aggregate(F.split(joined, "/"), none, fold), "/")
     tries = F.array(up, *[F.concat(up, F.lit(e)) for e in endings])
     tried = imports.where(C("source").startswith(".")).select("path", "source", F.posexplode(tries).alias("n", "target"))
     found = tried.join(files.select(C("path").alias("target")), "target", "left_semi").groupBy("path", "source").agg(F.min_by("target", "n").alias("target"))
@@ -63,27 +68,73 @@ def context_miss(misses: DataFrame, members: DataFrame, links: DataFrame) -> Dat
     return own.union(near).distinct()
 
 
+#: What changes from run to run in a command's output, and what stands for it, in order.
+SCRUBS = (
+    (r"\x1b\[[0-9;]*[A-Za-z]", ""),
+    (r"/tmp/[A-Za-z0-9._-]+", "/tmp/<TEMP>"),
+    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<TS>"),
+    (r"\b1[5-9]\d{8}\b", "<TS>"),
+    (r"\b(?:pid|PID)\s*=?\s*\d+\b", "pid=<PID>"),
+    (r"\b0x[0-9a-fA-F]+\b", "<ADDR>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
+    (r"\b[0-9a-f]{8,}\b", "<HASH>"),
+)
+
+
 def scrub(output: Column) -> Column:
     """A command's output without what changes from run to run."""
-    rules = [
-        (r"\x1b\[[0-9;]*m", ""),
-        (r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?Z?", "<TIME>"),
-        (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>"),
-        (r"0x[0-9a-fA-F]+", "<ADDR>"),
-        (r"/tmp/[^\s'\"]+", "<TMP>"),
-        (r"\bpid[ =:]*\d+", "pid <PID>"),
-        (r"\b\d+(?:\.\d+)?(?:ms|s)\b", "<DUR>"),
-        (r":\d{4,5}\b", ":<PORT>"),
-    ]
-    for pattern, to in rules:
+    for pattern, to in SCRUBS:
         output = F.regexp_replace(output, pattern, to)
     return output
 
 
-def affected(output: Column) -> Column:
-    """Sorted paths, tests and crates that a build or test output names."""
-    found = [F.regexp_extract_all(output, F.lit(p), 1) for p in (r"-->\s+([^\s:]+)", r"test\s+([\w:]+)\s+\.\.\.", r"([\w/.-]+\.\w+):\d+", r"Compiling\s+([\w-]+)")]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+def normalised_call(tool: Column, args: Column, output: Column) -> Column:
+    """Struct (args, output) by which calls of one tool compare; ``args`` is JSON.
+
+    Commands are scrubbed; a read keeps its path; a search its pattern, path
+    and query and the set of its lines; a web call its address or query and the
+    head of its answer; another tool keeps both.
+    """
+    field = lambda *keys: F.coalesce(*[F.get_json_object(args, f"$.{k}") for k in keys])
+    some = lambda *keys: F.to_json(F.struct(*[F.get_json_object(args, f"$.{k}").alias(k) for k in keys]))
+    path, command = field("file_path", "path"), field("command")
+    kept = (
+        F.when((tool == "bash") & command.isNotNull(), F.to_json(F.struct(scrub(command).alias("command"))))
+        .when((tool == "read_file") & path.isNotNull(), F.to_json(F.struct(path.alias("file_path"))))
+        .when(tool.isin("grep", "glob"), some("pattern", "path", "query"))
+        .when(tool.isin("web_search", "web_fetch"), some("url", "query", "q"))
+        .otherwise(args)
+    )
+    lines = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(output, "\n"), lambda x: x != ""))), "\n")
+    out = (
+        F.when(tool == "bash", scrub(output))
+        .when(tool == "read_file", "")
+        .when(tool.isin("grep", "glob"), F.sha2(lines, 256))
+        .when(tool.isin("web_search", "web_fetch"), F.sha2(F.substring(output, 1, 2048), 256))
+        .otherwise(output)
+    )
+    return F.struct(kept.alias("args"), out.alias("output"))
+
+
+def affected(stdout: Column, stderr: Column) -> Column:
+    """Struct (files, symbols), sorted, that a build or test output names.
+
+    Files stand behind an arrow, or in a word ``folder/name.ext:line`` of five
+    languages; symbols are test paths and, as ``crate:name``, compiled crates.
+    """
+    lines = F.split(F.concat_ws("\n", stderr, stdout), "\r?\n")
+    arrow = lambda x: F.contains(x, F.lit("-->"))
+    behind = F.transform(F.filter(lines, arrow), lambda x: F.trim(F.regexp_extract(x, r"-->\s*([^:]*):", 1)))
+    behind = F.filter(behind, lambda p: F.contains(p, F.lit(".")) & ~F.contains(p, F.lit(" ")))
+    words = F.flatten(F.transform(F.filter(lines, lambda x: ~arrow(x)), lambda x: F.split(x, r"\s+")))
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}/.:_-]+|[^\p{L}\p{N}/.:_-]+$", ""))
+    placed = F.transform(F.filter(bare, lambda w: F.contains(w, F.lit(":"))), lambda w: F.substring_index(w, ":", 1))
+    placed = F.filter(placed, lambda p: p.rlike(r"\.(?:rs|py|ts|go|js)$") & p.rlike(r"[/\\]"))
+    tests = F.transform(lines, lambda x: F.regexp_extract(x, r"^(?:.*?\s)?test\s+(\S+)", 1))
+    tests = F.filter(tests, lambda t: F.contains(t, F.lit("::")) & ~t.startswith("-"))
+    crates = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"^\s*Compiling\s+(\S+)", 1)), lambda c: c != "")
+    symbols = F.concat(tests, F.transform(crates, lambda c: F.concat(F.lit("crate:"), c)))
+    return F.struct(F.array_sort(F.array_distinct(F.concat(behind, placed))).alias("files"), F.array_sort(F.array_distinct(symbols)).alias("symbols"))
 
 
 def error_line(output: Column, most: int = 200) -> Column:
@@ -128,25 +179,55 @@ def session_metrics(used: DataFrame, context: DataFrame) -> DataFrame:
     return j.groupBy("run_id").agg(F.count_if(C("u").isNotNull() & C("c").isNotNull()).alias("hit"), F.count_if(C("c").isNull()).alias("miss"), F.count_if(C("u").isNull()).alias("over_read"))
 
 
-def tree_path(entries: DataFrame, leaf: str, most: int = 1000) -> DataFrame:
-    """(id, depth) from a leaf of ``entries(id, parent)`` to its root."""
-    spark = entries.sparkSession
-    entries.select("id", "parent").createOrReplaceTempView("_tree_entries")
-    return spark.sql(f"WITH RECURSIVE up(id, parent, depth) AS (SELECT id, parent, 0 FROM _tree_entries WHERE id = :leaf UNION ALL SELECT e.id, e.parent, u.depth + 1 FROM up u JOIN _tree_entries e ON e.id = u.parent WHERE u.depth < {most}) SELECT id, depth FROM up", args={"leaf": leaf})
-
+def tree_path(entries: DataFrame, leaf: str) -> DataFrame:
+    """(id, depth) from a leaf of ``entries(id, parent)`` to its root, however deep; a loop ends where it closes.
 
-def lint(pages: DataFrame) -> DataFrame:
-    """(slug, check, severity) of ``pages(slug, body, links_in, age_days, hits, latency_ms)``."""
-    checks = [
-        (~C("slug").rlike("^[a-z0-9][a-z0-9_-]*$"), "bad_slug", "error"),
-        (F.length(F.trim("body")) == 0, "empty", "error"),
-        (C("links_in") == 0, "orphan", "warning"),
-        ((C("age_days") >= 30) & (C("hits") == 0), "never_hit", "info"),
-        (C("body").rlike(r"(?m)^#+ .*\n+(?=#)"), "empty_section", "warning"),
-        (C("latency_ms") > 2000, "slow", "warning"),
+    Each round doubles the steps of all pointers, so depth d takes log2(d) rounds.
+    """
+    known = entries.select(C("id").alias("_known"))
+    jumps = materialize(entries.select("id", C("parent").alias("to")).join(known, C("to") == C("_known"), "left_semi"), "tree")
+    found = materialize(entries.where(C("id") == leaf).select("id", F.lit(0).cast("long").alias("depth")), "tree-path")
+    step, n = 1, found.count()
+    while n:
+        up = found.join(jumps, "id").select(C("to").alias("id"), (C("depth") + step).alias("depth"))
+        found = materialize(found.union(up).groupBy("id").agg(F.min("depth").alias("depth")), "tree-path")
+        before, n = n, found.count()
+        if n == before:
+            break
+        twice = jumps.select("id", C("to").alias("_m")).join(jumps.select(C("id").alias("_m"), "to"), "_m").select("id", "to")
+        jumps, step = materialize(twice, "tree"), 2 * step
+    return found
+
+
+#: Seconds without a compile, age of a lesson that was never used, milliseconds of recall.
+STALE_SECONDS, UNUSED_SECONDS, P50_MS, P95_MS = 7200, 30 * 86400, 500.0, 2000.0
+
+
+def lint(state: DataFrame, lessons: DataFrame, orphan_episodes: DataFrame, broken_pages: DataFrame) -> DataFrame:
+    """(metric, severity, subject) of the memory's six checks.
+
+    ``state(seconds_since_compile, p50_ms, p95_ms)`` has one row;
+    ``lessons(id, age_seconds, hits)``, ``orphan_episodes(id)`` and
+    ``broken_pages(slug)`` one for each of theirs.
+    """
+    issue = lambda metric, severity, subject: (F.lit(metric).alias("metric"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"))
+    nothing = F.lit(None)
+    found = [
+        state.where(C("seconds_since_compile") > STALE_SECONDS).select(*issue("wiki.staleness", "warning", nothing)),
+        lessons.where((C("age_seconds") >= UNUSED_SECONDS) & (C("hits") == 0)).select(*issue("lesson.zero_hit", "concern", C("id"))),
+        orphan_episodes.select(*issue("episode.orphan", "info", C("id"))),
+        broken_pages.select(*issue("wiki.broken_link", "warning", C("slug"))),
+        state.where(C("p50_ms") > P50_MS).select(*issue("retrieval.p50_latency", "warning", nothing)),
+        state.where(C("p95_ms") > P95_MS).select(*issue("retrieval.p95_latency", "critical", nothing)),
     ]
-    found = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"))) for cond, n, s in checks]))
-    return pages.select("slug", F.explode(found).alias("_c")).select("slug", "_c.check", "_c.severity")
+    return reduce(DataFrame.union, found)
+
+
+def empty_sections(pages: DataFrame) -> DataFrame:
+    """(slug, heading) of ``pages(slug, body)``: headings that another heading, or the end, follows but for blank lines."""
+    lines = pages.select("slug", F.posexplode(F.split("body", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    after = F.lead("line").over(Window.partitionBy("slug").orderBy("pos"))
+    return lines.withColumn("_after", after).where(C("line").rlike("^#+ ") & (C("_after").isNull() | C("_after").rlike("^#+ "))).select("slug", C("line").alias("heading"))
 
 
 def orphaned_calls(messages: DataFrame) -> DataFrame:
@@ -156,12 +237,15 @@ def orphaned_calls(messages: DataFrame) -> DataFrame:
 
 def call_flow(calls: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
     """(root, step, node): callees by breadth from each start, up to ``most`` steps."""
-    seen = start.select(C("node").alias("root"), "node", F.lit(0).alias("level"))
-    front = seen
-    for level in range(1, 4):
+    seen = front = start.select(C("node").alias("root"), "node", F.lit(0).alias("level"))
+    for level in range(1, most):  # a level has a step at least, so ``most`` steps need no more
         near = front.join(calls, C("node") == C("src")).select("root", C("dst").alias("node")).distinct()
-        front = near.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("level", F.lit(level))
-        seen = seen.unionByName(front)
+        front = materialize(near.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("level", F.lit(level)), "call-flow")
+        full = seen.groupBy("root").agg(F.count("*").alias("_n")).where(C("_n") >= most)
+        front = front.join(full, "root", "left_anti")  # these have their steps
+        if front.limit(1).count() == 0:
+            break
+        seen = materialize(seen.unionByName(front), "call-flow")
     step = F.row_number().over(Window.partitionBy("root").orderBy("level", "node"))
     return seen.withColumn("step", step).where(C("step") <= most).select("root", "step", "node")
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.text import holds_any
+
 C = F.col
 NOISE = "test|benchmark|example"
 
@@ -33,13 +38,25 @@ def min_max(scores: DataFrame, by: str = "query_id", flat: float = 1.0) -> DataF
     return scores.withColumn("norm", F.when(high > low, (C("score") - low) / (high - low)).otherwise(flat))
 
 
-def hybrid(primary: DataFrame, other: DataFrame) -> DataFrame:
-    """Greater of both normalised scores; what only the other found gets half the weakest primary score."""
+def noise_path(path: Column) -> Column:
+    """Tests, benchmarks and examples, for the rankers."""
+    return F.lower(path).rlike(NOISE)
+
+
+def hybrid(primary: DataFrame, other: DataFrame, path: Column | None = None) -> DataFrame:
+    """Greater of both normalised scores; what only the other found counts half the weakest primary score.
+
+    Weakest is the least normalised score above 0.01, and 0.3 at most.  Noise
+    paths keep a tenth.  ``path`` is an expression over doc_id.
+    """
     p = min_max(primary).select("query_id", "doc_id", C("norm").alias("p"))
     o = min_max(other).select("query_id", "doc_id", C("norm").alias("o"))
     both = p.join(o, ["query_id", "doc_id"], "full_outer")
-    weakest = F.min("p").over(Window.partitionBy("query_id"))
-    return both.withColumn("_w", weakest).select("query_id", "doc_id", F.when(C("p").isNotNull(), F.greatest("p", F.coalesce("o", F.lit(0.0)))).otherwise(F.coalesce("_w", F.lit(0.0)) * 0.5).alias("score"))
+    weakest = F.least(F.min(F.when(C("p") > 0.01, C("p"))).over(Window.partitionBy("query_id")), F.lit(0.3))
+    theirs = F.coalesce("o", F.lit(0.0))
+    score = F.when(C("p") > 0, F.greatest("p", theirs)).otherwise(theirs * C("_w") * 0.5)
+    share = F.lit(1.0) if path is None else F.when(noise_path(path), 0.1).otherwise(1.0)
+    return both.withColumn("_w", weakest).select("query_id", "doc_id", (score * share).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,10 +73,47 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
-def quantise(v: Column, edge: float = 0.9816) -> Column:
-    """Two-bit levels of a vector on its unit length after sign flips of odd places."""
-    flipped = F.transform(unit(v), lambda x, i: F.when(i % 2 == 1, -x).otherwise(x))
-    return F.transform(flipped, lambda x: F.when(x < -edge, 0).when(x < 0, 1).when(x < edge, 2).otherwise(3))
+#: Borders and levels of the two-bit quantiser.
+BORDERS, LEVELS = (-0.9816, 0.0, 0.9816), (-1.51, -0.4528, 0.4528, 1.51)
+
+
+def rotation(dims: int, seed: int = 42) -> tuple[list[int], list[int]]:
+    """(source, sign) of each place after a seeded permutation and sign flips."""
+    r = np.random.default_rng(seed)
+    return r.permutation(dims).tolist(), r.choice([-1, 1], dims).tolist()
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def rotated(v: Column, dims: int, seed: int = 42) -> Column:
+    source, sign = rotation(dims, seed)
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in zip(source, sign, strict=True)])
+    return F.transform(places, lambda p: F.get(v, p["i"]) * p["s"])
+
+
+def _scaled(v: Column, norm: Column) -> Column:
+    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+
+
+def quantise(v: Column, dims: int, seed: int = 42) -> Column:
+    """Struct (data, norm): two-bit levels of the rotated unit vector, four to a byte."""
+    level = lambda x: F.when(x < BORDERS[0], 0).when(x < BORDERS[1], 1).when(x < BORDERS[2], 2).otherwise(3)
+    at = lambda levels, b, k: F.shiftleft(F.coalesce(F.get(levels, b * 4 + k), F.lit(0)), 2 * k)
+    data = lambda levels: F.transform(F.sequence(F.lit(0), F.lit((dims - 1) // 4)), lambda b: at(levels, b, 0) + at(levels, b, 1) + at(levels, b, 2) + at(levels, b, 3))
+    coded = lambda n: F.struct(_let(F.transform(_let(_scaled(v, n), lambda u: rotated(u, dims, seed)), level), data).alias("data"), n.alias("norm"))
+    return _let(F.sqrt(dot(v, v)), coded)
+
+
+def quantised_product(query: Column, coded: Column, dims: int, seed: int = 42) -> Column:
+    """The inner product of a full query with a quantised vector, nearly."""
+    levels = F.array(*map(F.lit, LEVELS))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.floor(F.get(coded["data"], F.floor(i / 4).cast("int")) / F.pow(F.lit(4), i % 4)).cast("int").bitwiseAND(3))
+    total = lambda turned: F.aggregate(F.zip_with(turned, bits, lambda q, b: q * F.get(levels, b)), F.lit(0.0), lambda s, x: s + x)
+    product = lambda n: F.when((n == 0) | (coded["norm"] == 0), 0.0).otherwise(_let(_let(_scaled(query, n), lambda u: rotated(u, dims, seed)), total) * n * coded["norm"])
+    return _let(F.sqrt(dot(query, query)), product)
 
 
 def pack_stop(items: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
@@ -68,9 +122,13 @@ def pack_stop(items: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
     return items.withColumn("_sum", F.sum("tokens").over(upto)).where(C("_sum") <= budget).drop("_sum")
 
 
-def pack_skip(items: DataFrame, budget: int, by: str = "query_id", most: int | None = None) -> DataFrame:
-    """Items in rank order, those that do not fit left out; a query has few candidates."""
-    rows = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "tokens", "doc_id"))).alias("_rows"))
+def pack_skip(items: DataFrame, budget: int, by: str = "query_id", most: int | None = None, candidates: int = 1000) -> DataFrame:
+    """Items in rank order, those that do not fit left out.
+
+    Only the best ``candidates`` of a query are looked at, so what is folded in
+    one row is bounded; give more for longer lists.
+    """
+    rows = items.where(C("rank") < candidates).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "tokens", "doc_id"))).alias("_rows"))
     none = F.expr("cast(array() as array<struct<rank:int,tokens:bigint,doc_id:bigint>>)")
     start = F.struct(F.lit(0).cast("long").alias("used"), none.alias("kept"))
 
@@ -85,26 +143,58 @@ def pack_skip(items: DataFrame, budget: int, by: str = "query_id", most: int | N
     return folded.select(by, F.inline("_f.kept"))
 
 
+#: Parts and ends of the paths of tests, fixtures, and configuration or build files.
+TEST_PARTS = ("/test", "_test.", ".test.", "_spec.", ".spec.", "/tests/", "/__tests__/")
+FIXTURE_PARTS = ("/fixture", "/mock", "/factory", "/fake", "/stub", "conftest", "test_helper", "test_util")
+CONFIG_ENDS = ("cargo.toml", "package.json", "tsconfig.json", "pyproject.toml", "setup.py", "setup.cfg", "makefile", ".lock", ".yml", ".yaml")
+#: A candidate this close to a better one of its folder is redundant; at most this share of a list goes.
+REDUNDANT_RATIO, MOST_REMOVED = 0.95, 0.40
+
+
 def is_test_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"/tests?/|_test\.|\.test\.|\.spec\.|^tests?/|test_")
+    return holds_any(F.lower(path), TEST_PARTS)
 
 
 def is_fixture_path(path: Column) -> Column:
-    return F.lower(path).rlike("fixture|mock|snapshot|testdata|__snapshots__|stub")
+    return holds_any(F.lower(path), FIXTURE_PARTS)
 
 
 def is_config_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.toml$|\.ya?ml$|\.lock$|\.json$|makefile|dockerfile|build\.rs$|\.cfg$|\.ini$")
+    return F.lower(path).rlike("(?:" + "|".join(re.escape(e) for e in CONFIG_ENDS) + ")$")
+
 
+def file_stem(path: Column) -> Column:
+    """The file's name without its last ending."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
-def harm_filter(candidates: DataFrame, by: str = "query_id", share: float = 0.4) -> DataFrame:
-    """Drops harmful candidates in rank order, at most ``ceil(share * n)`` of a query."""
+
+def harm_filter(candidates: DataFrame, by: str = "query_id", tested: DataFrame | None = None) -> DataFrame:
+    """``candidates(path, score, rank)``, the few best of a query, with a reason and whether it removes them.
+
+    In rank order: tests whose definer is a candidate too (by ``tested(path,
+    target)`` or by name), fixtures, configuration, and near equals of a better
+    candidate whose folder's path is as long.  Once ``MOST_REMOVED`` of a list
+    are gone the rest stay.
+    """
     path = C("path")
-    reason = F.when(is_test_path(path), "test").when(is_fixture_path(path), "fixture").when(is_config_path(path), "config")
-    flagged = candidates.withColumn("reason", reason).withColumn("_most", F.ceil(F.count("*").over(Window.partitionBy(by)) * share))
+    plain = ~is_test_path(path) & ~is_fixture_path(path) & ~is_config_path(path)
+    stem = file_stem(path)
+    for end in (r"(?:_test)+$", r"(?:_spec)+$", r"(?:\.test)+$", r"(?:\.spec)+$"):
+        stem = F.regexp_replace(stem, end, "")
+    tests = candidates.where(is_test_path(path)).select(by, "path", stem.alias("_stem"))
+    definers = candidates.where(plain).select(by, C("path").alias("_definer"), file_stem(path).alias("_name"))
+    met = tests.join(definers, by).where((C("_stem") != "") & F.contains(C("_name"), C("_stem"))).select(by, "path")
+    if tested is not None:
+        known = tests.join(tested.select("path", C("target").alias("_definer")), "path").join(definers, [by, "_definer"]).select(by, "path")
+        met = met.union(known)
+    marked = candidates.join(met.distinct().withColumn("_met", F.lit(True)), [by, "path"], "left")
+    better = Window.partitionBy(by, F.length(F.regexp_extract(path, "^(.*)/[^/]*$", 1))).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    near = (C("score") > 0) & (C("score") >= REDUNDANT_RATIO * F.min(F.when(C("score") > 0, C("score"))).over(better))
+    reason = F.when(C("_met"), "test").when(is_fixture_path(path), "fixture").when(is_config_path(path), "config").when(near, "redundant")
+    flagged = marked.withColumn("reason", reason).withColumn("_most", F.ceil(F.count("*").over(Window.partitionBy(by)) * MOST_REMOVED))
     upto = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     n = F.sum(C("reason").isNotNull().cast("int")).over(upto)
-    return flagged.withColumn("removed", C("reason").isNotNull() & (n <= C("_most"))).drop("_most")
+    return flagged.withColumn("removed", C("reason").isNotNull() & (n <= C("_most"))).drop("_most", "_met")
 
 
 def ir_metrics(results: DataFrame, qrels: DataFrame, k: int) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 C = F.col
-EDIT_TOOLS = ("edit_file", "write_file", "apply_patch")
+#: Tools that change a file.
+EDIT_TOOLS = ("edit_file", "write_file")
 #: Tool pairs that belong together and reset the loop detector.
 EXPECTED_PAIRS = (("write_file", "read_file"), ("edit_file", "bash"), ("edit_file", "read_file"), ("bash", "read_file"), ("grep", "read_file"))
 

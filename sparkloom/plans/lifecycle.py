@@ -15,19 +15,21 @@ C = F.col
 
 
 @register("memory_decay", """
-SELECT o_orderkey, CASE WHEN tier = 'Active' AND age >= 2 AND u < 0.6 AND hits < 3 THEN 'Cooling' WHEN tier = 'Cooling' AND age >= 24 AND u < 0.3 THEN 'Archived' ELSE tier END AS tier
-FROM (SELECT o_orderkey, ['Active', 'Cooling', 'Archived'][o_orderkey % 3 + 1] AS tier, o_custkey % 60 AS age, o_totalprice / 500000 AS u, o_orderkey % 5 AS hits FROM orders)""")
+SELECT o_orderkey, CASE tier WHEN 'Active' THEN CASE WHEN u < 0.3 THEN 'Cooling' WHEN age >= 2 AND hits = 0 THEN 'Cooling' ELSE 'Active' END
+  WHEN 'Cooling' THEN CASE WHEN age >= 168 THEN 'Archived' WHEN u < 0.1 AND hits = 0 THEN 'Archived' ELSE 'Cooling' END ELSE 'Archived' END AS tier
+FROM (SELECT o_orderkey, ['Active', 'Cooling', 'Archived'][o_orderkey % 3 + 1] AS tier, o_custkey % 200 AS age, o_totalprice / 500000 AS u, o_orderkey % 5 AS hits FROM orders)""")
 def memory_decay(spark, sf_dir):
     tier = F.element_at(F.array(*map(F.lit, ("Active", "Cooling", "Archived"))), (C("o_orderkey") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", m.decay_tier(tier, C("o_custkey") % 60, C("o_totalprice") / 500000, C("o_orderkey") % 5).alias("tier"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", m.decay_tier(tier, C("o_custkey") % 200, C("o_totalprice") / 500000, C("o_orderkey") % 5).alias("tier"))
 
 
 @register("memory_lesson_gates", """
-SELECT c_custkey, CASE WHEN trim(c_mktsegment) = '' THEN 'empty' WHEN p >= 0.95 THEN 'too_certain' WHEN p < 0.6 THEN 'too_weak' WHEN c_nationkey < 2 THEN 'thin_evidence' WHEN n > 1 THEN 'duplicate' WHEN c_acctbal < 0 THEN 'contradiction' ELSE 'quarantine' END AS gate
+SELECT c_custkey, CASE WHEN p >= 0.95 THEN 'too_certain' WHEN p < 0.6 THEN 'too_weak' WHEN c_nationkey < 2 THEN 'thin_evidence' WHEN c_custkey % 11 = 0 THEN 'empty' WHEN n > 1 THEN 'duplicate' WHEN c_acctbal < 0 THEN 'contradiction' ELSE 'quarantine' END AS gate
 FROM (SELECT *, (c_custkey % 100) / 100 AS p, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey, c_custkey % 100) AS n FROM customer)""")
 def memory_lesson_gates(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("n", F.count("*").over(Window.partitionBy("c_mktsegment", "c_nationkey", C("c_custkey") % 100)))
-    return c.select("c_custkey", m.lesson_gate(C("c_custkey") % 100 / 100, C("c_nationkey"), C("c_mktsegment"), C("n") > 1, C("c_acctbal") < 0).alias("gate"))
+    lesson = F.when(C("c_custkey") % 11 == 0, "  ").otherwise(C("c_mktsegment"))
+    return c.select("c_custkey", m.lesson_gate(C("c_custkey") % 100 / 100, C("c_nationkey"), lesson, C("n") > 1, C("c_acctbal") < 0).alias("gate"))
 
 
 @register("memory_hypotheses", """
@@ -106,20 +108,34 @@ def budget_violations(spark, sf_dir):
     return g.select("user_id", m.budget_violation(C("s"), C("t"), C("i"), C("c"), (2500000, 900, 20, 40)).alias("violation"))
 
 
-@register("security_injection", "SELECT doc_id, 'phrase' AS risk FROM documents WHERE regexp_matches(lower(text), 'ignore (all )?previous instructions|disregard (all )?(prior|previous)|system prompt|you are now')")
+_ADDED = ("", "\u200b", "привет", "Ignore previous instructions", "You are now a pirate", "x; rm -rf /", "cat /etc/passwd", "<<SYS>>", "forget the above", "$(curl x)", "disregard prior notes")
+
+
+@register("security_injection", f"""
+WITH t AS (SELECT doc_id, text || ' ' || ['{"', '".join(_ADDED)}'][doc_id % {len(_ADDED)} + 1] AS t FROM documents),
+c AS (SELECT doc_id, t, lower(t) AS l, regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\u0400-\u04ff]') AS mixed FROM t)
+SELECT doc_id, CASE WHEN contains(t, '\u200b') OR contains(t, '\u200c') OR contains(t, '\u200d') OR contains(t, '\ufeff') THEN 'zero_width' WHEN mixed THEN 'mixed_script'
+  WHEN contains(l, 'ignore previous instructions') OR contains(l, 'ignore all previous') OR contains(l, 'disregard prior') OR contains(l, 'forget the above') THEN 'ignore_instructions'
+  WHEN contains(l, 'your new instructions are') OR contains(l, 'you are now a') OR contains(l, 'you are henceforth') THEN 'prompt_override'
+  WHEN contains(l, '; rm -rf') OR contains(l, '&& rm -rf') OR contains(l, '$(curl ') OR contains(l, '`curl ') THEN 'shell_escape'
+  WHEN contains(l, '$api_key') OR contains(l, '${{api_key}}') OR contains(l, 'cat /etc/passwd') OR contains(l, '.ssh/id_rsa') THEN 'credential_exfiltration'
+  WHEN contains(l, '<|im_start|>system') OR contains(l, '"role": "system"') OR contains(l, '<<sys>>') THEN 'role_spoof' END AS risk FROM c""")
 def security_injection(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", m.injection_risk(C("text")).alias("risk")).where("risk is not null")
+    more = F.element_at(F.array(*map(F.lit, _ADDED)), (C("doc_id") % len(_ADDED) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", m.injection_risk(F.concat("text", F.lit(" "), more)).alias("risk"))
 
 
-@register("security_pii", "SELECT source, count(*) FILTER (regexp_matches(lower(text), 'email|password|passwd|ssn|phone|credit_?card|secret|token|api_?key|address|birth|@[a-z]')) AS flagged, count(*) AS n FROM documents GROUP BY 1")
+@register("security_pii", "SELECT source, count(*) FILTER (len(list_filter(['email', 'password', 'passwd', 'secret', 'ssn', 'social_security', 'credit_card', 'creditcard', 'card_number', 'cardnumber', 'phone', 'address', 'date_of_birth', 'dateofbirth', 'dob', 'token', 'api_key', 'apikey'], lambda n: contains(lower(text), n))) > 0) AS flagged, count(*) AS n FROM documents GROUP BY 1")
 def security_pii(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(m.pii_flag(C("text"))).alias("flagged"), F.count("*").alias("n"))
 
 
-@register("wiki_links", """SELECT page_id, count(*) AS links, count(*) FILTER (NOT regexp_matches(substr(target, 2), '^[a-z0-9][a-z0-9_-]*$')) AS odd FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS target FROM pages) GROUP BY 1""")
+@register("wiki_links", r"""
+WITH t AS (SELECT page_id, regexp_replace(html, '<a href="/?([^"]*)"[^>]*>([^<]*)</a>', '[[\1|\2]]', 'g') AS t FROM pages), l AS (SELECT page_id, unnest(regexp_extract_all(t, '\[\[([^\[\]]+)\]\]', 1)) AS l FROM t)
+SELECT page_id, trim(string_split(l, '|')[1]) AS target, CASE WHEN contains(l, '|') THEN trim(substr(l, instr(l, '|') + 1)) END AS label FROM l""")
 def wiki_links(spark, sf_dir):
-    found = m.links(table(spark, sf_dir, "pages"))
-    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(~tx.valid_slug(F.substring("target", F.lit(2), F.length("target")))).alias("odd"))
+    text = F.regexp_replace("html", r'<a href="/?([^"]*)"[^>]*>([^<]*)</a>', "[[$1|$2]]")
+    return m.wiki_links(table(spark, sf_dir, "pages").select("page_id", text.alias("text")))
 
 
 @register("wiki_broken_links", """
@@ -142,14 +158,48 @@ def grep_lines(spark, sf_dir):
     return m.grep(table(spark, sf_dir, "documents"), "[Ll]icen[sc]e|station")
 
 
-@register("slugs", "SELECT page_id, trim(replace(regexp_replace(lower(url), '[^a-z0-9]', '-', 'g'), '--', '-'), '-') AS slug FROM pages")
+@register("slugs", r"SELECT page_id, trim(replace(regexp_replace(lower(url), '[^\p{L}\p{N}-]', '-', 'g'), '--', '-'), '-') AS slug FROM pages")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.slugify(C("url")).alias("slug"))
 
 
-@register("query_classes", "SELECT item_id, CASE WHEN regexp_matches(lower(text), 'endpoint|route|http|rest|api') THEN 'api' WHEN regexp_matches(lower(text), 'architecture|design|structure|overview') THEN 'architecture' WHEN regexp_matches(lower(text), 'error|fail|bug|crash|panic') THEN 'debug' WHEN regexp_matches(lower(text), 'how to|example|usage') THEN 'how_to' WHEN regexp_matches(lower(text), 'function|struct|class|method') THEN 'symbol' ELSE 'general' END AS class FROM benchmark")
+@register("query_classes", """
+SELECT item_id, CASE WHEN len(list_filter(['fn ', 'struct ', 'trait ', 'impl ', 'function', 'method', 'verify', 'parse', 'token', 'handler', 'client', 'config', 'registry', 'search', 'index', 'cache', 'embed'], lambda x: contains(q, x))) > 0 THEN 'api_lookup'
+  WHEN len(list_filter(['flow', 'call chain', 'how does', 'lifecycle', 'pipeline', 'request path', 'execution', 'calls', 'invokes'], lambda x: contains(q, x))) > 0 THEN 'call_flow'
+  WHEN len(list_filter(['architecture', 'bounded context', 'layer', 'structure', 'organized', 'design', 'system diagram', 'dependency direction'], lambda x: contains(q, x))) > 0 THEN 'architecture'
+  WHEN len(list_filter(['what is', 'what are', 'what modules', 'which modules', 'which crates', 'what components', 'role of', 'purpose of', 'concept'], lambda x: contains(q, x))) > 0 THEN 'concept'
+  WHEN len(list_filter(['get started', 'getting started', 'how to build', 'how to run', 'where to start', 'entry point', 'overview', 'tech stack'], lambda x: contains(q, x))) > 0 THEN 'onboarding' ELSE 'unknown' END AS class
+FROM (SELECT item_id, lower(text || [' ', ' What IS it', ' the flow', ' an overview', ' Layer', ' of a cache'][item_id % 6 + 1]) AS q FROM benchmark)""")
 def query_classes(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", tx.query_class(C("text")).alias("class"))
+    more = F.element_at(F.array(*map(F.lit, (" ", " What IS it", " the flow", " an overview", " Layer", " of a cache"))), (C("item_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.query_class(F.concat("text", more)).alias("class"))
+
+
+_WIKI = """WITH w AS (SELECT doc_id, n_chars / 100 AS best, doc_id % 17 AS second, doc_id % 2 = 0 AS title, ['Deterministic', 'Enriched', 'PromotedCache', 'RawCache', 'EpisodicCache'][doc_id % 5 + 1] AS tier, [1.0, 0.95, 0.75, 0.5, 0.4][doc_id % 5 + 1] AS weight, doc_id % 7 = 0 AS stale,
+  ['api_lookup', 'onboarding', 'architecture', 'concept', 'call_flow', 'unknown'][doc_id % 6 + 1] AS class, [5, 7, 9, 9, 10, 12][doc_id % 6 + 1] AS least FROM documents),
+c AS (SELECT *, greatest(0, 0.5 * best + 0.3 * (best - second) + CASE WHEN title THEN 0.015 ELSE 0 END + 0.1 * weight - CASE WHEN stale THEN 0.3 ELSE 0 END) AS sure FROM w)
+"""
+
+
+@register("wiki_direct_return", _WIKI + """
+SELECT doc_id, round(greatest(0, best * weight + CASE WHEN title THEN 0.15 ELSE 0 END - CASE WHEN stale THEN 0.3 ELSE 0 END), 6) AS score, round(sure, 6) AS sure, CASE WHEN best < 12 THEN 'below_floor' WHEN sure >= least THEN 'passed' ELSE 'below_class_threshold' END AS gate FROM c""")
+def wiki_direct_return(spark, sf_dir):
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (C("doc_id") % len(names) + 1).cast("int"))
+    best, title, stale = C("n_chars") / 100, C("doc_id") % 2 == 0, C("doc_id") % 7 == 0
+    tier, kind = pick("Deterministic", "Enriched", "PromotedCache", "RawCache", "EpisodicCache"), pick("api_lookup", "onboarding", "architecture", "concept", "call_flow", "unknown")
+    sure = m.wiki_confidence(best, C("doc_id") % 17, title, tier, stale)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(m.wiki_score(best, tier, title, stale), 6).alias("score"), F.round(sure, 6).alias("sure"), m.wiki_gate(best, sure, kind).alias("gate"))
+
+
+@register("wiki_write_suppression", """
+WITH w AS (SELECT doc_id, (doc_id % 10) / 10 AS sure, list_distinct(string_split(lang || ' a b ' || source, ' ')) AS t, list_distinct(['a', source, 'x' || doc_id % 3]) AS n, CASE WHEN doc_id % 4 = 0 THEN [] ELSE ['s' || doc_id % 2, 'p'] END AS s, ['s1', 'p'] AS k FROM documents),
+v AS (SELECT doc_id, sure, len(list_intersect(t, n)) / len(list_distinct(list_concat(t, n))) AS a, CASE WHEN len(s) = 0 THEN 0 ELSE len(list_intersect(s, k)) / len(list_distinct(list_concat(s, k))) END AS b FROM w)
+SELECT doc_id, (sure >= 0.7)::INT + (a >= 0.3)::INT + (b >= 0.5)::INT >= 2 AS suppress FROM v""")
+def wiki_write_suppression(spark, sf_dir):
+    i = C("doc_id")
+    tokens, new = F.array_distinct(F.split(F.concat("lang", F.lit(" a b "), "source"), " ")), F.array_distinct(F.array(F.lit("a"), C("source"), F.concat(F.lit("x"), i % 3)))
+    sources = F.when(i % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("s"), i % 2), F.lit("p")))
+    return table(spark, sf_dir, "documents").select("doc_id", m.suppress_write(i % 10 / 10, tokens, new, sources, F.array(F.lit("s1"), F.lit("p"))).alias("suppress"))
 
 
 @register("lesson_forms", r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS lesson FROM benchmark")

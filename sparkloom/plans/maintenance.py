@@ -48,27 +48,39 @@ def test_coverage(spark, sf_dir):
     return mt.coverage(symbols, tested).withColumn("percent", F.round("percent", 6))
 
 
-@register("page_lint", """
-SELECT slug, unnest(list_filter([CASE WHEN NOT regexp_matches(slug, '^[a-z0-9][a-z0-9_-]*$') THEN 'bad_slug' END, CASE WHEN page_id % 3 = 0 THEN 'orphan' END, CASE WHEN page_id % 40 >= 30 AND page_id % 7 = 0 THEN 'never_hit' END, CASE WHEN length(html) > 2000 THEN 'slow' END], lambda x: x IS NOT NULL)) AS "check" FROM (SELECT *, regexp_extract(url, '([^/]*)$', 1) AS slug FROM pages)""")
-def page_lint(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    pages = p.select(F.regexp_extract("url", "([^/]*)$", 1).alias("slug"), F.lit("x").alias("body"), (C("page_id") % 3).alias("links_in"), (C("page_id") % 40).alias("age_days"), (C("page_id") % 7).alias("hits"), F.length("html").alias("latency_ms"))
-    return mt.lint(pages).select("slug", "check")
-
-
-@register("output_scrub", r"SELECT event_id, regexp_replace(regexp_replace('at ' || replace(strftime(ts, '%Y-%m-%d %H:%M:%S'), 'x', '') || ' took ' || (event_id % 90) || 'ms on :' || (8000 + event_id % 100), '\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?Z?|\b\d+(?:\.\d+)?(?:ms|s)\b', '<X>', 'g'), ':\d{4,5}\b', ':<PORT>', 'g') AS text FROM events")
+@register("memory_lint", """
+WITH s AS (SELECT count(*) * 10 AS sec, avg(value) * 40 AS p50, max(value) * 20 AS p95 FROM events)
+SELECT 'wiki.staleness' AS metric, 'warning' AS severity, NULL::VARCHAR AS subject FROM s WHERE sec > 7200 UNION ALL SELECT 'lesson.zero_hit', 'concern', o_orderkey::VARCHAR FROM orders WHERE o_custkey % 60 >= 30 AND o_orderkey % 7 = 0
+UNION ALL SELECT 'episode.orphan', 'info', c_custkey::VARCHAR FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'wiki.broken_link', 'warning', page_id::VARCHAR FROM pages WHERE page_id % 9 = 0
+UNION ALL SELECT 'retrieval.p50_latency', 'warning', NULL FROM s WHERE p50 > 500 UNION ALL SELECT 'retrieval.p95_latency', 'critical', NULL FROM s WHERE p95 > 2000""")
+def memory_lint(spark, sf_dir):
+    state = table(spark, sf_dir, "events").agg((F.count("*") * 10).alias("seconds_since_compile"), (F.avg("value") * 40).alias("p50_ms"), (F.max("value") * 20).alias("p95_ms"))
+    orders = table(spark, sf_dir, "orders")
+    lessons = orders.select(C("o_orderkey").alias("id"), (C("o_custkey") % 60 * 86400).alias("age_seconds"), (C("o_orderkey") % 7).alias("hits"))
+    orphans = table(spark, sf_dir, "customer").join(orders, C("c_custkey") == C("o_custkey"), "left_anti").select(C("c_custkey").alias("id"))
+    return mt.lint(state, lessons, orphans, table(spark, sf_dir, "pages").where("page_id % 9 = 0").select(C("page_id").alias("slug")))
+
+
+@register("empty_sections", "SELECT doc_id::VARCHAR AS slug, unnest(CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches(text, '[^ \\n]') THEN ['# ' || lang, '## end'] ELSE ['## end'] END) AS heading FROM documents")
+def empty_sections(spark, sf_dir):
+    plain = F.regexp_replace("text", "(?m)^#+ ", "")
+    body = F.concat(F.lit("# "), "lang", F.lit("\n\n"), F.when(C("doc_id") % 3 == 0, "  ").otherwise(plain), F.lit("\n## end\n"))
+    return mt.empty_sections(table(spark, sf_dir, "documents").select(C("doc_id").cast("string").alias("slug"), body.alias("body")))
+
+
+@register("output_scrub", "SELECT event_id, 'at <TS> or <TS> in /tmp/<TEMP>/f pid=<PID> of <ADDR> <UUID> commit <HASH> took ' || (event_id % 90) || 'ms' AS text FROM events")
 def output_scrub(spark, sf_dir):
-    line = F.concat(F.lit("at "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" took "), C("event_id") % 90, F.lit("ms on :"), C("event_id") % 100 + 8000)
-    e = table(spark, sf_dir, "events").select("event_id", mt.scrub(line).alias("text"))
-    return e.withColumn("text", F.regexp_replace("text", "<TIME>|<DUR>", "<X>"))
+    i = C("event_id")
+    hexed = F.lower(F.lpad(F.hex(i), 12, "0"))
+    parts = ["\x1b[31mat\x1b[0m ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), " or ", i + 1700000000, " in /tmp/run-", i, ".d/f PID = ", i, " of 0x", hexed, " 12345678-abcd-ABCD-1234-", hexed, " commit ", hexed, " took ", i % 90, "ms"]
+    line = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return table(spark, sf_dir, "events").select("event_id", mt.scrub(line).alias("text"))
 
 
 @register("call_flow", """
-WITH c AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 7 + r_regionkey * 3 + 1) % 25 AS dst FROM nation, region WHERE (n_nationkey + r_regionkey) % 3 = 0), l0 AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS level FROM nation),
-l1 AS (SELECT DISTINCT root, dst AS node, 1 AS level FROM l0 JOIN c ON node = src WHERE (root, dst) NOT IN (SELECT (root, node) FROM l0)), s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),
-l2 AS (SELECT DISTINCT root, dst AS node, 2 AS level FROM l1 JOIN c ON node = src WHERE (root, dst) NOT IN (SELECT (root, node) FROM s1)), s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM l2),
-l3 AS (SELECT DISTINCT root, dst AS node, 3 AS level FROM l2 JOIN c ON node = src WHERE (root, dst) NOT IN (SELECT (root, node) FROM s2)), s3 AS (SELECT * FROM s2 UNION ALL SELECT * FROM l3)
-SELECT root, step::INTEGER AS step, node FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level, node) AS step FROM s3) WHERE step <= 20""")
+WITH RECURSIVE c AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 7 + r_regionkey * 3 + 1) % 25 AS dst FROM nation, region WHERE (n_nationkey + r_regionkey) % 3 = 0),
+w AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS level FROM nation UNION SELECT root, dst, level + 1 FROM w JOIN c ON node = src WHERE level < 19), s AS (SELECT root, node, min(level) AS level FROM w GROUP BY 1, 2)
+SELECT root, step::INTEGER AS step, node FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level, node) AS step FROM s) WHERE step <= 20""")
 def call_flow(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("r"))
     calls = n.where((C("n_nationkey") + C("r")) % 3 == 0).select(C("n_nationkey").alias("src"), ((C("n_nationkey") * 7 + C("r") * 3 + 1) % 25).alias("dst")).distinct()

@@ -65,8 +65,12 @@ SELECT query_id, round(coalesce(hits, 0) / relevant, 6) AS recall, round(coalesc
   round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(relevant, 10) + 1) r(i)), 6) AS ndcg, round(coalesce(ap, 0) / relevant, 6) AS ap FROM sz LEFT JOIN g USING (query_id)""")
 def retrieval_metrics(spark, sf_dir):
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    # The benchmark is the fixed query set; every document is looked at once.
-    qrels = docs.alias("d").join((items.select("item_id", C("text").alias("head"))), F.contains(C("d.text"), C("head"))).select(C("item_id").alias("query_id"), "doc_id")
+    # A text that holds an item holds its longest inner word as a word: those that do are looked at whole.
+    inner = F.array_sort(F.slice(F.split("text", " "), F.lit(2), F.size(F.split("text", " ")) - 2), lambda a, b: F.length(b) - F.length(a))
+    keyed = items.where(F.size(F.split("text", " ")) >= 3).select("item_id", C("text").alias("_item"), inner[0].alias("_word"))
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
+    near = words.select("doc_id", "_word").join(keyed.select("_word").distinct(), "_word").join(keyed, "_word").select("doc_id", "item_id", "_item")
+    qrels = docs.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "_item")).select(C("item_id").alias("query_id"), "doc_id")
     results = ranking.top_k(_bench_scores(spark, sf_dir), 10).withColumn("rank", C("rank") + 1)
     m = ranking.ir_metrics(results, qrels, 10)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
@@ -77,9 +81,9 @@ def token_statistics(spark, sf_dir):
     return bm25.postings(table(spark, sf_dir, "documents")).groupBy("doc_id", "dl").agg(F.count("*").alias("terms"), F.max("tf").alias("most"))
 
 
-@register("document_frequency", _DOCS + " SELECT term, df FROM df WHERE df > 20")
+@register("document_frequency", _DOCS + " SELECT term, df FROM df")
 def document_frequency(spark, sf_dir):
-    return bm25.postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df")).where("df > 20")
+    return bm25.postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @register("tfidf_top_terms", _DOCS + """
@@ -96,20 +100,10 @@ def keyword_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.keywords(C("text"))).alias("keywords"))
 
 
-@register("code_tokens", r"""
-WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS w FROM documents),
-t AS (SELECT doc_id, lower(w) AS term FROM w WHERE strlen(lower(w)) >= 3 AND lower(w) NOT IN ('the', 'and', 'for'))
-SELECT term, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 5""")
-def code_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.explode(tx.words(C("text"))).alias("w"))
-    t = docs.select(F.lower("w").alias("term")).where((F.octet_length("term") >= 3) & ~C("term").isin("the", "and", "for"))
-    return t.groupBy("term").agg(F.count("*").alias("n")).where("n >= 5")
-
-
 _STOPS = ", ".join(f"'{w}'" for w in tx.CODE_STOP_WORDS)
 
 
-@register("code_tokens_all", rf"""
+@register("code_tokens", rf"""
 WITH w AS (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+')) AS w FROM documents),
 p AS (SELECT lower(unnest(string_split(regexp_replace(regexp_replace(w, '(\P{{Lu}})(\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS p FROM w WHERE w <> ''),
 s AS (SELECT CASE WHEN strlen(p) <= 4 THEN p WHEN p LIKE '%ing' AND strlen(p) > 5 THEN left(p, length(p) - 3) WHEN p LIKE '%tion' AND strlen(p) > 6 THEN left(p, length(p) - 3)
@@ -117,50 +111,39 @@ s AS (SELECT CASE WHEN strlen(p) <= 4 THEN p WHEN p LIKE '%ing' AND strlen(p) >
     WHEN p LIKE '%er' THEN left(p, length(p) - 2) WHEN p LIKE '%ed' THEN left(p, length(p) - 2) ELSE p END AS term FROM p WHERE strlen(p) >= 2 AND p NOT IN ({_STOPS})),
 t AS (SELECT lower(w) AS term FROM w WHERE strlen(lower(w)) >= 3 AND lower(w) NOT IN ({_STOPS}) UNION ALL SELECT term FROM s WHERE term NOT IN ({_STOPS}))
 SELECT term, count(*) AS n FROM t GROUP BY 1""")
-def code_tokens_all(spark, sf_dir):
-    """Every term of the code tokenizer; ``code_tokens`` keeps to the whole words of its SQL."""
+def code_tokens(spark, sf_dir):
+    """Every term of the code tokenizer."""
     docs = table(spark, sf_dir, "documents")
     terms = docs.select(F.explode(tx.tokenize_code(C("text"), list(tx.CODE_STOP_WORDS))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("n"))
 
 
-_RANKERS = """
-WITH d AS (SELECT source AS query_id, doc_id, n_chars, length(text) AS l FROM documents WHERE source <> 'src3'),
-a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM d), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 97 DESC, doc_id) - 1 AS rank FROM d),
-c AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY l % 1000 DESC, doc_id) - 1 AS rank FROM d)"""
-
-
 def _rankers(docs):
     d = docs.select(C("source").alias("query_id"), "doc_id", "n_chars", F.length("text").alias("l"))
     return [ranking.ranked(d.withColumn("score", s.cast("double"))) for s in (C("n_chars"), C("doc_id") % 97, C("l") % 1000)]
 
 
-@register("fusion_rrf", _RANKERS + " SELECT query_id, doc_id, round(sum(1.0 / (20 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1, 2")
-def fusion_rrf(spark, sf_dir):
-    return ranking.rrf(_rankers(table(spark, sf_dir, "documents").where("source <> 'src3'"))).withColumn("score", F.round("score", 9))
-
-
-@register("fusion_rrf_all", """
+@register("fusion_rrf", """
 WITH d AS (SELECT source AS query_id, doc_id, n_chars, length(text) AS l FROM documents),
 r AS (SELECT query_id, doc_id, unnest([row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC NULLS LAST, doc_id), row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 97 DESC NULLS LAST, doc_id),
   row_number() OVER (PARTITION BY query_id ORDER BY l % 1000 DESC NULLS LAST, doc_id)]) - 1 AS rank FROM d)
 SELECT query_id, doc_id, round(sum(1.0 / (20 + rank)), 9) AS score FROM r GROUP BY 1, 2""")
-def fusion_rrf_all(spark, sf_dir):
-    """Every source and the documents without one; ``fusion_rrf`` leaves out what its SQL leaves out."""
+def fusion_rrf(spark, sf_dir):
+    """Every source, and the documents without one."""
     return ranking.rrf(_rankers(table(spark, sf_dir, "documents"))).withColumn("score", F.round("score", 9))
 
 
 @register("fusion_hybrid", """
-WITH p0 AS (SELECT source AS query_id, doc_id, n_chars::DOUBLE AS s FROM documents WHERE n_chars > 1000), o0 AS (SELECT source AS query_id, doc_id, (doc_id % 97)::DOUBLE AS s FROM documents WHERE lang <> 'de'),
-p AS (SELECT query_id, doc_id, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1 END AS p FROM p0 WINDOW w AS (PARTITION BY query_id)),
-o AS (SELECT query_id, doc_id, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1 END AS o FROM o0 WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, doc_id, p, o, min(p) OVER (PARTITION BY query_id) AS w FROM p FULL JOIN o USING (query_id, doc_id))
-SELECT query_id, doc_id, round(CASE WHEN p IS NOT NULL THEN greatest(p, coalesce(o, 0)) ELSE coalesce(w, 0) * 0.5 END, 9) AS score FROM f""")
+WITH d AS (SELECT coalesce(source, '') AS query_id, doc_id, n_chars AS a, doc_id % 97 AS b FROM documents),
+n AS (SELECT query_id, doc_id, CASE WHEN max(a) OVER w > min(a) OVER w THEN (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) ELSE 1 END AS p, CASE WHEN max(b) OVER w > min(b) OVER w THEN (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) ELSE 1 END AS o FROM d WINDOW w AS (PARTITION BY query_id)),
+k AS (SELECT query_id, least(0.3, min(p) FILTER (p > 0.01)) AS k FROM n GROUP BY 1)
+SELECT query_id, doc_id, round(CASE WHEN p > 0 THEN greatest(p, o) ELSE o * k * 0.5 END * CASE WHEN doc_id % 10 = 0 THEN 0.1 ELSE 1 END, 9) AS score FROM n JOIN k USING (query_id)""")
 def fusion_hybrid(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(C("source").alias("query_id"), "doc_id", "n_chars", "lang")
-    p = d.where("n_chars > 1000").select("query_id", "doc_id", C("n_chars").cast("double").alias("score"))
-    o = d.where("lang <> 'de'").select("query_id", "doc_id", (C("doc_id") % 97).cast("double").alias("score"))
-    return ranking.hybrid(p, o).withColumn("score", F.round("score", 9))
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("query_id"), "doc_id", "n_chars")
+    p = d.select("query_id", "doc_id", C("n_chars").cast("double").alias("score"))
+    o = d.select("query_id", "doc_id", (C("doc_id") % 97).cast("double").alias("score"))
+    path = F.concat(F.when(C("doc_id") % 10 == 0, "Tests/").otherwise("src/"), "doc_id")
+    return ranking.hybrid(p, o, path).withColumn("score", F.round("score", 9))
 
 
 @register("normalise_min_max", """
@@ -187,14 +170,20 @@ def dense_cosine(spark, sf_dir):
     return ranking.top_k(_dense(spark, sf_dir), 10)
 
 
-@register("vector_levels", """
+_DIMS = 64
+_SOURCE, _SIGN = ranking.rotation(_DIMS)
+
+
+@register("vector_levels", f"""
 WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM u),
-x AS (SELECT vec_id, unnest(e) / n AS x, unnest(range(0, len(e))) AS i FROM n), f AS (SELECT vec_id, CASE WHEN i % 2 = 1 THEN -x ELSE x END AS x FROM x)
-SELECT vec_id, count(*) FILTER (x < -0.9816) AS l0, count(*) FILTER (x >= -0.9816 AND x < 0) AS l1, count(*) FILTER (x >= 0 AND x < 0.9816) AS l2, count(*) FILTER (x >= 0.9816) AS l3 FROM f GROUP BY 1""")
+r AS (SELECT vec_id, n, unnest({_SOURCE}) AS s, unnest({_SIGN}) AS g, unnest(range(0, {_DIMS})) AS i, e FROM n), x AS (SELECT vec_id, n, i, e[s + 1] / n * g AS x FROM r),
+l AS (SELECT *, CASE WHEN x < -0.9816 THEN 0 WHEN x < 0 THEN 1 WHEN x < 0.9816 THEN 2 ELSE 3 END AS l FROM x)
+SELECT vec_id, round(any_value(n), 6) AS norm, sum(l * 4 ** (i % 4) * (i // 4 + 1))::BIGINT AS checksum, round(sum(x * [-1.51, -0.4528, 0.4528, 1.51][l + 1]) * any_value(n) ** 2, 6) AS product FROM l GROUP BY 1""")
 def vector_levels(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", ranking.quantise(C("embedding")).alias("c"))
-    count = lambda k: F.size(F.filter("c", lambda x: x == k)).cast("long").alias(f"l{k}")
-    return v.select("vec_id", *[count(k) for k in range(4)])
+    e = C("embedding")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", ranking.quantise(e, _DIMS).alias("c"))
+    checksum = F.aggregate(F.transform(C("c.data"), lambda b, k: b.cast("long") * (k + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return v.select("vec_id", F.round("c.norm", 6).alias("norm"), checksum.alias("checksum"), F.round(ranking.quantised_product(e, C("c"), _DIMS), 6).alias("product"))
 
 
 _ITEMS = "WITH i AS (SELECT source AS query_id, doc_id, n_chars AS tokens, (row_number() OVER (PARTITION BY source ORDER BY n_chars % 1000 DESC, doc_id) - 1)::INTEGER AS rank FROM documents)"
@@ -219,12 +208,15 @@ def pack_skip(spark, sf_dir):
 
 
 @register("harm_filter", r"""
-WITH c AS (SELECT source AS query_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS rank, 'src/' || ['tests/', 'core/', 'mocks/', ''][doc_id % 4 + 1] || doc_id || ['.rs', '.toml', '_test.go'][doc_id % 3 + 1] AS path FROM documents),
-f AS (SELECT *, CASE WHEN regexp_matches(path, '/tests?/|_test\.|\.test\.|\.spec\.|^tests?/|test_') THEN 'test' WHEN regexp_matches(path, 'fixture|mock|snapshot|testdata|__snapshots__|stub') THEN 'fixture' WHEN regexp_matches(path, '\.toml$') THEN 'config' END AS reason, ceil(count(*) OVER (PARTITION BY query_id) * 0.4) AS most FROM c)
+WITH c AS (SELECT query_id, doc_id, rank, s, 'src/' || ['tests/', 'core/', 'mocks/', 'app/'][doc_id % 4 + 1] || 'm' || doc_id % 40 || ['.rs', '_test.go', '.rs', '.spec.ts', '.yml'][doc_id % 5 + 1] AS path FROM (SELECT coalesce(source, '') AS query_id, doc_id, (n_chars % 1000) / 1000 AS s, row_number() OVER (PARTITION BY source ORDER BY n_chars % 1000 DESC, doc_id) - 1 AS rank FROM documents) WHERE rank < 80),
+k AS (SELECT *, regexp_matches(path, '/test|_test\.|\.spec\.') AS t, contains(path, '/mock') AS x, path LIKE '%.yml' AS y, regexp_extract(path, 'm[0-9]+[^/]*$') AS name, length(regexp_extract(path, '^(.*)/', 1)) AS folder FROM c),
+d AS (SELECT query_id, regexp_replace(name, '\.[^.]*$', '') AS stem FROM k WHERE NOT t AND NOT x AND NOT y),
+f AS (SELECT k.*, CASE WHEN t AND EXISTS (SELECT 1 FROM d WHERE d.query_id = k.query_id AND contains(d.stem, regexp_replace(regexp_replace(name, '\.[^.]*$', ''), '(_test)+$|(\.spec)+$', ''))) THEN 'test' WHEN x THEN 'fixture' WHEN y THEN 'config'
+  WHEN s > 0 AND EXISTS (SELECT 1 FROM k b WHERE b.query_id = k.query_id AND b.folder = k.folder AND b.rank < k.rank AND b.s > 0 AND k.s / b.s >= 0.95) THEN 'redundant' END AS reason, ceil(count(*) OVER (PARTITION BY query_id) * 0.4) AS most FROM k)
 SELECT query_id, rank, path, reason, reason IS NOT NULL AND sum((reason IS NOT NULL)::INT) OVER (PARTITION BY query_id ORDER BY rank) <= most AS removed FROM f""")
 def harm_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(C("source").alias("query_id"), "doc_id")
+    """The 80 best candidates of each query, as many as a ranking hands on."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("query_id"), "doc_id", (C("n_chars") % 1000 / 1000).alias("score"))
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (C("doc_id") % len(names) + 1).cast("int"))
-    path = F.concat(F.lit("src/"), pick(["tests/", "core/", "mocks/", ""]), C("doc_id"), pick([".rs", ".toml", "_test.go"]))
-    c = d.select("query_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1).alias("rank"), path.alias("path"))
-    return ranking.harm_filter(c)
+    path = F.concat(F.lit("src/"), pick(["tests/", "core/", "mocks/", "app/"]), F.lit("m"), C("doc_id") % 40, pick([".rs", "_test.go", ".rs", ".spec.ts", ".yml"]))
+    return ranking.harm_filter(ranking.top_k(d, 80).withColumn("path", path)).select("query_id", "rank", "path", "reason", "removed")
\ No newline at end of file

@@ -137,11 +137,13 @@ def history_loss(spark, sf_dir):
 
 
 _STATES = """, s2 AS (SELECT run_id, CASE WHEN event_type = 'Error' AND k % 5 = 0 THEN 'RunStateChanged' WHEN event_type = 'Error' AND k % 17 = 1 THEN 'BudgetExceeded' ELSE event_type END AS event_type,
-  CASE WHEN event_type = 'Error' AND k % 5 = 0 THEN 'now Converged' ELSE payload_summary END AS payload_summary, tool_name, outcome, timestamp, sequence FROM steps WHERE tool_name IS NULL OR tool_name <> 'edit_file' OR run_id % 3 = 0)"""
+  CASE WHEN event_type = 'Error' AND k % 5 = 0 THEN 'now Converged' ELSE payload_summary END AS payload_summary, CASE WHEN tool_name = 'edit_file' AND run_id % 3 <> 0 THEN 'apply_patch' ELSE tool_name END AS tool_name, outcome, timestamp, sequence FROM steps)"""
 
 
 def _states(spark, sf_dir):
-    s = steps(spark, sf_dir).where(C("tool_name").isNull() | (C("tool_name") != "edit_file") | (C("run_id") % 3 == 0))
+    # A patch is no edit to the sensors, so these runs have none.
+    patched = F.when((C("tool_name") == "edit_file") & (C("run_id") % 3 != 0), "apply_patch").otherwise(C("tool_name"))
+    s = steps(spark, sf_dir).withColumn("tool_name", patched)
     error = C("event_type") == "Error"
     done = error & (C("k") % 5 == 0)
     kind = F.when(done, "RunStateChanged").when(error & (C("k") % 17 == 1), "BudgetExceeded").otherwise(C("event_type"))

@@ -84,6 +84,16 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return back
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its scan has fewer tasks than those, as heavy work per row needs it.
+
+    What moves is one scan split for each core at most, so a large table never does.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(2 * cores) if tasks < cores else df
+
+
 def release(df: DataFrame) -> None:
     """Removes the files of a table from :func:`materialize` that no plan reads any more."""
     at = _HELD.pop(id(df), None)

@@ -17,21 +17,24 @@ def one(spark, column):
 
 def test_tokenizers(spark):
     assert one(spark, tx.tokenize(F.lit("verifyJwtToken HTMLParser communities"))) == ["verifyjwttoken", "htmlparser", "communities", "verify", "jwt", "token", "html", "parser", "community"]
-    got = one(spark, tx.tokenize_code(F.lit("pub fn verify_token(token: &str) -> Result<Claims>"), ["pub", "fn", "str", "result"]))
-    assert {"verify", "token", "claims"} <= set(got) and not {"pub", "fn", "str", "result"} & set(got)
+    got = one(spark, tx.tokenize_code(F.lit("fn open_harbour(gate: &str) -> Option<Tide>"), ["fn", "str", "option"]))
+    assert {"open", "harbour", "gate", "tide"} <= set(got) and not {"fn", "str", "option"} & set(got)
     stems = {"processing": "process", "authentication": "authenticat", "management": "manage", "searchable": "search", "parser": "pars", "resolved": "resolv", "get": "get", "id": "id"}
     for w, s in stems.items():
         assert one(spark, tx.code_stem(F.lit(w))) == s
-    assert one(spark, tx.keywords(F.lit("Fix the login BUG! (auth.rs)"))) == ["fix", "the", "login", "bug", "auth", "rs"]
-    rows = spark.createDataFrame([(1, "parse_auth getHTTPResponse"), (2, None), (3, "")], "i long, t string")
+    assert one(spark, tx.keywords(F.lit("Move a Harbour LAMP? (pier.go)"))) == ["move", "harbour", "lamp", "pier", "go"]
+    rows = spark.createDataFrame([(1, "count_boats readXMLTide"), (2, None), (3, "")], "i long, t string")
     as_rows = sorted(r.term for r in tx.tokens(rows, "i", "t").collect())
-    assert as_rows == sorted(one(spark, tx.tokenize(F.lit("parse_auth getHTTPResponse"))))
+    assert as_rows == sorted(one(spark, tx.tokenize(F.lit("count_boats readXMLTide"))))
 
 
 def test_text_forms(spark):
     assert one(spark, tx.normalize_error(F.lit("src/a.rs:12:3 bad: x:9"))) == "src/a.rs bad: x:9"
     assert one(spark, tx.normalize_lesson(F.lit("Don't  PANIC!"))) == "dont panic"
-    assert one(spark, tx.slugify(F.lit("My Page/Two"))) == "my-page-two"
+    assert one(spark, tx.normalize_error(F.lit("a.rs:7: failed"))) == "a.rs failed" and one(spark, tx.normalize_error(F.lit(" a:12:b:c "))) == "ab:c"
+    assert one(spark, tx.slugify(F.lit("My Page/Two"))) == "my-page-two" and one(spark, tx.slugify(F.lit("Größe -- ok"))) == "größe--ok"
+    for q, want in {"where is the cache": "api_lookup", "How does it start": "call_flow", "LAYER rules": "architecture", "what is a tide": "concept", "an Overview": "onboarding", "hello": "unknown"}.items():
+        assert one(spark, tx.query_class(F.lit(q))) == want
 
 
 @pytest.mark.parametrize("ranked,expected,ndcg,ap", [("xa", "a", 0.6309, 0.5), ("xab", "ab", 0.6934, 0.5833), ("axb", "ab", 0.9197, 0.8333)])
