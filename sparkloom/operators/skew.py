@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key of more rows than this, and than one in so many of all rows, is hot; so there are fewer hot keys than the second number.
-HOT_ROWS, MOST_HOT = 1000, 100_000
+HOT_ROWS, MOST_HOT = 256, 100_000
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
