@@ -156,15 +156,17 @@ def write_archives(pages: DataFrame, least: int = 1000, level: int = 6) -> DataF
     firsts = base.where(large).groupBy("_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("n"))
     firsts = materialize(firsts.where("n > 1"), "warc-firsts")
     shared = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    looked = base.where(large).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    spread = firsts.where(F.col("n") <= max(1000, shared // 100_000)).select("_digest", "_first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
-    hot = firsts.where(F.col("n") > max(1000, shared // 100_000)).select("_digest", F.col("_first").alias("_hot"))
+    # A small page has a key of its own, so it meets nothing and gathers nowhere.
+    key = F.when(large, F.col("_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url")))
+    looked = base.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    bound = max(1000, shared // 100_000)
+    spread = firsts.where(F.col("n") <= bound).select(F.col("_digest").alias("_key"), "_first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    hot = firsts.where(F.col("n") > bound).select(F.col("_digest").alias("_key"), F.col("_first").alias("_hot"))
     # Under 100,000 rows, as their counts add up to all rows that share a payload.
-    looked = looked.join(spread, ["_digest", "_salt"], "left").join(F.broadcast(hot), "_digest", "left")
+    looked = looked.join(spread, ["_key", "_salt"], "left").join(F.broadcast(hot), "_key", "left")
     first = F.coalesce("_hot", "_first")
     older = first.isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != first))
-    marked = looked.select("page_id", "url", "html", first.alias("_first"), older.alias("is_revisit"))
-    joined = marked.union(base.where(~large).select("page_id", "url", "html", F.lit(None).cast("long"), F.lit(False)))
+    joined = looked.select("page_id", "url", "html", first.alias("_first"), older.alias("is_revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri, n, size, done = None, None, 0, 0, []
