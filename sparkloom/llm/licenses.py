@@ -126,8 +126,11 @@ def _templates(templates: dict[str, str], threshold: float) -> tuple[list[tuple]
 
 
 def _marked(rows: list[tuple], threshold: float):
-    marks = sorted({w for r in rows for w in keywords(r[1], threshold)})
-    return lambda c: reduce(or_, [F.contains(c, F.lit(w)) for w in marks])
+    words = {w for r in rows for w in keywords(r[1], threshold)}
+    # A word that holds another one adds nothing.
+    marks = sorted(w for w in words if not any(v != w and v in w for v in words))
+    # Bound once, or lower() would be computed again for each mark.
+    return lambda c: F.exists(F.array(c), lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in marks]))
 
 
 def windows(texts: DataFrame, templates: dict[str, str], lines_have: Callable[[Column], Column], threshold: float) -> DataFrame:
