@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sparkloom.runtime import ship
 
 #: Texts are worked on in runs of about this many characters.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_000_000
 #: Pieces whose ids are kept between runs; past it the store starts anew.
 KEPT_PIECES = 250_000
 
@@ -291,7 +291,8 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = TrieEncoder(path)
         for batch in batches:
-            yield pa.concat_arrays([id_lists(encoder.encode(run)) for run in runs(batch)] or [id_lists([])])
+            for run in runs(batch):
+                yield id_lists(encoder.encode(run))
 
     return ids(text)
 
@@ -327,10 +328,8 @@ def encode_and_decode(text: Column, path: str) -> Column:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, table = TrieEncoder(path), token_table(path)
         for batch in batches:
-            parts = []
-            for run in runs(batch):
+            for run in runs(batch):  # a run goes out before the next one is encoded
                 ids = id_lists(encoder.encode(run))
-                parts.append(pa.StructArray.from_arrays([ids, _texts(ids, table)], names=["ids", "decoded"]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
+                yield pa.StructArray.from_arrays([ids, _texts(ids, table)], names=["ids", "decoded"])
 
     return both(text)
