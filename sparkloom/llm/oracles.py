@@ -7,7 +7,7 @@ layout have none); tests/llm holds them against brute force.
 
 from __future__ import annotations
 
-from sparkloom.llm import cosine, fill_middle, licenses
+from sparkloom.llm import collocations, cosine, fill_middle, licenses
 
 OP1 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
@@ -38,4 +38,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FRO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard": OP1, "op3_bitslice": OP3, "op5_licenses": licenses.oracle_sql(), "op6_warc": OP6, "op11_cosine": cosine.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+    return {"op1_jaccard": OP1, "op3_bitslice": OP3, "op5_licenses": licenses.oracle_sql(), "op6_warc": OP6, "op11_cosine": cosine.ORACLE, "op12_collocations": collocations.ORACLE, "op13_fill_middle": fill_middle.ORACLE}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bitslice, bpe, cosine, fill_middle, html, jaccard, licenses, mixing, oracles, quality, token_files, urls, warc
+from sparkloom.llm import bitslice, bpe, collocations, cosine, fill_middle, html, jaccard, licenses, mixing, oracles, quality, token_files, urls, warc
 from sparkloom.runtime import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,13 +75,17 @@ def op11_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     formed = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = fill_middle.restore(F.col("form"), F.col("output"))
     return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
-_ALL = (op1_jaccard, op2_url_filter, op3_bitslice, op4_token_files, op5_licenses, op6_warc, op7_quality, op8_bpe, op9_mixing, op10_html, op11_cosine, op13_fill_middle)
+_ALL = (op1_jaccard, op2_url_filter, op3_bitslice, op4_token_files, op5_licenses, op6_warc, op7_quality, op8_bpe, op9_mixing, op10_html, op11_cosine, op12_collocations, op13_fill_middle)
 
 
 def queries() -> dict[str, Query]:
