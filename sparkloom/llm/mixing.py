@@ -16,8 +16,9 @@ ordered by range, never in one task, and rows meet it on source and a salt.
 Defined cases: a null or empty text counts 0 words, null is a source of its
 own, rows of 0 words are never taken, an empty table gives an empty mix, a text
 of any length is counted whole.  Rows that are equal in doc_id and text have
-equal keys, so repeated rows and ties are taken or left together; a null doc_id
-is a value like others.  Further columns pass through whatever their names;
+equal keys and count as copies: if a source ends among them, as many as it needs
+are taken, numbered by their places in storage.  A null doc_id is a value like
+others.  Further columns pass through whatever their names;
 those named like an added one give way.
 """
 
@@ -138,21 +139,52 @@ def source_cuts(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     plan = materialize(plan, "mix-plan")
 
     at_end = _by_source(keyed, plan, "end_bucket", "end_before", "rest").where(F.col("bucket") == F.col("_s.end_bucket"))
-    at_end = at_end.select("source", "size", "_key", "_tie", "_s.end_before", "_s.rest")
-    upto = Window.partitionBy("source").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("end_before") + F.sum("size").over(upto) - F.col("size") / 2
-    cut = at_end.withColumn("_in", middle <= F.col("rest")).where("_in").groupBy("source").agg(F.max(F.struct("_key", "_tie")).alias("cut"))
+    at_end = at_end.groupBy("source", "_key", "_tie", "size", "_s").agg(F.count("*").alias("copies"))
+    ahead = Window.partitionBy("source").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_s.rest") - F.col("_s.end_before") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(ahead), F.lit(0))
+    # A copy is taken if its middle lies before the end.
+    fit = F.when(F.col("size") == 0, F.when(left >= 0, F.col("copies")).otherwise(0)).otherwise(F.floor(left / F.col("size") + 0.5))
+    cut = at_end.withColumn("fit", F.least(fit, "copies")).where("fit > 0").groupBy("source").agg(F.max(F.struct("_key", "_tie", "fit", "copies")).alias("cut"))
     return materialize(plan.join(cut, _same(plan, cut), "left").select(plan["*"], "cut"), "mix-cuts")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with their number among those of a source, ``_no`` from 1.
+
+    Rows are stored with their places; a task numbers those of one part of the
+    storage, and the parts before add theirs.
+    """
+    placed = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), "mix-copies")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("source").alias("_of"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = placed.withColumn("_no", F.row_number().over(Window.partitionBy("source", "_part").orderBy("_at")))
+    joined = inside.join(parts, inside["source"].eqNullSafe(parts["_of"]) & (inside["_part"] == parts["_p"]))
+    return joined.withColumn("_no", F.col("_no") + F.col("_before")).drop("_at", "_part", "_of", "_p", "_before")
+
+
 def apply_cuts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``measured`` with source_size, target and taken; a decision on each row by itself."""
+    """``measured`` with source_size, target and taken; a decision on each row by itself.
+
+    Only copies among which a source ends are numbered first.
+    """
     joined = _by_source(measured, cuts, "source_size", "target", "epochs", "buckets", "end_bucket", "cut")
     s = F.col("_s")
-    bucket = _bucket(F.col("_key"), s["buckets"])
-    sampled = (bucket < s["end_bucket"]) | ((bucket == s["end_bucket"]) & F.coalesce(F.struct("_key", "_tie") <= s["cut"], F.lit(False)))
-    taken = F.col("size") * (s["epochs"] + sampled.cast("long"))
-    return joined.select(*[c for c in measured.columns if c not in ("_key", "_tie")], s["source_size"].alias("source_size"), s["target"].alias("target"), taken.alias("taken"))
+    bucket, at = _bucket(F.col("_key"), s["buckets"]), F.struct("_key", "_tie")
+    end = F.struct(s["cut"]["_key"].alias("_key"), s["cut"]["_tie"].alias("_tie"))
+    in_end = (bucket == s["end_bucket"]) & s["cut"].isNotNull()
+    among = F.coalesce(in_end & (at == end) & (s["cut"]["fit"] < s["cut"]["copies"]), F.lit(False))
+    sampled = (bucket < s["end_bucket"]) | F.coalesce(in_end & (at <= end), F.lit(False))
+
+    def decided(rows: DataFrame, sampled: Column) -> DataFrame:
+        taken = F.col("size") * (s["epochs"] + sampled.cast("long"))
+        return rows.select(*[c for c in measured.columns if c not in ("_key", "_tie")], s["source_size"].alias("source_size"), s["target"].alias("target"), taken.alias("taken"))
+
+    if not cuts.where("cut.fit < cut.copies").limit(1).count():
+        return decided(joined, sampled)
+    copies = _numbered(joined.where(among))
+    return decided(joined.where(~among), sampled).union(decided(copies, F.col("_no") <= s["cut"]["fit"]))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), ratio: float = 1.5, most: float = 2.0, seed: int = SEED, quality: Column | None = None) -> DataFrame:

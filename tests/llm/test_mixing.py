@@ -102,3 +102,21 @@ def test_any_names_and_many_sources(spark):
     for r in out:
         assert r.target == pytest.approx(want[r.source])
     assert mixing.repeat_taken(mixed).columns == ["doc_id", "text", "source", *left]
+
+
+def test_a_source_may_end_among_copies(spark):
+    rows = [(1, "ten words are in this text and then no more", "hot", 0)] * 800 + [(i, "five words are in it", "hot", 0) for i in range(2, 402)]
+    rows += [(None, "a b c d", None, k) for k in range(300)] + [(5000 + i, "a b", "rest", 0) for i in range(90)]
+    out = mixing.mix(docs(spark, rows).repartition(7), weights=(3.0, 1.0, 1.0), ratio=0.8).collect()
+    assert len(out) == len(rows)
+    sizes = {"hot": 10000, None: 1200, "rest": 180}
+    for source, size in sizes.items():
+        mine = [r for r in out if r.source == source]
+        most = max(r.size for r in mine)
+        assert {r.source_size for r in mine} == {size} and {r.taken % r.size for r in mine} == {0}
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= most / 2 + 1e-6
+        assert max(r.taken / r.size for r in mine) <= 2
+    again = mixing.mix(docs(spark, rows).repartition(3), weights=(3.0, 1.0, 1.0), ratio=0.8).select("doc_id", "size", "taken").collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(((r.doc_id, r.size, r.taken) for r in out), key=repr)
+    alone = mixing.mix(docs(spark, [(1, "ten words are in this text and then no more", "s", 0)] * 1000), ratio=0.37).collect()
+    assert sum(r.taken for r in alone) == 3700
