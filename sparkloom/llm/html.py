@@ -8,6 +8,14 @@ margins, list items get bullets or numbers and indents, and the cells of a
 table are padded to columns; a cell that spans rows keeps its columns blank in
 the rows below.  Both passes use explicit stacks, so any nesting works.
 
+Padding and indents are bounded, text never is: a page has ``PAD`` blanks for
+each of its characters and ``PAD_LEAST`` more.  A table that would take more
+than is left has its columns cut to a half, a quarter and so on, which longer
+cells then overrun, and at last no padding; lists and quotes lose the indent.
+Beyond ``MOST_FLOWS`` nested items, cells and quotes, a further one is a plain
+block, and beyond ``MOST_ALIVE`` cells of a table that reach into a row, a
+further one ends with its row.
+
 Defined cases: null and empty html give the empty text; broken markup never
 fails; an unclosed element ends with the page; a page of any length is rendered
 whole; each row of a repeated page is rendered, so ties need no order; an empty
@@ -59,6 +67,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WANTED = re.compile(r"hidden|style|type|start|colspan|rowspan|open", re.I)
 #: Limits of the HTML standard for the spans of cells.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+PAD, PAD_LEAST, MOST_FLOWS, MOST_ALIVE = 4, 65_536, 64, 64
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noframes", "iframe", "xmp")}
 
 
@@ -258,48 +267,94 @@ def place(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[
     active: list[tuple[int, int, int]] = []  # (first column, end, the first row below), in order
     out = []
     for k, row in enumerate(rows):
-        active = [x for x in active if x[2] > k]
+        if active:
+            active = [x for x in active if x[2] > k]
         at, i, placed, new = 0, 0, [], []
         for lines, columns, down in row:
             while i < len(active) and active[i][0] <= at:
                 at, i = max(at, active[i][1]), i + 1
             placed.append((lines, at, at + columns))
-            if down > 1:
+            if down > 1 and len(active) + len(new) < MOST_ALIVE:
                 new.append((at, at + columns, k + down))
             at += columns
-        active = sorted(active + new)
+        active = sorted(active + new) if new else active
         out.append(placed)
     starts = sorted({a for row in out for _, a, _ in row})
     return [[(lines, bisect_left(starts, a), bisect_left(starts, b)) for lines, a, b in row] for row in out]
 
 
-def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+class Room:
+    """The blanks that a page may still take."""
+
+    def __init__(self, chars: int):
+        self.left = PAD_LEAST + PAD * chars
+
+    def take(self, blanks: int) -> bool:
+        if blanks > self.left:
+            return False
+        self.left -= blanks
+        return True
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]], room: Room) -> list[str]:
     """Rows of (cell lines, columns, rows spanned), padded so that columns align."""
     placed = place(rows)
     width = [0] * max((b for row in placed for _, _, b in row), default=0)
     cells = sorted(((b - a, a, max(map(len, lines), default=0)) for row in placed for lines, a, b in row))
     for span, a, needed in cells:  # what a wide cell lacks goes to its last column
-        room = width[a] if span == 1 else sum(width[a : a + span]) + 3 * (span - 1)
-        width[a + span - 1] += max(0, needed - room)
-    out = []
+        here = width[a] if span == 1 else sum(width[a : a + span]) + 3 * (span - 1)
+        width[a + span - 1] += max(0, needed - here)
+    # The cells that have each line of a row; a line goes on to where the row's last cell begins.
+    made: list[list[list[tuple[int, int, str]]]] = []
+    last = [0] * len(width)
     for row in placed:
-        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+        lines_of: list[list[tuple[int, int, str]]] = [[] for _ in range(max((len(lines) for lines, _, _ in row), default=0))]
+        for lines, a, b in row:
+            for k, line in enumerate(lines):
+                lines_of[k].append((a, b, line))
+        if row:
+            last[row[-1][1]] += len(lines_of)
+        made.append(lines_of)
+    most = max(width, default=0)
+    while True:
+        begins = [0]  # where a column begins in a line
+        for w in width:
+            begins.append(begins[-1] + min(w, most) + 3)
+        if room.take(sum(n * at for n, at in zip(last, begins, strict=False))):
+            break
+        if not most:
+            return [" | ".join(text for _, _, text in line).rstrip(whitespace) for lines_of in made for line in lines_of]
+        most //= 2
+    blank = "".join(" " * min(w, most) + " | " for w in width)
+    out = []
+    for row, lines_of in zip(placed, made, strict=True):
+        empty, at = [], 0
+        for _, a, b in row:
+            empty += [blank[begins[at] : begins[a]], " " * (begins[b] - begins[a] - 3), " | "]
+            at = b
+        below = "".join(empty)  # the row without its texts
+        for line in lines_of:
+            if not row[-1][1]:
+                out.append(line[0][2].rstrip(whitespace))
+                continue
             parts, at = [], 0
-            for lines, a, b in row:
-                parts += [" " * w for w in width[at:a]]
-                room = sum(width[a:b]) + 3 * (b - a - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
+            for a, b, text in line:
+                parts += [below[begins[at] : begins[a]], text.ljust(begins[b] - begins[a] - 3), " | "]
                 at = b
-            out.append(" | ".join(parts).rstrip(whitespace))
+            parts[-1:] = [" | ", below[begins[at] : begins[row[-1][1]]]] if at <= row[-1][1] else []
+            out.append("".join(parts).rstrip(whitespace))
     return out
 
 
-def render(root: Node) -> str:
-    flows = [_Flow()]
+ENTER, LEAVE, LEAVE_LINE, LEAVE_FLOW = range(4)
+
+
+def render(root: Node, chars: int) -> str:
+    flows, room = [_Flow()], Room(chars)
     lists: list[list] = []  # [ordered, next number]
     tables: list[list[list]] = []
     pre = 0
-    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    stack: list[tuple[Node | str, int]] = [(root, ENTER)]
     while stack:
         node, leaving = stack.pop()
         flow = flows[-1]
@@ -325,16 +380,20 @@ def render(root: Node) -> str:
                 tables[-1].append([])
             elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
-            if tag in ("li", "td", "th", "dd", "blockquote") or (tag == "tr" and not tables):
+            apart = tag in ("li", "td", "th", "dd", "blockquote") or (tag == "tr" and not tables)
+            own = apart and len(flows) < MOST_FLOWS
+            if own:
                 flows.append(_Flow())
                 lists.append([False, 1]) if tag in ("td", "th") else None
-            stack.append((node, True))
+            elif apart:
+                flow.end_line()
+            stack.append((node, LEAVE_FLOW if own else LEAVE_LINE if apart else LEAVE))
             shown = node.children
             if tag == "details" and "open" not in node.attrs:
                 shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"][:1]
-            stack.extend((child, False) for child in reversed(shown))
+            stack.extend((child, ENTER) for child in reversed(shown))
             continue
-        if tag in ("li", "td", "th", "dd", "blockquote") or (tag == "tr" and not tables):
+        if leaving == LEAVE_FLOW:
             lines = flows.pop().done()
             flow = flows[-1]
             if tag in ("td", "th"):
@@ -345,16 +404,20 @@ def render(root: Node) -> str:
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 flow.end_line()
-                flow.lines += [(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(lines or [""])] if lines else [mark.rstrip()]
+                indent = " " * len(mark) if room.take(len(mark) * len(lines)) else ""
+                flow.lines += [(mark if i == 0 else indent) + line if line else "" for i, line in enumerate(lines)] if lines else [mark.rstrip()]
             elif tag in ("td", "th") and tables and tables[-1]:
                 columns, down = (_whole(node.attrs.get(c, ""), 1) for c in ("colspan", "rowspan"))
                 tables[-1][-1].append((lines, min(max(1, columns), MOST_COLUMNS), MOST_ROWS if down == 0 else min(max(1, down), MOST_ROWS)))
             else:
                 flow.end_line()
-                flow.lines += ["  " + line if line and tag in ("dd", "blockquote") else line for line in lines]
+                indent = "  " if tag in ("dd", "blockquote") and room.take(2 * len(lines)) else ""
+                flow.lines += [indent + line if line else line for line in lines] if indent else lines
+        elif leaving == LEAVE_LINE:
+            flow.end_line()
         elif tag == "table":
             flow.end_line()
-            flow.lines += table_lines(tables.pop())
+            flow.lines += table_lines(tables.pop(), room)
         elif tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
         elif tag in ("pre", "textarea", "xmp"):
@@ -367,7 +430,7 @@ def render(root: Node) -> str:
 
 
 def to_text(source: str | None) -> str:
-    return render(parse(source)) if source else ""
+    return render(parse(source), len(source)) if source else ""
 
 
 def extract(html: Column) -> Column:

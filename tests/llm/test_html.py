@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +68,26 @@ def test_no_word_is_lost(parts):
     assert out.count("w1") + out.count("w2") == sum(p.strip() in ("w1", "w2") for p in parts)
 
 
+def test_blanks_are_bounded():
+    import time
+
+    wide = "<table>" + "<tr><td>a<td>b" * 30_000 + "<tr><td>" + "w" * 100_000 + "<td>end</table>"
+    steps = "<table>" + "<tr><td rowspan=60000>s" * 40_000 + "</table>"
+    tall = "<table><tr>" + "<td>c" * 20_000 + "<td>" + "t<br>" * 100_000 + "</table>"
+    spans = "<table><tr>" + "<td>c" * 20_000 + "<tr><td colspan=1000>x<td>y" * 20_000 + "</table>"
+    nested = "<table><tr><td>wide wide wide<td>" * 20_000 + "z<br>" * 50_000
+    quotes = "<blockquote>" * 500 + "q<br>" * 150_000
+    items = "<ol start=99999999><li>" * 5000 + "i<br>" * 150_000
+    for page in (wide, steps, tall, spans, nested, quotes, items):
+        began = time.process_time()
+        out = T(page)
+        assert len(out) < 10 * max(len(page), 100_000), (len(page), len(out))
+        assert time.process_time() - began < 30
+        for word in ("a", "b", "s", "c", "t", "x", "y", "z", "q", "i", "end"):
+            assert len(re.findall(rf"\b{word}\b", out)) == len(re.findall(rf">{word}(?=<|$)|(?<=<br>){word}(?=<)", page)), word
+    assert T("<table><tr><td>" + "w" * 5000 + "<td>b<tr><td>1<td>2</table>").splitlines()[1] == "1".ljust(5000) + " | 2"
+
+
 #: A page as a tree: a word, or (tag, attributes, children).  `model` lays it out by recursion, apart from the operator.
 WORDS = st.sampled_from(["w", "ab", "long-word", "x y"])
 CELLS = st.tuples(st.lists(WORDS, max_size=2), st.integers(1, 3), st.integers(1, 3))
