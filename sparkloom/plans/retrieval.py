@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import bm25, ranking
+from sparkloom.operators import bm25, inverted, ranking
 from sparkloom.plans.catalog import register
-from sparkloom.runtime import table
+from sparkloom.runtime import shared_path, table
 
 C = F.col
 QUERY = "the station hand"
@@ -219,4 +219,31 @@ def harm_filter(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("query_id"), "doc_id", (C("n_chars") % 1000 / 1000).alias("score"))
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (C("doc_id") % len(names) + 1).cast("int"))
     path = F.concat(F.lit("src/"), pick(["tests/", "core/", "mocks/", "app/"]), F.lit("m"), C("doc_id") % 40, pick([".rs", "_test.go", ".rs", ".spec.ts", ".yml"]))
-    return ranking.harm_filter(ranking.top_k(d, 80).withColumn("path", path)).select("query_id", "rank", "path", "reason", "removed")
\ No newline at end of file
+    return ranking.harm_filter(ranking.top_k(d, 80).withColumn("path", path)).select("query_id", "rank", "path", "reason", "removed")
+
+@register("block_max_top10", _BENCH + " SELECT query_id, doc_id, score, (rank - 1)::INTEGER AS rank FROM rk WHERE rank <= 10")
+def block_max_top10(spark, sf_dir):
+    """The benchmark queries through a stored index of two segments."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", C("source").alias("kind"), "text")
+    path = shared_path(spark, "block-index")
+    inverted.append(docs.where("doc_id % 2 = 0"), path, 0)
+    inverted.append(docs.where("doc_id % 2 = 1"), path, 1)
+    queries = table(spark, sf_dir, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"))
+    return inverted.search(spark, path, queries, 10).results
+
+
+_TURNS = r"""WITH t AS (SELECT conv_id * 100000 + turn AS doc_id, role, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}]+'), lambda x: lower(x)), lambda x: strlen(x) >= 2) AS w FROM conversations),
+tok AS (SELECT doc_id, role, unnest(w) AS term FROM t), tf AS (SELECT doc_id, role, term, count(*)::DOUBLE AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, len(w)::DOUBLE AS dl FROM t),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT doc_id AS query_id, term, count(*) AS q_n FROM tok WHERE role = 'user' AND doc_id % 100000 = 0 GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, round(sum(q_n * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st WHERE role = 'assistant' GROUP BY 1, 2)"""
+
+
+@register("memory_search", _TURNS + " SELECT query_id, doc_id, score, (r - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 5")
+def memory_search(spark, sf_dir):
+    """Each opening turn of a user against all answers: bodies of one source type."""
+    turns = table(spark, sf_dir, "conversations").select((C("conv_id") * 100000 + C("turn")).alias("doc_id"), C("role").alias("kind"), "text")
+    path = shared_path(spark, "memory-index")
+    inverted.append(turns, path, 0, tokens=tx.keywords)
+    opened = turns.where("kind = 'user' and doc_id % 100000 = 0").select(C("doc_id").alias("query_id"), C("text").alias("query"))
+    return inverted.search(spark, path, opened, 5, kind="assistant", tokens=tx.keywords).results
