@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import holds_any
+from sparkloom.operators.packing import Rules, fold
+from sparkloom.runtime import materialize
 
 C = F.col
 NOISE = "test|benchmark|example"
@@ -68,6 +70,35 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+def scan(queries: DataFrame, vectors: DataFrame, k: int, block: int = 64) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k nearest of ``vectors(doc_id, e)`` to each of ``queries(query_id, qe)`` by cosine.
+
+    All vectors are read once for each ``block`` queries, which travel to them
+    as one row; a task hands on its k best of a query.
+    """
+    numbered = queries.withColumn("_b", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / block))
+    blocks = numbered.groupBy("_b").agg(F.collect_list(F.struct("query_id", "qe")).alias("_q")).drop("_b")
+    near = lambda q: F.struct(q["query_id"].alias("query_id"), cosine(q["qe"], C("e")).alias("score"))
+    scored = vectors.join(F.broadcast(blocks)).select("doc_id", F.inline(F.transform("_q", near)))  # the stated queries
+    return top_k(scored, k)
+
+
+def feedback_scan(queries: DataFrame, vectors: DataFrame, k: int, sure: float = 1.3, share: float = 0.3) -> DataFrame:
+    """Like :func:`scan`; a query whose best hit is ``sure`` times as near as the second is asked again, moved towards it.
+
+    The greater of both scores counts.  The k best of both passes hold the k
+    best of all: whatever lies above a document in one pass does so in the end.
+    """
+    first = materialize(scan(queries, vectors, max(k, 2)), "scan-first")
+    best = first.where("rank = 0").select("query_id", C("doc_id").alias("_id"), C("score").alias("_s1"))
+    second = first.where("rank = 1").select("query_id", C("score").alias("_s2"))
+    lead = best.join(second, "query_id").where(C("_s1") > C("_s2") * sure).join(vectors.select(C("doc_id").alias("_id"), C("e").alias("_e")), "_id")
+    mixed = F.zip_with("qe", "_e", lambda q, d: q.cast("double") * (1 - share) + d.cast("double") * share)
+    again = queries.join(lead, "query_id").select("query_id", mixed.alias("qe"))
+    both = first.select("query_id", "doc_id", "score").union(scan(again, vectors, k).select("query_id", "doc_id", "score"))
+    return top_k(both.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score")), k)
+
+
 def unit(v: Column) -> Column:
     n = F.sqrt(dot(v, v))
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
@@ -122,25 +153,9 @@ def pack_stop(items: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
     return items.withColumn("_sum", F.sum("tokens").over(upto)).where(C("_sum") <= budget).drop("_sum")
 
 
-def pack_skip(items: DataFrame, budget: int, by: str = "query_id", most: int | None = None, candidates: int = 1000) -> DataFrame:
-    """Items in rank order, those that do not fit left out.
-
-    Only the best ``candidates`` of a query are looked at, so what is folded in
-    one row is bounded; give more for longer lists.
-    """
-    rows = items.where(C("rank") < candidates).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "tokens", "doc_id"))).alias("_rows"))
-    none = F.expr("cast(array() as array<struct<rank:int,tokens:bigint,doc_id:bigint>>)")
-    start = F.struct(F.lit(0).cast("long").alias("used"), none.alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["tokens"] <= budget
-        if most is not None:
-            fits = fits & (F.size(acc["kept"]) < most)
-        now = F.struct(x["rank"].cast("int").alias("rank"), x["tokens"].cast("long").alias("tokens"), x["doc_id"].cast("long").alias("doc_id"))
-        return F.when(fits, F.struct((acc["used"] + x["tokens"]).alias("used"), F.concat(acc["kept"], F.array(now)).alias("kept"))).otherwise(acc)
-
-    folded = rows.select(by, F.aggregate("_rows", start, step).alias("_f"))
-    return folded.select(by, F.inline("_f.kept"))
+def pack_skip(items: DataFrame, budget: int, by: str = "query_id", most: int | None = None) -> DataFrame:
+    """Items in rank order, those that do not fit left out; lists of any length."""
+    return fold(items, [by], [C("rank").asc()], budget, Rules(most=most)).select(by, "rank", "tokens", "doc_id")
 
 
 #: Parts and ends of the paths of tests, fixtures, and configuration or build files.

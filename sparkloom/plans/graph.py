@@ -141,12 +141,12 @@ def attention(spark, sf_dir):
 
 
 @register("graph_reach", EDGES_SQL + """,
-b AS (SELECT a AS src, b AS dst FROM p WHERE weight >= 6 UNION SELECT b, a FROM p WHERE weight >= 6), d0 AS (SELECT 7 AS node), d1 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d0)),
+b AS (SELECT a AS src, b AS dst FROM p UNION SELECT b, a FROM p), d0 AS (SELECT 7 AS node), d1 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d0)),
 d2 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d1) AND dst NOT IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d1)),
 d3 AS (SELECT DISTINCT dst AS node FROM b WHERE src IN (SELECT node FROM d2) AND dst NOT IN (SELECT node FROM d0) AND dst NOT IN (SELECT node FROM d1) AND dst NOT IN (SELECT node FROM d2))
 SELECT node::BIGINT AS node, 0 AS depth FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3""")
 def reach(spark, sf_dir):
-    p = g.pair_weights(edges(spark, sf_dir)).where("weight >= 6")
+    p = g.pair_weights(edges(spark, sf_dir))
     both = materialize(p.select(C("a").alias("src"), C("b").alias("dst")).union(p.select("b", "a")), "reach-edges")
     return g.reach(both, spark.range(7, 8).select(C("id").alias("node")), 3)
 

@@ -155,19 +155,32 @@ def normalise_min_max(spark, sf_dir):
 
 _DENSE = """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT label, min(vec_id) AS query_id, arg_min(e, vec_id) AS qe FROM v GROUP BY 1),
-s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(qe, e), 6) AS score FROM v JOIN q USING (label) WHERE vec_id <> query_id)"""
-
-
-def _dense(spark, sf_dir):
-    """The first vector of each label against the others of its label."""
-    v = table(spark, sf_dir, "embeddings").select("label", C("vec_id").alias("doc_id"), C("embedding").alias("e"))
-    q = v.groupBy("label").agg(F.min("doc_id").alias("query_id"), F.min_by("e", "doc_id").alias("qe"))
-    return v.join(q, "label").where("doc_id <> query_id").select("query_id", "doc_id", F.round(ranking.cosine(C("qe"), C("e")), 6).alias("score"))
+s AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(qe, e), 6) AS score FROM v, q WHERE vec_id <> query_id)"""
 
 
 @register("dense_cosine_top10", _DENSE + " SELECT query_id, doc_id, score, (r - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 10")
 def dense_cosine(spark, sf_dir):
-    return ranking.top_k(_dense(spark, sf_dir), 10)
+    """The first vector of each label against all others."""
+    v = table(spark, sf_dir, "embeddings").select("label", C("vec_id").alias("doc_id"), C("embedding").alias("e"))
+    q = v.groupBy("label").agg(F.min("doc_id").alias("query_id"), F.min_by("e", "doc_id").alias("qe")).select("query_id", "qe")
+    near = ranking.scan(q, v.select("doc_id", "e"), 11).where("doc_id <> query_id").withColumn("score", F.round("score", 6))
+    return ranking.top_k(near, 10)
+
+
+@register("dense_feedback_top10", """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ends AS (SELECT label, arg_min(e, vec_id) AS a, arg_max(e, vec_id) AS b FROM v GROUP BY 1), q AS (SELECT label AS query_id, list_transform(list_zip(a, b), lambda z: 0.6 * z[1] + 0.8 * z[2]) AS qe FROM ends),
+one AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(qe, e) AS s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM v, q),
+lead AS (SELECT a.query_id, a.doc_id FROM one a JOIN one b ON a.query_id = b.query_id AND a.r = 1 AND b.r = 2 WHERE a.s > 1.3 * b.s),
+more AS (SELECT q.query_id, list_transform(list_zip(qe, e), lambda z: 0.7 * z[1] + 0.3 * z[2]) AS qe FROM lead JOIN q USING (query_id) JOIN v ON vec_id = doc_id),
+m AS (SELECT query_id, doc_id, round(max(s), 6) AS score FROM (SELECT query_id, doc_id, s FROM one UNION ALL SELECT query_id, vec_id, list_cosine_similarity(qe, e) FROM v, more) GROUP BY 1, 2)
+SELECT query_id, doc_id, score, (r - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM m) WHERE r <= 10""")
+def dense_feedback(spark, sf_dir):
+    """A blend of the first and last vector of each label; sure ones are asked again."""
+    v = table(spark, sf_dir, "embeddings").select("label", C("vec_id").alias("doc_id"), C("embedding").alias("e"))
+    ends = v.groupBy(C("label").alias("query_id")).agg(F.min_by("e", "doc_id").alias("a"), F.max_by("e", "doc_id").alias("b"))
+    q = ends.select("query_id", F.zip_with("a", "b", lambda x, y: 0.6 * x.cast("double") + 0.8 * y.cast("double")).alias("qe"))
+    return ranking.feedback_scan(q, v.select("doc_id", "e"), 10)
 
 
 _DIMS = 64
