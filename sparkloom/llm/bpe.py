@@ -3,8 +3,9 @@
 A text falls at single spaces into pieces that no pre-token crosses; distinct
 pieces fall into words, and the distinct words of a run form one trie.
 A depth-first walk gives every node the *last token* of the encoding of its
-prefix: the one vocabulary entry that ends there and that BPE would leave
-beside the last token before it.  Words that share a prefix share all that
+prefix: the longest vocabulary entry that ends there and that BPE would leave
+beside the last token before it; entries that end at a node are the endings of
+one state, which the walk takes along.  Words that share a prefix share all that
 work, and a word's encoding is read off by stepping back from token to token.
 
 Defined cases: null encodes as the empty text; empty texts give no ids; a text
@@ -36,6 +37,8 @@ from sparkloom.runtime import ship
 RUN_CHARS = 1_000_000
 #: Pieces whose ids are kept between runs; past it the store starts anew.
 KEPT_PIECES = 250_000
+#: Ways between states that are kept, those of the trie of tokens included.
+MOST_WAYS = 3_000_000
 
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,21 +74,44 @@ class Vocabulary:
             self.merged[left, right] = whole
             self.split[whole] = (left, right)
         self.rank = {whole: i for i, whole in enumerate(self.split)}
-        # The tokens read backwards: from (state, byte) to a state, and the token that a state completes.
-        self.back: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        self.size = [0] * (max(self.bytes_of) + 1)
+        #: A trie of the tokens, from state << 8 | byte to a state; :meth:`step` adds the ways on from where it ends.
+        self.goto: dict[int, int] = {}
+        own, parents = [-1], [(0, 0)]
         for t, i in self.id_of.items():
-            state = 0
-            for b in reversed(t):
+            state, self.size[i] = 0, len(t)
+            for b in t:
                 key = state << 8 | b
-                state = self.back.get(key, 0)
+                state = self.goto.get(key, 0)
                 if not state:
-                    state = self.back[key] = len(self.ends)
-                    self.ends.append(-1)
-            self.ends[state] = i
+                    state = self.goto[key] = len(own)
+                    own.append(-1)
+                    parents.append((key, parents[key >> 8][1] + 1))
+            own[state] = i
+        #: The state of the longest proper ending, the longest token that ends in a state, and the next shorter one of a token.
+        self.fall, self.longest, self.shorter = [0] * len(own), own, [-1] * len(self.size)
+        for state in sorted(range(1, len(own)), key=lambda x: parents[x][1]):
+            key = parents[state][0]
+            self.fall[state] = back = self._way(self.fall[key >> 8], key & 255) if key >> 8 else 0
+            if own[state] < 0:
+                own[state] = own[back]
+            else:
+                self.shorter[own[state]] = own[back]
         #: left << 20 | right: whether BPE on the bytes of both tokens gives just these two.
         self.known_pairs: dict[int, bool] = {}
 
+    def _way(self, state: int, byte: int) -> int:
+        while state and (state << 8 | byte) not in self.goto:
+            state = self.fall[state]
+        return self.goto.get(state << 8 | byte, 0)
+
+    def step(self, key: int) -> int:
+        """The state that a byte leads to where the trie has no way on."""
+        state = self._way(key >> 8, key & 255)
+        if len(self.goto) < MOST_WAYS:
+            self.goto[key] = state
+        return state
+
     def stays(self, left: int, right: int) -> bool:
         if len(self.known_pairs) > 2_000_000:
             self.known_pairs.clear()
@@ -123,34 +149,31 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
     """
     out: list[list[int]] = [[] for _ in words]
     deepest = max(map(len, words), default=0)
-    last, start = [0] * (deepest + 1), [0] * (deepest + 1)  # the last token at a depth, and where it begins
-    back, ends, pairs, stays = vocab.back.get, vocab.ends, vocab.known_pairs.get, vocab.stays
+    last, start, states = [0] * (deepest + 1), [0] * (deepest + 1), [0] * (deepest + 1)  # the last token at a depth, where it begins, what ends there
+    goto, step, longest, shorter, size = vocab.goto.get, vocab.step, vocab.longest, vocab.shorter, vocab.size
+    pairs, stays = vocab.known_pairs.get, vocab.stays
     before = b""
     for number in sorted(range(len(words)), key=words.__getitem__):
         word = words[number]
         shared, most = 0, min(len(word), len(before))
         while shared < most and word[shared] == before[shared]:
             shared += 1
+        state = states[shared]
         for depth in range(shared + 1, len(word) + 1):
-            state, at, found = 0, depth, []
-            while at:
-                at -= 1
-                state = back(state << 8 | word[at])
-                if state is None:
+            key = state << 8 | word[depth - 1]
+            state = goto(key)
+            if state is None:
+                state = step(key)
+            states[depth] = state
+            token = longest[state]
+            while at := depth - size[token]:
+                fits = pairs(last[at] << 20 | token)
+                if fits is None:
+                    fits = stays(last[at], token)
+                if fits:
                     break
-                token = ends[state]
-                if token >= 0:
-                    found.append((token, at))
-            for token, at in reversed(found):
-                if at:
-                    pair = last[at] << 20 | token
-                    fits = pairs(pair)
-                    if fits is None:
-                        fits = stays(last[at], token)
-                    if not fits:
-                        continue
-                last[depth], start[depth] = token, at
-                break
+                token = shorter[token]
+            last[depth], start[depth] = token, at
         ids, at = out[number], len(word)
         while at:
             ids.append(last[at])
@@ -221,6 +244,9 @@ class TrieEncoder(PieceEncoder):
         mixed: dict[int, list[str | int]] = {}  # strings that hold a special token
         words, plain, marked = self._words.findall, self._plain.fullmatch, self._marks.search
         for i, s in enumerate(strings):
+            if s.isascii() and (s.isalpha() or s[:1] == " " and s[1:].isalpha()):
+                cut.append([s])
+                continue
             if marked(s) is None:
                 cut.append(words(s) if s.isascii() or plain(s) else self.pretokens(s))
                 continue
