@@ -33,8 +33,9 @@ import io
 import math
 import re
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +45,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.llm import storage
-from sparkloom.llm.jaccard import Words
 from sparkloom.runtime import materialize, shared_path, ship, spread
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A longer phrase of at least this many percent of the occurrences replaces its parts.
 INSIDE = 80
 LEAST_CELLS, MOST_CELLS, CHUNK = 1 << 12, 1 << 26, 1 << 20
-#: Candidates a task remembers to have sent.
-KNOWN = 1 << 21
+#: Candidates a task remembers to have sent, and words whose hash it keeps.
+KNOWN, KEPT_WORDS = 1 << 21, 150_000
 
 
 @dataclass(frozen=True)
 class Sizes:
     """Bytes of text that are worked on together, bytes of text for a cell of the filter, keys of a shard, shards a task holds."""
 
-    run: int = 4 << 20
+    run: int = 1 << 20
     cell: int = 128
     shard: int = 1 << 16
     resident: int = 64
@@ -130,13 +130,28 @@ class Filter:
         return (self.maps[level][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+class Hashes(dict):
+    """Hashes of words; the store starts anew past a bound."""
+
+    def __init__(self, of: Callable[[bytes], int]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = self[word] = self.of(word)
+        return h
+
+
 class Phrases:
     """The phrases of each run, as keys by number of words and place of the first word."""
 
     def __init__(self):
         import xxhash
 
-        self.hash, self.words, self.langs = xxhash.xxh3_64_intdigest, Words(), {}
+        self.hash = xxhash.xxh3_64_intdigest
+        self.words = Hashes(self.hash)
         self.stop = np.uint64(self.hash(_BREAK))
 
     def lang(self, name: str) -> np.uint64:
@@ -284,28 +299,28 @@ def _arrays(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(chunk, pa.int32()), pa.array(node, pa.int32()), pa.array(data, pa.binary())], names=["level", "chunk", "node", "data"])
 
 
-def _tree_sum(arrays: DataFrame, mappers: int, kind: str) -> DataFrame:
-    """One array for each (level, chunk), summed in two rounds; arrays of bytes stop at 255."""
+def _tree_sum(arrays: DataFrame, mappers: int, kind: str, finish: Callable[[int, np.ndarray], bytes]) -> DataFrame:
+    """What ``finish`` makes of each (level, chunk) and its array, summed in two rounds; arrays of bytes stop at 255."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], given: Callable[[int, np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
         for batch in batches:
             for level, chunk, node, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 values = _unpacked(data, kind)
                 if key != (level, chunk, node):
                     if key:
-                        yield _arrays([(*key, _packed(total))])
+                        yield _arrays([(*key, given(key[1], total))])
                     key, total = (level, chunk, node), values.copy()
                 elif kind == "u1":
                     total += np.minimum(values, 255 - total)
                 else:
                     total += values
         if key:
-            yield _arrays([(*key, _packed(total))])
+            yield _arrays([(*key, given(key[1], total))])
 
-    for nodes in (max(1, math.isqrt(mappers)), 1):
+    for nodes, given in ((max(1, math.isqrt(mappers)), lambda _, x: _packed(x)), (1, finish)):
         dealt = arrays.withColumn("node", F.pmod("node", F.lit(nodes)).cast("int")).repartition("level", "chunk", "node")
-        arrays = dealt.sortWithinPartitions("level", "chunk", "node").mapInArrow(add, _ARRAYS)
+        arrays = dealt.sortWithinPartitions("level", "chunk", "node").mapInArrow(partial(add, given=given), _ARRAYS)
     return arrays
 
 
@@ -339,15 +354,10 @@ def _filter(texts: DataFrame, cells: int, least: int, mappers: int, sizes: Sizes
     def named(rows: pa.RecordBatch, lang: list, n: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(n, pa.int64())], names=[*rows.schema.names, "lang", "n"])
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = [np.packbits(_unpacked(d, "u1") >= least).tobytes() for d in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(maps, pa.binary())], names=batch.schema.names)
-
     made = materialize(texts.mapInArrow(sketch, f"{_ARRAYS}, lang string, n long"), "collocation-cells")
-    sums = _tree_sum(made.where("level >= 0").drop("lang", "n"), mappers, "u1")
+    sums = _tree_sum(made.where("level >= 0").drop("lang", "n"), mappers, "u1", lambda _, x: np.packbits(x >= least).tobytes())
     maps = [np.zeros(-(-cells // 8), np.uint8) for _ in range(LONGEST)]
-    for row in sums.mapInArrow(mapped, _ARRAYS).toLocalIterator():  # bitmaps of MOST_CELLS bits for each length at the most
+    for row in sums.toLocalIterator():  # bitmaps of MOST_CELLS bits for each length at the most
         data = np.frombuffer(row["data"], np.uint8)
         maps[row["level"]][row["chunk"] * (chunk // 8) :][: len(data)] = data
     return Filter(cells, maps), made.where("level < 0").groupBy("lang").agg(F.sum("n").alias("n"))
@@ -408,18 +418,14 @@ def _counted(texts: DataFrame, held, uris: dict[int, str], shards: int, mappers:
         for s, x in resident.held.items():
             yield _arrays([(0, s, node, _packed(x[1]))])
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = []
-            for shard, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                uri, stream = storage.create(folder, f"counts-{shard}", ".zst")
-                with stream:
-                    stream.write(data)
-                names.append(uri)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string())], names=["shard", "uri"])
-
-    sums = _tree_sum(texts.mapInArrow(count, _ARRAYS), mappers, "<i8")
-    return materialize(sums.mapInArrow(store, "shard int, uri string"), "collocation-counts")
+    def store(shard: int, total: np.ndarray) -> bytes:
+        uri, stream = storage.create(folder, f"counts-{shard}", ".zst")
+        with stream:
+            stream.write(_packed(total))
+        return uri.encode()
+
+    sums = _tree_sum(texts.mapInArrow(count, _ARRAYS), mappers, "<i8", store)
+    return materialize(sums.select(F.col("chunk").alias("shard"), F.col("data").cast("string").alias("uri")), "collocation-counts")
 
 
 def scores(a: np.ndarray, parts: np.ndarray) -> np.ndarray:
