@@ -6,7 +6,7 @@ into words.  Phrases of one to ``LONGEST`` words are known by two 64-bit hashes.
 1. Filter: mappers count hashed phrases in arrays of bytes that stop at 255;
    the arrays are summed as a tree.  A phrase whose cell stays under the least
    count is rarer than that, so the cells leave a bitmap that drops no frequent
-   phrase.  It has a cell for each 128 bytes of text and ``MOST_CELLS`` for each
+   phrase.  It has a cell for each 64 bytes of text and ``MOST_CELLS`` for each
    length of phrase, so 32 MB at the most; beyond these it drops less.
 2. Candidates: phrases that pass with both their parts of one word less (the
    Apriori rule).  A task sends a candidate once as a rule; distinct ones are
@@ -60,7 +60,7 @@ class Sizes:
     """Bytes of text that are worked on together, bytes of text for a cell of the filter, keys of a shard, shards a task holds."""
 
     run: int = 1 << 20
-    cell: int = 128
+    cell: int = 64
     shard: int = 1 << 16
     resident: int = 64
 
@@ -517,7 +517,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, sizes: Sizes = Siz
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = 1 << min(int(math.log2(MOST_CELLS)), max(int(math.log2(LEAST_CELLS)), math.ceil(math.log2(max(size, 1) / sizes.cell))))
     # Few long tasks, so that the arrays that leave them are few.
-    mappers = 4 * spark.sparkContext.defaultParallelism
+    mappers = 2 * spark.sparkContext.defaultParallelism
     texts = spread(read).coalesce(mappers)
     cells, words = _filter(texts, cells, least, mappers, sizes)
     held = spark.sparkContext.broadcast(cells)  # MOST_CELLS bits for each length of phrase at the most
