@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 CAMEL_PLAIN = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 CAMEL_CODE = r"(?<=.)(?=\p{Lu})(?:(?<!\p{Lu})|(?=\p{Lu}\p{Ll}))"
 NON_ALNUM = r"[^\p{L}\p{N}]+"
-#: Stop words of the code tokenizer: keywords, common types and file extensions.
+#: Stop words of the code tokenizer, that is keywords, common types and file extensions.
 CODE_STOP_WORDS = tuple("abstract and arc as async await bool box break chan class clone const continue cpp crate css def default defer dyn else enum err export extends extern f32 f64 false final fn for from func function go hpp html i32 i64 if impl implements import in instanceof interface into isize java js json jsx kt lambda let loop map match md mod move mut new none not null ok option package pass php private protected pub public py range rb ref require result return rs self some static str string struct super that the this throws toml trait true ts tsx type typeof u16 u32 u64 u8 undefined unsafe use usize var vec void where while with yaml yield".split())
 
 
@@ -137,3 +137,30 @@ def query_class(query: Column) -> Column:
     for name, needles in reversed(QUERY_CLASSES):
         out = F.when(holds_any(low, needles), name).otherwise(out)
     return out
+
+
+def closed_json(text: Column) -> Column:
+    """``text`` with the quote and brackets that it lacks at its end; null unless it begins with one.
+
+    Escaped characters and whole strings are taken out first, so what is folded
+    over a stack is the brackets alone; a closing one takes back the last that
+    is open, and a lone backslash at the end of an open string goes.
+    """
+    bare = F.regexp_replace(text, r"(?s)\\.", "")
+    outside = F.regexp_replace(bare, '"[^"]*"', "")
+    open_string = F.contains(outside, F.lit('"'))
+    brackets = F.regexp_replace(F.regexp_replace(outside, r'(?s)".*$', ""), r"[^{}\[\]]", "")
+    step = lambda stack, c: F.when(c == "{", F.concat(F.lit("}"), stack)).when(c == "[", F.concat(F.lit("]"), stack)).when(c == "", stack).otherwise(F.substring(stack, 2, 2**31 - 1))
+    stack = F.aggregate(F.split(brackets, ""), F.lit(""), step)
+    kept = F.when(open_string & bare.endswith("\\"), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.when(text.rlike(r'^[{\["]'), F.concat(kept, F.when(open_string, '"').otherwise(""), stack))
+
+
+def partial_json(text: Column) -> Column:
+    """A JSON text that may break off, completed: itself if it is whole, closed if that makes it whole, else null."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    closed = closed_json(trimmed)
+    # The parser stops after a value: within a list no bracket may follow it, within an object no further value.
+    within = lambda t, a, b: F.try_parse_json(F.concat(F.lit(a), t, F.lit(b))).isNotNull()
+    whole = lambda t: within(t, "[", "]") & within(t, '{"a":', "}")
+    return F.when(whole(trimmed), trimmed).when(whole(closed), closed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text
 from sparkloom.operators import resolution
 from sparkloom.plans.catalog import register
 from sparkloom.runtime import table
@@ -40,3 +41,14 @@ def reference_resolution(spark, sf_dir):
     refs = joined.select((C("l_orderkey") * 10 + C("l_linenumber")).alias("ref_id"), at(C("l_suppkey")).alias("file"), name.alias("name"), F.lit(None).cast("string").alias("target_file"), (C("l_tax") * 10).cast("double").alias("confidence"), F.lit("extractor").alias("method"))
     builtins = spark.createDataFrame([("Python", "print"), ("python", "print")], "language string, name string")
     return resolution.resolve(refs, symbols, index, builtins).withColumn("confidence", F.round("confidence", 6))
+
+
+@register("partial_json", """
+WITH c AS (SELECT event_id, trim(left('[' || props || ', {"t": "' || event_type || '"}]', (event_id % (length(props) + length(event_type) + 14))::BIGINT)) AS t FROM events),
+q AS (SELECT *, len(regexp_replace(t, '[^"]', '', 'g')) % 2 = 1 AS s FROM c), o AS (SELECT *, t || CASE WHEN s THEN '"' ELSE '' END || CASE WHEN len(regexp_replace(t, '[^{]', '', 'g')) > len(regexp_replace(t, '[^}]', '', 'g')) THEN '}' ELSE '' END || CASE WHEN t LIKE '[%' AND NOT t LIKE '%]' THEN ']' ELSE '' END AS x FROM q)
+SELECT event_id, CASE WHEN t = '' THEN NULL WHEN json_valid(t) THEN t WHEN json_valid(x) AND NOT regexp_matches(x, ', *[]}]') THEN x END AS completed FROM o""")
+def partial_json(spark, sf_dir):
+    """The payload of each event, broken off somewhere."""
+    whole = F.concat(F.lit("["), "props", F.lit(', {"t": "'), "event_type", F.lit('"}]'))
+    cut = F.left(whole, (C("event_id") % (F.length("props") + F.length("event_type") + 14)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.partial_json(cut).alias("completed"))
