@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sparkloom.plans import assembly, budgets, code, context, graph, lifecycle, maintenance, retrieval, trajectory  # noqa: F401
+    from sparkloom.plans import assembly, budgets, code, communities, context, graph, lifecycle, maintenance, retrieval, trajectory  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
