@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import bm25, inverted, ranking
+from sparkloom.operators import bm25, inverted, projection, ranking
 from sparkloom.plans.catalog import register
 from sparkloom.runtime import shared_path, table
 
@@ -260,3 +260,9 @@ def memory_search(spark, sf_dir):
     inverted.append(turns, path, 0, tokens=tx.keywords)
     opened = turns.where("kind = 'user' and doc_id % 100000 = 0").select(C("doc_id").alias("query_id"), C("text").alias("query"))
     return inverted.search(spark, path, opened, 5, kind="assistant", tokens=tx.keywords).results
+
+
+@register("tfidf_projection")
+def tfidf_projection(spark, sf_dir):
+    """Vectors by hashed Gaussian rows, which SQL lacks: the tests hold them against plain Python."""
+    return projection.tfidf_vectors(table(spark, sf_dir, "documents"))
