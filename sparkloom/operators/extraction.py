@@ -1,8 +1,8 @@
 """Source extraction by patterns: symbols, imports, calls, variables, routes.
 
-No syntax-tree parser is installed, so these read declarations by regular
-expressions per language.  They stay in the JVM and keep line numbers, but see
-text, not scopes: names in comments or strings can appear.
+No syntax-tree parser is installed, so these read lines by regular expressions
+per language.  They stay in the JVM and keep line numbers, but see text, not
+scopes; the graph takes its declarations from :mod:`sparkloom.operators.scopes`.
 """
 
 from __future__ import annotations
@@ -93,10 +93,13 @@ def references(calls: DataFrame, syms: DataFrame) -> DataFrame:
 
 
 def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): files and symbols; Contains, Imports and Calls."""
-    syms = symbols(files).withColumn("id", F.concat_ws(":", F.lit("sym"), "path", "name"))
+    """(nodes, edges): files and symbols; Contains, Imports, Calls and Inherits."""
+    from sparkloom.operators import scopes  # it builds on the references above
+
+    found = scopes.declarations(files)
+    syms = found.where("kind <> 'impl'").select("path", "kind", "name", C("line").alias("line_start")).withColumn("id", F.concat_ws(":", F.lit("sym"), "path", "name"))
     nodes = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("File").alias("node_type"), C("path").alias("name"), C("path").alias("file_path")).union(syms.select("id", F.lit("Symbol"), "name", "path")).distinct()
     contains = syms.select(F.concat(F.lit("file:"), "path").alias("source"), C("id").alias("target"), F.lit("Contains").alias("edge_type"), F.lit(1.0).alias("weight"))
     imported = imports(files).select(F.concat(F.lit("file:"), "path"), F.concat(F.lit("import:"), "source"), F.lit("Imports"), F.lit(1.0))
     called = references(call_sites(files), syms).where("target is not null and confidence > 0.4").select(F.concat(F.lit("file:"), "path"), F.concat_ws(":", F.lit("sym"), "target", "callee"), F.lit("Calls"), C("confidence"))
-    return nodes, contains.union(imported).union(called).distinct()
+    return nodes, contains.union(imported).union(called).union(scopes.inheritance(found)).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import resolution
+from sparkloom.operators import resolution, scopes
 from sparkloom.plans.catalog import register
 from sparkloom.runtime import table
 
@@ -52,3 +52,20 @@ def partial_json(spark, sf_dir):
     whole = F.concat(F.lit("["), "props", F.lit(', {"t": "'), "event_type", F.lit('"}]'))
     cut = F.left(whole, (C("event_id") % (F.length("props") + F.length("event_type") + 14)).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", text.partial_json(cut).alias("completed"))
+
+
+@register("scoped_declarations", r"""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS form, 'p' || p_partkey AS path, 'C' || p_partkey AS name, 'B' || p_size AS base FROM part)
+SELECT path, CASE form WHEN 1 THEN 'struct' ELSE 'class' END AS kind, name, CASE form WHEN 1 THEN 3 ELSE 2 END AS line, '' AS scope, CASE form WHEN 1 THEN '' ELSE base END AS bases, CASE form WHEN 0 THEN 'note:String,f' || k || ':long' WHEN 1 THEN 'f' || k || ':u64' ELSE 'f' || k || ':int' END AS fields FROM p
+UNION ALL SELECT path, CASE form WHEN 0 THEN 'method' ELSE 'function' END, 'm' || k, CASE form WHEN 1 THEN 4 ELSE 5 END, name, '', '' FROM p
+UNION ALL SELECT path, 'impl', name, 4, '', base, '' FROM p WHERE form = 1""")
+def scoped_declarations(spark, sf_dir):
+    """A source text for each part, with decoys in comments and strings."""
+    k, base = C("p_partkey"), F.concat(F.lit("B"), "p_size")
+    java = F.concat(F.lit("/* class Gone {} */\nclass C"), k, F.lit(" extends "), base, F.lit(' {\n  String note = "class Fake {";\n  long f'), k, F.lit(";\n  void m"), k, F.lit("() { run(); }\n}\n"))
+    rust = F.concat(F.lit("// struct Gone {}\n\nstruct C"), k, F.lit(" { f"), k, F.lit(": u64 }\nimpl "), base, F.lit(" for C"), k, F.lit(" { fn m"), k, F.lit('(&self) { f("fn no() {"); } }\n'))
+    python = F.concat(F.lit("# class Gone:\nclass C"), k, F.lit("("), base, F.lit('):\n    """class Fake:"""\n    f'), k, F.lit(": int = 0\n    def m"), k, F.lit("(self): pass\n"))
+    form = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("path"), form(java, rust, python).alias("text"), form("java", "rust", "python").alias("language"))
+    joined = F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["type"])), ",")
+    return scopes.declarations(files).select("path", "kind", "name", "line", "scope", F.array_join("bases", ",").alias("bases"), joined.alias("fields"))
