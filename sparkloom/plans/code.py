@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text
 from sparkloom.operators import resolution, scopes
 from sparkloom.plans.catalog import register
-from sparkloom.runtime import table
+from sparkloom.runtime import shared_path, table
+from sparkloom.sources import logs
 
 C = F.col
 
@@ -69,3 +70,17 @@ def scoped_declarations(spark, sf_dir):
     files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("path"), form(java, rust, python).alias("text"), form("java", "rust", "python").alias("language"))
     joined = F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(":"), f["type"])), ",")
     return scopes.declarations(files).select("path", "kind", "name", "line", "scope", F.array_join("bases", ",").alias("bases"), joined.alias("fields"))
+
+
+@register("log_recovery", """
+WITH kept AS (SELECT event_type AS writer, event_id AS seq FROM events WHERE event_id % 7 <> 0 OR event_id % 14 = 0)
+SELECT writer, count(*) AS records, min(seq) AS first_seq, max(seq) AS last_seq, max(seq) - min(seq) + 1 - count(*) AS missing FROM kept GROUP BY 1""")
+def log_recovery(spark, sf_dir):
+    """All events are appended; every seventh line is torn, and half of those are written again."""
+    events = table(spark, sf_dir, "events").select(C("event_type").alias("writer"), C("event_id").alias("seq"), C("props").alias("payload"))
+    path = shared_path(spark, "log")
+    torn = F.expr("left(value, cast(length(value) / 2 as int))")
+    logs.append(events.where("seq % 7 <> 0"), path, 1)
+    logs.encoded(events.where("seq % 7 = 0"), 1).select(torn.alias("value")).write.mode("append").text(path)
+    logs.append(events.where("seq % 14 = 0"), path, 2)
+    return logs.gaps(logs.recover(logs.parsed(logs.lines(spark, path))))
