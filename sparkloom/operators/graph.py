@@ -101,12 +101,14 @@ def label_propagation(pairs: DataFrame, rounds: int = 10, seeds: DataFrame | Non
     ties with the node's own keeps the node where it is.
     """
     both = materialize(pairs.select(C("a").alias("node"), C("b").alias("near"), "weight").union(pairs.select("b", "a", "weight")), "lpa-edges")
-    labels = both.select("node", C("node").alias("label")).distinct()
+    total, counts = both.count(), materialize(both.groupBy("node").agg(F.count("*").alias("n")), "lpa-nodes")
+    labels = counts.select("node", C("node").alias("label"))
     if seeds is not None:
         labels = labels.join(seeds.select("node", C("label").alias("_s")), "node", "left").select("node", F.coalesce("_s", "label").alias("label"))
     for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        best = votes.join(labels.withColumnRenamed("label", "own"), "node").groupBy("node", "own").agg(F.max(F.struct("w", (C("label") == C("own")).alias("stays"), (-C("label")).alias("n"))).alias("m"))
+        counted = labels.join(counts, "node")  # the rows of a hub stay spread in both joins
+        votes = join_counted(both, counted.withColumnRenamed("node", "near"), ["near"], total).groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        best = join_counted(votes, counted.withColumnRenamed("label", "own"), ["node"], total).groupBy("node", "own").agg(F.max(F.struct("w", (C("label") == C("own")).alias("stays"), (-C("label")).alias("n"))).alias("m"))
         before, labels = labels, materialize(best.select("node", (-C("m.n")).alias("label")), "lpa")
         release(before)
     release(both)
