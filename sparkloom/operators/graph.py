@@ -49,17 +49,17 @@ def quotient(edges: DataFrame, communities: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank, scaled) after ``rounds``; dangling mass is spread evenly, ``scaled`` is min-max."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    flow = materialize(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").select("src", "dst", (C("w") / C("out")).alias("share")), "pagerank-flow")
-    mark = flow.select(C("src").alias("node"), F.lit(False).alias("_o")).distinct()
-    every = materialize(nodes.select("node").join(mark, "node", "left").select("node", C("_o").isNull().alias("dangling")), "pagerank-nodes")
-    size = every.count()
+    flow = materialize(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").select(C("src").alias("node"), "dst", (C("w") / C("out")).alias("share")), "pagerank-flow")
+    links = flow.groupBy("node").agg(F.count("*").alias("n"))
+    every = materialize(nodes.select("node").join(links, "node", "left").select("node", C("n").isNull().alias("dangling"), F.coalesce("n", F.lit(0)).alias("n")), "pagerank-nodes")
+    size, total = every.count(), flow.count()
     first = ranks = every.withColumn("rank", F.lit(1.0 / max(size, 1)))
     for _ in range(rounds):
-        got = ranks.join(flow, C("node") == C("src")).groupBy("dst").agg(F.sum(C("rank") * C("share")).alias("got"))
+        got = join_counted(flow, ranks.select("node", "rank", "n"), ["node"], total).groupBy("dst").agg(F.sum(C("rank") * C("share")).alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(C("dangling"), C("rank"))), F.lit(0.0)).alias("lost"))
         base = (1 - damping) / max(size, 1)
         joined = every.join(got.withColumnRenamed("dst", "node"), "node", "left").join(F.broadcast(lost))  # one row
-        scored = joined.select("node", "dangling", (base + damping * (F.coalesce("got", F.lit(0.0)) + C("lost") / max(size, 1))).alias("rank"))
+        scored = joined.select("node", "dangling", "n", (base + damping * (F.coalesce("got", F.lit(0.0)) + C("lost") / max(size, 1))).alias("rank"))
         before, ranks = ranks, materialize(scored, "pagerank")  # it is read twice in the next round
         if before is not first:
             release(before)
