@@ -268,6 +268,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
                 out[4].append(np.array(score, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], schema=_FOUND)
 
-    found = sent.join(dealt, ["part", "group"]).mapInArrow(search, "q_no long, q_at long, query_id long, vec_id long, score long")
+    # Both sides are far larger than the stored tables they come from, by whose size Spark would choose to send one to all tasks.
+    found = sent.hint("merge").join(dealt, ["part", "group"]).mapInArrow(search, "q_no long, q_at long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q_no", "q_at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -66,3 +66,9 @@ def test_adders_and_descent():
     wide = np.array([[-(1 << 63), (1 << 63) - 1], [5, -7]])
     planes, bias = bitslice.slice_rows(wide)
     assert (bitslice.rows_of(planes, bias, np.arange(2)) == wide).all()
+
+
+def test_dealt_queries_are_not_broadcast(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    plan = bitslice.top_k(df, F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
