@@ -46,12 +46,12 @@ def frequencies(posts: DataFrame, least: int = 1) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("n")).where(C("n") >= least)
 
 
-def term_weights(posts: DataFrame, dfs: DataFrame, n_docs: int, total: int) -> DataFrame:
-    """(doc_id, term, weight): (1 + ln tf) * ln(N / df); terms of all documents weigh 0 and are left out.
+def term_weights(posts: DataFrame, dfs: DataFrame, n_docs: int, total: int, zeros: bool = False) -> DataFrame:
+    """(doc_id, term, weight): (1 + ln tf) * ln(N / df); terms of all documents weigh 0 and are left out unless ``zeros``.
 
     ``total`` bounds the rows of ``posts``; those of a frequent term stay spread.
     """
-    met = join_counted(posts.select("doc_id", "term", "tf"), dfs.where(C("n") < n_docs), ["term"], total)
+    met = join_counted(posts.select("doc_id", "term", "tf"), dfs if zeros else dfs.where(C("n") < n_docs), ["term"], total)
     return met.select("doc_id", "term", ((1 + F.log("tf")) * F.log(n_docs / C("n"))).alias("weight"))
 
 
