@@ -14,10 +14,11 @@ into words.  Phrases of one to ``LONGEST`` words are known by two 64-bit hashes.
    with its keys stored by slot.
 3. Counts: mappers read the texts again, look each phrase up (a slot counts only
    if its stored key agrees) and bincount the slots into an array for each
-   shard; the arrays are summed as a tree.  A task holds 64 shards and
-   gives out an array early if it needs room.
+   shard; the arrays are summed as a tree.  If there are more shards than the 64
+   that a task holds, it gathers keys by shard and looks up those of a shard
+   together, so a shard is read once for many keys, not once for each run.
 4. Cuts: the parts of every cut are candidates too, so their counts are read by
-   slot.  Phrases inside longer ones go by a join, the ranking takes the best of
+   slot, shard by shard for many phrases.  Phrases inside longer ones go by a join, the ranking takes the best of
    salted groups before those of a language.
 
 Defined cases: a null text counts as empty and a null lang as ``und``; texts of
@@ -51,18 +52,25 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: A longer phrase of at least this many percent of the occurrences replaces its parts.
 INSIDE = 80
 LEAST_CELLS, MOST_CELLS, CHUNK = 1 << 12, 1 << 26, 1 << 20
-#: Candidates a task remembers to have sent, and words whose hash it keeps.
-KNOWN, KEPT_WORDS = 1 << 21, 150_000
+#: Cells of the filter for each candidate a task remembers to have sent, words whose hash it keeps, and shards it counts at a time.
+KNOWN_CELLS, KEPT_WORDS, COUNTED_SHARDS = 4, 150_000, 1024
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """Bytes of text that are worked on together, bytes of text for a cell of the filter, keys of a shard, shards a task holds."""
+    """Bytes of text that are worked on together, bytes of text for a cell of the filter, keys of a shard, shards a task holds.
+
+    If there are more shards, ``gathered`` keys for each, but not more than
+    ``most_gathered``, and ``together`` phrases wait until they are looked up.
+    """
 
     run: int = 1 << 20
     cell: int = 64
     shard: int = 1 << 16
     resident: int = 64
+    gathered: int = 1 << 14
+    most_gathered: int = 1 << 23
+    together: int = 1 << 18
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?" or 10 <= c <= 13 else c for c in range(256))
@@ -120,7 +128,7 @@ class Filter:
     """Bitmaps of the cells whose phrases may be frequent; ``None`` lets all pass."""
 
     def __init__(self, cells: int, maps: list[np.ndarray] | None):
-        self.shift, self.maps = np.uint64(64 - int(math.log2(cells))), maps
+        self.cells, self.shift, self.maps = cells, np.uint64(64 - int(math.log2(cells))), maps
 
     def cell(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> self.shift).astype(np.int64)
@@ -279,6 +287,39 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
             yield int(shard[part[0]]), part
 
 
+def slot_counts(keys: Iterator[tuple[np.ndarray, np.ndarray]], load: Callable[[int], PerfectHash], shards: int, sizes: Sizes) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, count of each slot), a shard perhaps more than once, of both keys of phrases.
+
+    Keys of about a run are looked up together if all shards can be held, and many more otherwise.
+    """
+    given: list[tuple[int, np.ndarray]] = []
+    tables = Resident(load, most=sizes.resident)
+    totals = Resident(lambda s: np.zeros(len(tables[s].k1), np.int64), lambda *x: given.append(x), COUNTED_SHARDS)
+    enough = sizes.run // 4 if shards <= sizes.resident else min(sizes.most_gathered, sizes.gathered * shards)
+    waiting, n = [], 0
+
+    def look_up() -> None:
+        k1, k2 = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        for shard, at in _by_shard(k1, shards):
+            slots = tables[shard].slots(k1[at], k2[at])
+            total = totals[shard]
+            total += np.bincount(slots[slots >= 0], minlength=len(total))
+
+    for pair in keys:
+        waiting.append(pair)
+        n += len(pair[0])
+        if n >= enough:
+            look_up()
+            n = 0
+            while given:
+                yield given.pop()
+    if waiting:
+        look_up()
+    yield from given
+    yield from totals.held.items()
+
+
 def _packed(values: np.ndarray) -> bytes:
     import zstandard
 
@@ -367,11 +408,13 @@ def _candidates(texts: DataFrame, held, sizes: Sizes) -> DataFrame:
     """(k1, k2, lang, phrase), stored."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, cells, known = Phrases(), held.value, np.ones(KNOWN, np.uint64)
+        phrases, cells = Phrases(), held.value
+        size = max(1 << 12, cells.cells // KNOWN_CELLS)
+        known = np.ones(size, np.uint64)
         for lang, run, old in runs(batches, sizes.run):
             one, two, text = [], [], []
             for level, at, k1, k2 in phrases.passing(lang, run, old, cells):
-                place = (k1 & np.uint64(KNOWN - 1)).astype(np.int64)
+                place = (k1 & np.uint64(size - 1)).astype(np.int64)
                 new = np.flatnonzero(known[place] != k1)
                 _, first = np.unique(k1[new], return_index=True)
                 new = new[first]
@@ -382,7 +425,8 @@ def _candidates(texts: DataFrame, held, sizes: Sizes) -> DataFrame:
             keys = [pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array([lang] * len(text), pa.string()), pa.array(text, pa.binary()).cast(pa.string())], names=["k1", "k2", "lang", "phrase"])
 
-    return materialize(texts.mapInArrow(found, "k1 long, k2 long, lang string, phrase string").distinct(), "collocation-candidates")
+    # A task hardly sends one twice, so candidates meet before equal ones are looked for.
+    return materialize(texts.mapInArrow(found, "k1 long, k2 long, lang string, phrase string").repartition("k1", "k2").distinct(), "collocation-candidates")
 
 
 def _hashed(candidates: DataFrame, shards: int, folder: str) -> DataFrame:
@@ -403,20 +447,10 @@ def _counted(texts: DataFrame, held, uris: dict[int, str], shards: int, mappers:
     """(shard, uri) of the files with the count of each slot, stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, cells, node, out = Phrases(), held.value, TaskContext.get().partitionId(), []
-        load = lambda s: (x := PerfectHash.load(uris[s]), np.zeros(len(x.k1), np.int64))
-        resident = Resident(load, lambda s, x: out.append((0, s, node, _packed(x[1]))), sizes.resident)
-        for lang, run, old in runs(batches, sizes.run):
-            found = list(phrases.passing(lang, run, old, cells))
-            k1, k2 = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
-            for shard, at in _by_shard(k1, shards):
-                table, total = resident[shard]
-                slots = table.slots(k1[at], k2[at])
-                total += np.bincount(slots[slots >= 0], minlength=len(total))
-            while out:
-                yield _arrays([out.pop()])
-        for s, x in resident.held.items():
-            yield _arrays([(0, s, node, _packed(x[1]))])
+        phrases, node = Phrases(), TaskContext.get().partitionId()
+        keys = (x[2:] for run in runs(batches, sizes.run) for x in phrases.passing(*run, held.value))
+        for shard, total in slot_counts(keys, lambda s: PerfectHash.load(uris[s]), shards, sizes):
+            yield _arrays([(0, shard, node, _packed(total))])
 
     def store(shard: int, total: np.ndarray) -> bytes:
         uri, stream = storage.create(folder, f"counts-{shard}", ".zst")
@@ -462,6 +496,30 @@ def _cut(hashed: DataFrame, hashes: dict[int, str], counts: dict[int, str], shar
                 both.append(k)
             return both[0], both[1]
 
+        def scored(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            own_all = rows.column("a").to_numpy()
+            split = [p.encode().split(b" ") for p in rows.column("phrase").to_pylist()]
+            size = np.array([len(p) for p in split], np.int64)
+            lang = np.array([phrases.lang(x) for x in rows.column("lang").to_pylist()], np.uint64)
+            of = {n: np.flatnonzero(size == n) for n in range(2, LONGEST + 1)}
+            asked = []  # the parts of all cuts, so that a shard is read once for them
+            for n, here in of.items():
+                words = phrases.hashed([w for i in here.tolist() for w in split[i]]).reshape(-1, n)
+                asked += [keys(lang[here], part) for k in range(1, n) for part in (words[:, :k], words[:, k:])]
+            got = read(*(np.concatenate(x) for x in zip(*asked, strict=True)))
+            for n, here in of.items():
+                parts, got = got[: 2 * (n - 1) * len(here)].reshape(n - 1, 2, len(here)), got[2 * (n - 1) * len(here) :]
+                if not len(here):
+                    continue
+                own, left, right = own_all[here], parts[:, 0], parts[:, 1]
+                score = np.stack([scores(own, x + y) for x, y in zip(left, right, strict=True)])
+                best, row = score.argmin(0), np.arange(len(here))
+                take = pa.array(here)
+                texts = [rows.column(c).take(take).combine_chunks() for c in ("lang", "phrase")]
+                numbers = [np.full(len(here), n), own, left[best, row], right[best, row], score[best, row]]
+                yield pa.RecordBatch.from_arrays([*texts, *[pa.array(x, pa.int64()) for x in numbers]], names=["lang", "phrase", "words", "a", "l", "r", "score"])
+
+        enough, held = 0 if shards <= sizes.resident else sizes.together, []
         for batch in batches:
             shard, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             a = np.zeros(len(shard), np.int64)
@@ -469,22 +527,12 @@ def _cut(hashed: DataFrame, hashes: dict[int, str], counts: dict[int, str], shar
                 at = np.flatnonzero(shard == s)
                 a[at] = totals[s][slot[at]]
             at = np.flatnonzero(a >= least)
-            split = [p.encode().split(b" ") for p in batch.column(3).take(pa.array(at)).to_pylist()]
-            size = np.array([len(p) for p in split], np.int64)
-            lang = np.array([phrases.lang(x) for x in batch.column(2).take(pa.array(at)).to_pylist()], np.uint64)
-            for n in range(2, LONGEST + 1):
-                here = np.flatnonzero(size == n)
-                if not len(here):
-                    continue
-                words = phrases.hashed([w for i in here.tolist() for w in split[i]]).reshape(-1, n)
-                own = a[at[here]]
-                left = np.stack([read(*keys(lang[here], words[:, :k])) for k in range(1, n)])
-                right = np.stack([read(*keys(lang[here], words[:, k:])) for k in range(1, n)])
-                score = np.stack([scores(own, x + y) for x, y in zip(left, right, strict=True)])
-                best, row = score.argmin(0), np.arange(len(here))
-                take = pa.array(at[here])
-                numbers = [np.full(len(here), n), own, left[best, row], right[best, row], score[best, row]]
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take), *[pa.array(x, pa.int64()) for x in numbers]], names=["lang", "phrase", "words", "a", "l", "r", "score"])
+            held.append(pa.table({"lang": batch.column(2).take(pa.array(at)), "phrase": batch.column(3).take(pa.array(at)), "a": a[at]}))
+            if sum(map(len, held)) >= enough:
+                yield from scored(pa.concat_tables(held))
+                held.clear()
+        if held:
+            yield from scored(pa.concat_tables(held))
 
     return materialize(hashed.drop("uri").mapInArrow(cut, "lang string, phrase string, words long, a long, l long, r long, score long"), "collocation-cuts")
 

@@ -69,6 +69,26 @@ def test_query_against_brute_force(spark):
     assert sorted(map(tuple, queries.queries()["op12_collocations"](spark, d).collect())) == brute(rows)
 
 
+def test_more_shards_than_a_task_holds(spark):
+    rows = corpus()
+    assert mined(spark, rows, least=3, sizes=c.Sizes(run=997, cell=1, shard=20, resident=2, gathered=1, most_gathered=500, together=7)) == brute(rows, 3)
+
+
+def test_a_shard_is_read_once_for_many_keys():
+    r, loads = np.random.default_rng(2), []
+    k1, k2 = r.integers(0, 2**64, (2, 2000), dtype=np.uint64)
+    hashes = {shard: c.PerfectHash(k1[at], k2[at]) for shard, at in c._by_shard(k1, 8)}
+    load = lambda s: loads.append(s) or hashes[s]
+    keys = [(k1[at], k2[at]) for at in (r.integers(0, 2000, 50) for _ in range(100))]
+    total = {s: np.zeros(len(h.k1), np.int64) for s, h in hashes.items()}
+    for shard, counts in c.slot_counts(iter(keys), load, 8, c.Sizes(run=50, resident=2)):
+        total[shard] += counts
+    want = np.bincount(np.searchsorted(np.sort(k1), np.concatenate([x[0] for x in keys])), minlength=2000)
+    found = {int(k): n for s, h in hashes.items() for k, n in zip(h.k1.tolist(), total[s].tolist(), strict=True)}
+    assert [found[k] for k in np.sort(k1).tolist()] == want.tolist()
+    assert len(loads) <= 16  # one for the keys, one for a slot's array; 100 runs once loaded 800
+
+
 def test_empty(spark):
     assert mined(spark, []) == []
     assert mined(spark, [("en", "a b"), (None, None)]) == []
