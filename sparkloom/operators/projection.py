@@ -8,17 +8,23 @@ corpus.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sparkloom.operators import bm25
 from sparkloom.operators.skew import join_counted
-from sparkloom.runtime import materialize
+from sparkloom.runtime import materialize, ship
 
 C = F.col
 #: The usual length of a vector and seed.
 DIMS, SEED = 128, 42
+#: Numbers of terms that a task keeps, and rows that are summed together.
+CACHED, SUMMED_ROWS = 1 << 22, 4096
 
 
 def gaussian(term: Column, dim: int, seed: int = SEED) -> Column:
@@ -28,17 +34,77 @@ def gaussian(term: Column, dim: int, seed: int = SEED) -> Column:
     return F.sqrt(-2.0 * F.log(F.greatest(uniform(0), F.lit(1e-10)))) * turn(2.0 * math.pi * uniform(1))
 
 
+_P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hashed_on(number: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """What ``F.xxhash64`` makes of an int that follows columns with the hash ``seed``."""
+    h = (seed + _P5 + np.uint64(4)) ^ (number.astype(np.uint32).astype(np.uint64) * _P1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def gaussians(terms: np.ndarray, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
+    """:func:`gaussian` of all dimensions for each of ``terms``, given as ``F.xxhash64(term)``."""
+    pairs = -(-dims // 2)
+    h = _hashed_on(np.arange(2 * pairs), terms.view(np.uint64)[:, None])
+    uniform = (_hashed_on(np.array([seed]), h) >> np.uint64(11)) / 2.0**53
+    size, turn = np.sqrt(-2.0 * np.log(np.maximum(uniform[:, 0::2], 1e-10))), 2.0 * math.pi * uniform[:, 1::2]
+    out = np.empty((len(terms), 2 * pairs))
+    out[:, 0::2], out[:, 1::2] = size * np.cos(turn), size * np.sin(turn)
+    return out[:, :dims]
+
+
+def _projected(batches: Iterator[pa.RecordBatch], dims: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, vector) of rows (doc_id, hash of a term, weight) that come by document."""
+    cells = 1 << max(0, (CACHED // dims).bit_length() - 1)
+    names, numbers, filled = np.zeros(cells, np.int64), np.zeros((cells, dims)), np.zeros(cells, bool)
+    last, total = None, np.zeros(dims)
+
+    def vectors(ids: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+        ends = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * dims)
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))], names=["doc_id", "vector"])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, SUMMED_ROWS):
+            batch = whole.slice(at, SUMMED_ROWS)
+            terms, inverse = np.unique(batch.column(1).to_numpy(), return_inverse=True)
+            place = terms & (cells - 1)
+            new = np.flatnonzero(~(filled[place] & (names[place] == terms)))
+            rows = numbers[place]
+            rows[new] = made = gaussians(terms[new], dims, seed)
+            names[place[new]], numbers[place[new]], filled[place[new]] = terms[new], made, True
+            code = batch.column(0).dictionary_encode("encode").indices.to_numpy()
+            first = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1])
+            sums = np.add.reduceat(batch.column(2).to_numpy()[:, None] * rows[inverse], first)
+            ids = batch.column(0).take(pa.array(first))
+            if last is not None:
+                if last[0].equals(ids[0]) or not (last[0].is_valid or ids[0].is_valid):
+                    sums[0] += total
+                else:
+                    yield vectors(last, total[None])
+            last, total = ids[-1:], sums[-1]
+            if len(ids) > 1:
+                yield vectors(ids[:-1], sums[:-1])
+    if last is not None:
+        yield vectors(last, total[None])
+
+
 def project(weights: DataFrame, dims: int = DIMS, seed: int = SEED) -> DataFrame:
     """(doc_id, vector) of ``weights(doc_id, term, weight)``, normalised to length 1; all zero if the sum is.
 
     Rows of a document meet before they are widened, so what is shuffled is one
-    weight a term and not ``dims`` numbers a task and document.
+    weight a term and not ``dims`` numbers a task and document.  The numbers of
+    a term are made once for many of its rows, not for each.
     """
-    met = weights.repartition("doc_id")
-    sums = met.groupBy("doc_id").agg(*[F.sum(C("weight") * gaussian(C("term"), j, seed)).alias(f"_{j}") for j in range(dims)])
-    raw = sums.select("doc_id", F.array(*[C(f"_{j}") for j in range(dims)]).alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    return raw.withColumn("_n", norm).select("doc_id", F.transform("_v", lambda x: F.when(C("_n") > 0, x / C("_n")).otherwise(0.0)).alias("vector"))
+    ship(weights.sparkSession)
+    met = weights.select("doc_id", F.xxhash64("term").alias("_h"), C("weight").cast("double")).repartition("doc_id").sortWithinPartitions("doc_id")
+    out = StructType([StructField("doc_id", weights.schema["doc_id"].dataType), StructField("vector", ArrayType(DoubleType()))])
+    return met.mapInArrow(lambda batches: _projected(batches, dims, seed), out)
 
 
 def frequencies(posts: DataFrame, least: int = 1) -> DataFrame:

@@ -77,3 +77,19 @@ def test_numbers_are_standard_normal(spark):
     rows = spark.range(4000).select(*[pj.gaussian(F.concat(F.lit("t"), "id"), j).alias(f"g{j}") for j in range(4)]).toPandas()
     assert (rows.mean().abs() < 0.06).all() and ((rows.std() - 1).abs() < 0.05).all()
     assert (rows.corr().to_numpy()[~np.eye(4, dtype=bool)].__abs__() < 0.06).all()
+
+
+def test_numbers_of_a_term_are_those_of_the_column_and_made_once(spark, monkeypatch):
+    words = spark.createDataFrame([(w,) for w in ["a", "Ünder", "漢字", "x" * 40]], "term string")
+    rows = words.select(F.xxhash64("term").alias("h"), *[pj.gaussian(F.col("term"), j, 7).alias(f"_{j}") for j in range(5)]).collect()
+    assert np.allclose(pj.gaussians(np.array([r.h for r in rows]), 5, 7), [list(r)[1:] for r in rows], atol=1e-12)
+    made, make = [], pj.gaussians
+    monkeypatch.setattr(pj, "gaussians", lambda terms, *a: made.extend(terms) or make(terms, *a))
+    monkeypatch.setattr(pj, "SUMMED_ROWS", 3)  # documents go on in the next rows
+    ids, terms, weights = [1] * 5 + [2] * 2 + [None] * 4, [5, 6, 7, 5, -6, 5, 6, 7, 7, 5, 5], [float(i) for i in range(11)]
+    batches = iter([pj.pa.record_batch({"doc_id": ids, "h": terms, "weight": weights})])
+    got = {r["doc_id"]: r["vector"] for b in pj._projected(batches, 4, 7) for r in b.to_pylist()}
+    assert len(made) == len(set(made)) == 4 and list(got) == [1, 2, None]
+    for d in got:
+        v = sum(w * make(np.array([t]), 4, 7)[0] for i, t, w in zip(ids, terms, weights, strict=True) if i == d)
+        assert np.allclose(got[d], v / np.linalg.norm(v))
