@@ -36,10 +36,14 @@ def replace_file(edges: DataFrame, path: str, fresh: DataFrame) -> DataFrame:
 
 
 def merge_additional(edges: DataFrame, extra: DataFrame, weight: float = 1.5) -> DataFrame:
-    """Adds the edges of another index that (source, target, type) does not hold yet."""
+    """Adds the edges of another index that (source, target, type) does not hold yet.
+
+    Both parts are stored: ``edges`` is read twice, and rows of a task stay bounded.
+    """
     key = ["source", "target", "edge_type"]
+    edges = materialize(edges, "merge-edges")
     new = extra.dropDuplicates(key).join(edges, key, "left_anti").withColumn("weight", F.lit(weight))
-    return edges.unionByName(new.select(*edges.columns))
+    return edges.unionByName(materialize(new.select(*edges.columns), "merge-new"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, endings: tuple[str, ...] = (".ts", ".tsx", ".js", "/index.ts", "/index.js", ".py", "/__init__.py")) -> DataFrame:

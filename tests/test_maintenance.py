@@ -87,3 +87,12 @@ def test_feedback_and_compaction(spark):
     assert got == {("q", 1): 10.0, ("q", 2): 4.0, ("q", 3): 3.0, ("p", 1): 5.0, ("p", 2): 4.0}
     log = spark.range(10).select(F.lit("l").alias("log"), C("id").alias("line_no"))
     assert insights.compact(log, 10).count() == 5 and insights.compact(log, 11).count() == 10
+
+
+def test_merged_edges_are_stored(spark):
+    """What is handed on has no shuffle left, whose tasks the session's settings alone would bound."""
+    shape = "source long, target long, edge_type string"
+    held = spark.createDataFrame([(1, 2, "a", 1.0), (1, 3, "a", 1.0)], shape + ", weight double")
+    got = maintenance.merge_additional(held, spark.createDataFrame([(1, 2, "a"), (1, 2, "b"), (1, 2, "b")], shape))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, "a", 1.0), (1, 2, "b", 1.5), (1, 3, "a", 1.0)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
