@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions import text as tx
 from sparkloom.operators import bm25, ranking
+from sparkloom.operators.communities import louvain as louvain
 
 C = F.col
 #: Field boosts.
@@ -113,51 +114,6 @@ def impact(reached: DataFrame, communities: DataFrame, tests: DataFrame, cochang
     return r.agg(F.count_distinct("community").alias("communities"), F.count("test").alias("tests"), F.count_if(C("weight") >= 0.1).alias("cochanged"))
 
 
-def local_moves(rows: pd.DataFrame, resolution: float = 1.0, passes: int = 10) -> dict:
-    """Greedy modularity moves over the pairs of one component, nodes in id order."""
-    near: dict = {}
-    for a, b, w in rows[["a", "b", "weight"]].itertuples(index=False):
-        near.setdefault(a, {})[b] = w
-        near.setdefault(b, {})[a] = w
-    degree = {n: sum(x.values()) for n, x in near.items()}
-    two_m = sum(degree.values()) or 1.0
-    label, total = {n: n for n in near}, dict(degree)
-    for _ in range(passes):
-        moved = False
-        for n in sorted(near):
-            total[label[n]] -= degree[n]
-            links: dict = {}
-            for m, w in near[n].items():
-                links[label[m]] = links.get(label[m], 0.0) + w
-            links.setdefault(label[n], 0.0)
-            gain = lambda c: links[c] - resolution * total.get(c, 0.0) * degree[n] / two_m  # noqa: B023, E731
-            best = max(sorted(links), key=gain)
-            if gain(best) <= gain(label[n]) + 1e-12:
-                best = label[n]
-            moved |= best != label[n]
-            label[n] = best
-            total[best] = total.get(best, 0.0) + degree[n]
-        if not moved:
-            break
-    return label
-
-
-def louvain(pairs: DataFrame, components: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, community) by greedy moves within each component.
-
-    The moves are sequential, so a component is one task; run it on the parts
-    that :func:`sparkloom.operators.graph.label_propagation` leaves, not on a
-    giant component.
-    """
-
-    def cluster(batch: pd.DataFrame) -> pd.DataFrame:
-        label = local_moves(batch, resolution)
-        return pd.DataFrame({"node": list(label), "community": list(label.values())})
-
-    placed = pairs.join(components.select(C("node").alias("a"), C("label").alias("part")), "a")
-    return placed.groupBy("part").applyInPandas(cluster, "node long, community long")
-
-
 def rerank_model(candidates: DataFrame, score=None) -> DataFrame:
     """Scores candidates by a plug-in model over Arrow batches; without one the order stays."""
     if score is None:
