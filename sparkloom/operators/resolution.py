@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.maintenance import resolve_imports
 from sparkloom.operators.skew import join_counted
+from sparkloom.runtime import materialize
 from sparkloom.sources.readers import language
 
 C = F.col
@@ -78,10 +79,11 @@ def resolve(refs: DataFrame, symbols: DataFrame, index: DataFrame, builtins: Dat
     own = symbols.groupBy("file", "name").agg(F.max("line").alias("line"))
     anywhere = symbols.groupBy("name").agg(F.count("*").alias("total"), F.min(place).alias("first"))
     beside = symbols.groupBy(folder(C("file")).alias("_folder"), C("name").alias("_bare")).agg(F.min(place).alias("_beside"))
-    rows = refs.withColumns({"_bare": bare_name(C("name")), "_receiver": receiver(C("name")), "_folder": folder(C("file"))})
+    # Stored, as four readers follow: the references and the parts of their names are made once.
+    rows = materialize(refs.withColumns({"_bare": bare_name(C("name")), "_receiver": receiver(C("name")), "_folder": folder(C("file")), "_l": language(C("file"))}), "references")
     # The names asked for, with how often: those of many references don't meet in one task.
     asked = rows.groupBy("_bare").agg(F.count("*").alias("n")).join(anywhere.withColumnRenamed("name", "_bare"), "_bare", "left")
-    rows = join_counted(rows, asked, ["_bare"], refs.count()).drop("n")
+    rows = join_counted(rows, asked, ["_bare"], rows.count()).drop("n")
 
     def looked_up(rows: DataFrame, name: str, into: str) -> DataFrame:
         """The import of ``name`` as ``into``, and the line of the bare name in its file."""
@@ -95,7 +97,7 @@ def resolve(refs: DataFrame, symbols: DataFrame, index: DataFrame, builtins: Dat
         rows = rows.withColumn("_builtin", F.lit(False))
     else:
         known = builtins.select(C("language").alias("_l"), C("name").alias("_bare"), F.lit(True).alias("_builtin")).distinct()
-        rows = rows.withColumn("_l", language(C("file"))).join(known, ["_l", "_bare"], "left")
+        rows = rows.join(known, ["_l", "_bare"], "left")
 
     def given(method: str, sure: float, file: Column | None = None, line: Column | None = None) -> Column:
         return F.struct(F.lit(method).alias("m"), F.lit(sure).alias("c"), (F.lit(None).cast("string") if file is None else file).alias("f"), (F.lit(None).cast("long") if line is None else line.cast("long")).alias("l"))

@@ -44,3 +44,12 @@ def test_each_strategy_and_a_hub_name(spark):
     assert got[100] == ("b/w.py", 1, 0.5, "raw") and got[101] == ("kept.py", None, 0.5, "raw") and got[102] == ("b/w.py", 1, 0.4, "global_ambiguous")
     assert {got[1000 + i] for i in range(700)} == {("a/x.py", 7, 0.8, "global_unique")}
     assert rs.resolve(refs.limit(0), symbols, index).count() == 0
+
+
+def test_references_are_made_once(spark):
+    """What makes the references ran again for every reader of them."""
+    refs = spark.range(3).select(F.col("id").alias("ref_id"), F.lit("a/m.py").alias("file"), F.lit("f").alias("name"), F.lit(None).cast("string").alias("target_file"), F.lit(0.0).alias("confidence"), F.lit("raw").alias("method"))
+    symbols = spark.createDataFrame([("a/x.py", "f", 3)], "file string, name string, line int")
+    got = rs.resolve(refs, symbols, spark.createDataFrame([], "file string, name string, target string"))
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r)[3:] for r in got.collect()} == {("a/x.py", 3, 0.8, "global_unique")} and got.count() == 3
